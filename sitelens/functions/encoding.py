@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import StringType
 
 from .values import trim
 
@@ -31,7 +32,7 @@ def detect_charset(content: Column, content_type: Column | None = None) -> Colum
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_other(content: pd.Series, charset: pd.Series) -> pd.Series:
     def one(data, name):
         try:

@@ -1,70 +1,101 @@
-"""HTML as columns: cleaning, tags, attributes, element text, entities.
+"""HTML as SQL expressions: cleaning, tags, attributes, element text, entities.
+
+Each function takes the SQL text of its input (usually a column name) and returns
+SQL text for ``F.expr`` or ``selectExpr``; a page operator combines dozens of them,
+and one parsed text is far quicker to set up than thousands of Column calls.
 
 Everything is a built-in regular-expression or higher-order function, so a page
 never leaves the JVM and no operator on pages needs a shuffle.  Every loop in a
 pattern is possessive, or ends at the end of the text, so matching is iterative
 (no stack growth on long pages) and close to linear in the page size.
+
+Inputs named ``column`` are used more than once in the result: pass a column, not
+an expression that is costly to repeat.
 """
 
 from html.entities import html5, name2codepoint
 
-from pyspark.sql import Column, functions as F
+from .values import TRIM_CHARS
+
+
+def q(text: str) -> str:
+    """``text`` as an SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def trim(x: str) -> str:
+    return f"btrim({x}, {q(TRIM_CHARS)})"
+
+
+def _replace(x: str, pattern: str, by: str = "") -> str:
+    return f"regexp_replace({x}, {q(pattern)}, {q(by)})"
+
+
+def _extract(x: str, pattern: str, group: int = 1) -> str:
+    return f"regexp_extract({x}, {q(pattern)}, {group})"
+
+
+def _extract_all(x: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({x}, {q(pattern)}, {group})"
 
-from .values import trim
 
 _QUOTED = r""""[^"]*"|'[^']*'"""
 _VALUE = rf"""(?:{_QUOTED}|[^\s"'>][^\s>]*)"""
-_TAG_REST = rf"""(?:[^>"']++|{_QUOTED})*+>"""
-START_TAG = rf"<[a-zA-Z]{_TAG_REST}"
+TAG_REST = rf"""(?:[^>"']++|{_QUOTED})*+>"""
+START_TAG = rf"<[a-zA-Z]{TAG_REST}"
 
 # Blocks whose whole content is left out of the body text.
 NON_CONTENT_TAGS = ("script", "style", "nav", "aside", "footer", "header")
 
-
 # Pages above this size are matched with patterns that also stay linear on pages
 # full of openers that are never closed; the patterns for small pages are faster.
 _LARGE = 32_768
 
 
-def drop_blocks(html: Column, tag: str, linear: bool = True) -> Column:
+def _drop_block(x: str, tag: str, linear: bool) -> str:
     """Remove ``<tag ...> ... </tag>`` up to the first closer; an opener that is never
     closed is left alone (``linear``: together with the rest, in one step)."""
     closed = rf"<{tag}\b[^<]*+(?:<(?!/{tag}>)[^<]*+)*+</{tag}>"
     if linear:
-        return F.regexp_replace(html, rf"(?is){closed}|(<{tag}\b.*)", "$1")
-    return F.regexp_replace(html, rf"(?i){closed}", "")
+        return _replace(x, rf"(?is){closed}|(<{tag}\b.*)", "$1")
+    return _replace(x, rf"(?i){closed}")
 
 
-def _drop_all(html: Column, tags: tuple, comments: bool = False) -> Column:
+def _drop_blocks(column: str, tags: tuple, comments: bool = False) -> str:
     def chain(linear):
-        out = html
+        out = column
         for tag in tags:
-            out = drop_blocks(out, tag, linear)
-        if comments:
-            rest = "|(<!--.*)" if linear else ""
-            out = F.regexp_replace(out, rf"(?s)<!--.*?-->{rest}", "$1" if linear else "")
+            out = _drop_block(out, tag, linear)
+        if comments and linear:
+            out = _replace(out, r"(?s)<!--.*?-->|(<!--.*)", "$1")
+        elif comments:
+            out = _replace(out, r"(?s)<!--.*?-->")
         return out
 
-    return F.when(F.octet_length(html) <= _LARGE, chain(False)).otherwise(chain(True))
+    return (
+        f"CASE WHEN octet_length({column}) <= {_LARGE} THEN {chain(False)}"
+        f" ELSE {chain(True)} END"
+    )
 
 
-def _one_space(text: Column) -> Column:
+def _one_space(x: str) -> str:
     """Whitespace runs become one space; a lone space is not touched."""
-    return trim(F.regexp_replace(text, r"\s(?:\s++|(?<! ))", " "))
+    return trim(_replace(x, r"\s(?:\s++|(?<! ))", " "))
 
 
-def clean(html: Column) -> Column:
+def clean(column: str) -> str:
     """Without scripts, styles and comments; whitespace runs become one space."""
-    return _one_space(_drop_all(html, ("script", "style"), comments=True))
+    return _one_space(_drop_blocks(column, ("script", "style"), comments=True))
+
 
+_ANY_TAG = r"""(?:[^>"']++|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*+(?:>|\z)"""
+STRIPPED = rf"(?s)[<\x00](?:(?<=\x00)|!--.*?(?:-->|\z)|(?!\s){_ANY_TAG})"
 
-def strip_tags(html: Column) -> Column:
+
+def strip_tags(x: str) -> str:
     """Tags become nothing (no space); ``<`` before whitespace is text; an unclosed
     tag or comment swallows the rest, as do unclosed quotes inside a tag."""
-    tag = r"""(?:[^>"']++|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*+(?:>|\z)"""
-    return F.regexp_replace(
-        html, rf"(?s)[<\x00](?:(?<=\x00)|!--.*?(?:-->|\z)|(?!\s){tag})", ""
-    )
+    return _replace(x, STRIPPED)
 
 
 def _entity_rows(html5_names: bool) -> str:
@@ -78,166 +109,149 @@ def _entity_rows(html5_names: bool) -> str:
     return "\x02".join(f"&{n}\x01{table[n]}" for n in names)
 
 
-_ENTITY_TEXT = {wide: _entity_rows(wide) for wide in (False, True)}
+_ENTITY_TABLE = {
+    wide: f"str_to_map({q(_entity_rows(wide))}, '\x02', '\x01')" for wide in (False, True)
+}
 
 
-def _numeric_entity(token: Column) -> Column:
-    hexa = F.regexp_extract(token, r"^&#[xX]([0-9a-fA-F]{1,6});$", 1)
-    deci = F.regexp_extract(token, r"^&#([0-9]{1,7});$", 1)
-    code = F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).when(
-        deci != "", deci.cast("long")
-    )
+def _numeric_entity(token: str) -> str:
+    hexa = f"nullif({_extract(token, r'^&#[xX]([0-9a-fA-F]{1,6});$')}, '')"
+    deci = f"nullif({_extract(token, r'^&#([0-9]{1,7});$')}, '')"
+    code = f"coalesce(CAST(conv({hexa}, 16, 10) AS BIGINT), CAST({deci} AS BIGINT))"
     # Code points that may be written as a reference; any other stays as typed.
     allowed = (
-        code.between(0x20, 0x7E)
-        | code.isin(0x09, 0x0A, 0x0C)
-        | (
-            code.between(0xA0, 0x10FFFF)
-            & ~code.between(0xD800, 0xDFFF)
-            & ~code.between(0xFDD0, 0xFDEF)
-            & (code % 0x10000 < 0xFFFE)
-        )
+        "c BETWEEN 32 AND 126 OR c IN (9, 10, 12) OR (c BETWEEN 160 AND 1114111"
+        " AND NOT c BETWEEN 55296 AND 57343 AND NOT c BETWEEN 64976 AND 65007"
+        " AND c % 65536 < 65534)"
     )
-    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.when(allowed, char).otherwise(token)
+    char = "decode(unhex(lpad(hex(c), 8, '0')), 'UTF-32')"
+    return f"get(transform(array({code}), c -> CASE WHEN {allowed} THEN {char} ELSE {token} END), 0)"
 
 
-def decode_entities(c: Column, html5_names: bool = False) -> Column:
+def decode_entities(column: str, html5_names: bool = False) -> str:
     """``&name;`` and ``&#n;`` become characters; the ``;`` is required.
 
     Attribute values and element text know the HTML 4 names; body text
     (``html5_names``) knows all HTML 5 names.  Text without ``&`` is passed through.
     """
-    table = F.str_to_map(F.lit(_ENTITY_TEXT[html5_names]), F.lit("\x02"), F.lit("\x01"))
-    tokens = F.regexp_extract_all(c, F.lit(r"&#?\w++;|[^&]++|&"), F.lit(0))
-    decoded = F.transform(
-        tokens,
-        lambda t: F.when(~t.rlike("^&.+;$"), t)
-        .when(t.startswith("&#"), _numeric_entity(t))
-        .otherwise(F.coalesce(F.try_element_at(table, t), t)),
+    named = f"coalesce(try_element_at({_ENTITY_TABLE[html5_names]}, k), k)"
+    token = (
+        f"CASE WHEN NOT k RLIKE '^&.+;$' THEN k"
+        f" WHEN startswith(k, '&#') THEN {_numeric_entity('k')} ELSE {named} END"
+    )
+    tokens = _extract_all(column, r"&#?\w++;|[^&]++|&")
+    return (
+        f"CASE WHEN contains({column}, '&')"
+        f" THEN array_join(transform({tokens}, k -> {token}), '') ELSE {column} END"
     )
-    return F.when(c.contains("&"), F.array_join(decoded, "")).otherwise(c)
 
 
-def inner_texts(htmls: Column) -> Column:
+def decode_all(array: str) -> str:
+    """Each text of an array (of arrays, when nested) decoded."""
+    return f"transform({array}, d -> {decode_entities('d')})"
+
+
+def inner_texts(htmls: str) -> str:
     """Text content of each element: tags out, entities decoded, ends trimmed."""
-    stripped = F.transform(htmls, strip_tags)
-    return F.transform(stripped, lambda t: trim(decode_entities(t)))
+    stripped = f"transform({htmls}, h -> {strip_tags('h')})"
+    return f"transform({stripped}, h -> {trim(decode_entities('h'))})"
 
 
-def content_html(cleaned: Column) -> Column:
+def content_html(column: str) -> str:
     """Without navigation and the other non-content blocks, tags stripped."""
-    return strip_tags(_drop_all(cleaned, NON_CONTENT_TAGS))
+    return strip_tags(_drop_blocks(column, NON_CONTENT_TAGS))
 
 
-def readable(stripped: Column) -> Column:
-    """Body text from ``content_html``: entities decoded, whitespace collapsed.
-
-    Pass a materialised column: the expression refers to it more than once.
-    """
-    return _one_space(decode_entities(stripped, html5_names=True))
+def readable(column: str) -> str:
+    """Body text from ``content_html``: entities decoded, whitespace collapsed."""
+    return _one_space(decode_entities(column, html5_names=True))
 
 
-def count_words(text: Column, min_length: int = 3) -> Column:
+def count_words(column: str, min_length: int = 3) -> str:
     """Whitespace-separated tokens of at least ``min_length`` characters.
 
-    A lone ``0`` has no words whatever ``min_length`` is.
+    Blank text (also a lone ``0``) has no words whatever ``min_length`` is.
     """
-    words = F.regexp_count(text, F.lit(rf"(?<!\S)\S{{{min_length},}}"))
-    return F.when(F.coalesce(text, F.lit("")).isin("", "0"), 0).otherwise(words)
+    words = f"regexp_count({column}, {q(rf'(?<!\S)\S{{{min_length},}}')})"
+    return f"CASE WHEN {column} IS NULL OR {column} IN ('', '0') THEN 0 ELSE {words} END"
 
 
-def start_tags(cleaned: Column) -> Column:
+def start_tags(x: str) -> str:
     """All start tags in document order, as written."""
-    return F.regexp_extract_all(cleaned, F.lit(START_TAG), F.lit(0))
+    return _extract_all(x, START_TAG)
 
 
-def tag_name(tag: Column) -> Column:
-    return F.lower(F.regexp_extract(tag, r"^<([a-zA-Z][^\s/>]*)", 1))
+def tag_name(x: str) -> str:
+    return f"lower({_extract(x, r'^<([a-zA-Z][^\s/>]*)')})"
 
 
-def is_tag(tag: Column, *names: str) -> Column:
-    return tag.rlike(rf"(?i)^<(?:{'|'.join(names)})[\s/>]")
+def of_tag(tags: str, name: str) -> str:
+    """The start tags of one element name."""
+    return f"filter({tags}, t -> t RLIKE {q(rf'(?i)^<{name}[\s/>]')})"
 
 
-def attr_source(tag: Column, name: str) -> Column:
+def attr_source(x: str, name: str) -> str:
     """The first attribute called ``name`` as written (``name="v"``), '' when absent."""
     other = rf"""(?!{name}[\s=/>])[^\s"'<>/=]++(?:\s*+=\s*+{_VALUE})?+"""
     skip = rf"""(?:[\s/]++|{other}|["'=<])*+"""
     wanted = rf"""({name}(?=[\s=/>])(?:\s*+=\s*+{_VALUE})?+)"""
-    return F.regexp_extract(tag, rf"(?is)^<[a-z][^\s/>]*+{skip}{wanted}", 1)
+    return _extract(x, rf"(?is)^<[a-z][^\s/>]*+{skip}{wanted}")
 
 
-def attr_raw(source: Column) -> Column:
+def attr_raw(column: str) -> str:
     """Value of an ``attr_source`` text, not decoded; NULL when absent, '' when it has none."""
-    raw = F.regexp_replace(
-        source, r"""(?s)^[^=]*(?:=\s*(?:"(.*)"|'(.*)'|(.*)))?$""", "$1$2$3"
-    )
-    return F.when(source != "", raw)
+    raw = _replace(column, r"""(?s)^[^=]*(?:=\s*(?:"(.*)"|'(.*)'|(.*)))?$""", "$1$2$3")
+    return f"CASE WHEN {column} <> '' THEN {raw} END"
 
 
-def tags_with(tags: Column, attrs: list[str]) -> Column:
+def tags_with(tags: str, attrs: list[str]) -> str:
     """``tags`` as structs of the named attributes (dashes become underscores)."""
-
-    def per_attr(arr, fn):
-        return F.transform(
-            arr, lambda s: F.struct(*[fn(s, a).alias(a.replace("-", "_")) for a in attrs])
-        )
-
     # One layer per step, so that each regular expression runs once per attribute.
-    sources = per_attr(tags, attr_source)
-    raws = per_attr(sources, lambda s, a: attr_raw(s[a.replace("-", "_")]))
-    return per_attr(raws, lambda s, a: decode_entities(s[a.replace("-", "_")]))
-
-
-def attr_map(tag: Column) -> Column:
-    """All attributes as a map, names lower-cased; the first of duplicates wins."""
-    body = F.regexp_replace(tag, r"^<[a-zA-Z][^\s/>]*|>$", "")
-    found = F.regexp_extract_all(
-        body, F.lit(rf"""[^\s"'<>/=]++(?:\s*+=\s*+{_VALUE})?+"""), F.lit(0)
-    )
-    pairs = F.transform(
-        found,
-        lambda s: F.struct(
-            F.lower(F.regexp_extract(s, r"^([^\s=]+)", 1)).alias("key"),
-            decode_entities(attr_raw(s)).alias("value"),
-        ),
+    sources = f"transform({tags}, t -> array({', '.join(attr_source('t', a) for a in attrs)}))"
+    raws = f"transform({sources}, s -> transform(s, a -> {attr_raw('a')}))"
+    values = f"transform({raws}, s -> {decode_all('s')})"
+    named = ", ".join(f"'{a.replace('-', '_')}', get(s, {i})" for i, a in enumerate(attrs))
+    return f"transform({values}, s -> named_struct({named}))"
+
+
+def attr_map(column: str) -> str:
+    """All attributes of a start tag as a map, names lower-cased; the first of
+    duplicates wins."""
+    body = _replace(column, r"^<[a-zA-Z][^\s/>]*|>$")
+    found = _extract_all(body, rf"""[^\s"'<>/=]++(?:\s*+=\s*+{_VALUE})?+""")
+    names = f"lower({_extract('s', r'^([^\s=]+)')})"
+    values = decode_all(f"transform({found}, s -> {attr_raw('s')})")
+    pairs = f"arrays_zip(transform({found}, s -> {names}), {values})"
+    return (
+        f"aggregate({pairs}, CAST(map() AS MAP<STRING, STRING>), (m, p) -> CASE"
+        f" WHEN map_contains_key(m, p['0']) THEN m ELSE map_concat(m, map(p['0'], p['1'])) END)"
     )
-    names = F.transform(pairs, lambda p: p["key"])
-    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["key"]) == i + 1)
-    return F.map_from_entries(firsts)
 
 
-def elements_source(cleaned: Column, tag: str) -> Column:
+def elements_source(x: str, tag: str) -> str:
     """Each element ``<tag ...>inner`` as written, up to its closer, the next such
     opener or the end of the page."""
-    return F.regexp_extract_all(
-        cleaned,
-        F.lit(rf"(?is)<{tag}(?=[\s/>]){_TAG_REST}.*?(?=</{tag}\s*+>|<{tag}[\s/>]|\z)"),
-        F.lit(0),
+    return _extract_all(
+        x, rf"(?is)<{tag}(?=[\s/>]){TAG_REST}.*?(?=</{tag}\s*+>|<{tag}[\s/>]|\z)"
     )
 
 
-def first_element_inner(cleaned: Column, tag: str) -> Column:
-    """Inner HTML of the first ``tag``; NULL when the page has none."""
-    found = F.regexp_extract_all(
-        cleaned, F.lit(rf"(?is)<{tag}(?=[\s/>]){_TAG_REST}(.*?)(?=</{tag}\s*+>|\z)"), F.lit(1)
-    )
-    return F.get(found, 0)
+def first_element(x: str, tag: str) -> str:
+    """Array with the inner HTML of the first ``tag``; [] when the page has none."""
+    inner = _extract_all(x, rf"(?is)<{tag}(?=[\s/>]){TAG_REST}(.*?)(?=</{tag}\s*+>|\z)", 1)
+    return f"slice({inner}, 1, 1)"
 
 
-def headings_source(cleaned: Column) -> Column:
+def headings_source(x: str) -> str:
     """h1 to h3 in order, as written; another heading also ends an open one."""
-    return F.regexp_extract_all(
-        cleaned,
-        F.lit(rf"(?is)<h[1-3](?=[\s/>]){_TAG_REST}.*?(?=</h[1-6]\s*+>|<h[1-6][\s/>]|\z)"),
-        F.lit(0),
+    return _extract_all(
+        x, rf"(?is)<h[1-3](?=[\s/>]){TAG_REST}.*?(?=</h[1-6]\s*+>|<h[1-6][\s/>]|\z)"
     )
 
 
-def after_start_tag(element: Column) -> Column:
-    return F.regexp_replace(element, rf"^{START_TAG}", "")
+def after_start_tags(elements: str) -> str:
+    return f"transform({elements}, e -> {_replace('e', f'^{START_TAG}')})"
 
 
-def start_tag_of(element: Column) -> Column:
-    return F.regexp_extract(element, rf"^({START_TAG})", 1)
+def start_tags_of(elements: str) -> str:
+    return f"transform({elements}, e -> {_extract('e', f'^({START_TAG})')})"

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from .markup import strip_tags
+from .markup import STRIPPED
 from .urls import domain
 from .values import is_blank, trim
 
@@ -24,6 +24,10 @@ def escape_html(c: Column) -> Column:
     return c
 
 
+def strip_tags(c: Column) -> Column:
+    return F.regexp_replace(c, STRIPPED, "")
+
+
 def sanitize(c: Column, kind: str = "string") -> Column:
     """Keep what the kind allows: string (no tags, escaped), int, float, url, email."""
     if kind == "int":

@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.shared import shared_dir
+from .running import floor_to
 
 MAX_SESSION = 500_000
 CELLS_PER_WINDOW = 3_600
@@ -51,11 +52,11 @@ def _fold(limit: int, window: int):
 
 
 def _sessions(rows: DataFrame, window: int) -> DataFrame:
-    """Size of the session each (key, window number) belongs to."""
+    """Size of the session each (key, window) belongs to."""
     counts = rows.groupBy("key", "w").agg(F.count(F.lit(1)).alias("n"))
     by_time = Window.partitionBy("key").orderBy("w")
     starts = counts.withColumn(
-        "start", F.when(F.coalesce(F.col("w") - F.lag("w").over(by_time) > 1, F.lit(True)), F.col("w"))
+        "start", F.when(F.coalesce(F.col("w") - F.lag("w").over(by_time) > window, F.lit(True)), F.col("w"))
     )
     named = starts.withColumn(
         "session",
@@ -83,7 +84,7 @@ def _one_window(requests: DataFrame, taken: DataFrame, limit: int, window: int,
             freed.filter(F.col("at") < start + window).withColumn("request", F.lit(0)),
             allowMissingColumns=True,
         )
-        .withColumn("cell", F.floor((F.col("at") - start) / F.lit(cell)))
+        .withColumn("cell", floor_to(F.col("at") - start, cell))
     )
     inside = Window.partitionBy("key", "cell").orderBy("at", "request", "id")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -117,27 +118,27 @@ def _window_by_window(rows: DataFrame, limit: int, window: int) -> DataFrame:
     root = shared_dir(spark, "admission")
     rows.select("key", "at", "id", "known", "w").write.partitionBy("w").parquet(f"{root}/rows")
     stored = spark.read.parquet(f"{root}/rows")
-    # One number per window of the covered time: bounded by the time span, not by rows.
-    numbers = sorted(r.w for r in stored.select("w").distinct().collect())
-    previous, admitted_schema = None, "key string, at long, id long"
+    # The start of every window: bounded by the time covered, not by the rows.
+    starts = sorted(r.w for r in stored.select("w").distinct().collect())
+    previous = None
     key_type = stored.schema["key"].dataType.simpleString()
     id_type = stored.schema["id"].dataType.simpleString()
     admitted_schema = f"key {key_type}, at long, id {id_type}"
-    for w in numbers:
+    for w in starts:
         mine = stored.filter(F.col("w") == w)
         taken = mine.filter("known").select("key", "at")
-        if previous is not None and w - previous == 1:
+        if previous is not None and w - previous == window:
             last = spark.read.schema(admitted_schema).parquet(f"{root}/admitted/w={previous}")
             known = stored.filter((F.col("w") == previous) & F.col("known"))
             taken = taken.unionByName(last.select("key", "at")).unionByName(
                 known.select("key", "at")
             )
-        chosen = _one_window(mine.filter("not known"), taken, limit, window, w * window)
+        chosen = _one_window(mine.filter("not known"), taken, limit, window, w)
         chosen.write.parquet(f"{root}/admitted/w={w}")
         previous = w
     admitted = (
         spark.read.schema(admitted_schema)
-        .parquet(*[f"{root}/admitted/w={w}" for w in numbers])
+        .parquet(*[f"{root}/admitted/w={w}" for w in starts])
         .withColumn("admitted", F.lit(True))
     )
     asked = stored.filter("not known").select("key", "at", "id")
@@ -162,7 +163,7 @@ def replay(
         rows = rows.unionByName(
             earlier.select("key", "at", F.lit(True).alias("known")), allowMissingColumns=True
         )
-    rows = rows.withColumn("w", F.floor(F.col("at") / F.lit(window)))
+    rows = rows.withColumn("w", floor_to(F.col("at"), window))
     sessions = _sessions(rows, window)
     sized = rows.join(sessions, ["key", "w"])
 

@@ -20,7 +20,7 @@ SECOND = 1_000_000
 
 
 def with_expiry(entries: DataFrame) -> DataFrame:
-    expires = from_micros(micros(F.col("created_at")) + F.col("ttl_seconds") * SECOND)
+    expires = from_micros(micros(F.col("created_at")) + F.col("ttl_seconds").cast("bigint") * SECOND)
     return entries.withColumn("expires_at", expires)
 
 

@@ -15,7 +15,6 @@ from ..functions.values import (
     format_bytes,
     format_duration,
     is_blank,
-    last_of,
     or_null,
     trim,
 )
@@ -57,146 +56,118 @@ LARGE_PAGE_BYTES = 100_000
 COMPLEX_PAGE_ELEMENTS = 1_500
 SLOW_FETCH_MS = 3_000
 
-_REST = rf"""(?:[^>"']++|"[^"]*"|'[^']*')*+>"""
+_REST = markup.TAG_REST
 _BODY = r"[^<]*+(?:<(?!/script)[^<]*+)*+"
 # Start tag of every script outside comments, with its content when it is JSON-LD.
 # Read from the raw page: cleaning removes scripts.
 _SCRIPT = (
-    rf"(?is)<!--.*?(?:-->|\z)|(<script(?=[\s/>])(?:(?=[^>]*+application/ld\+json|[^>]*application/ld)"
+    rf"(?is)<!--.*?(?:-->|\z)|(<script(?=[\s/>])(?:(?=[^>]*application/ld)"
     rf"{_REST}{_BODY}|{_REST})){_BODY}(?:</script\s*+>|\z)"
 )
+_USED_TAGS = r"(?i)^<(?:meta|link|img)[\s/>]|\sitemtype\s*="
+_ITEM_TYPE = r"(?i)\sitemtype\s*="
+_META_ATTRS = ["name", "property", "http-equiv", "charset", "content"]
 
 
 def parse(pages: DataFrame) -> DataFrame:
     """Each page with its parsed parts.
 
     clean, n_elements, tags, title, headings (level, text), anchors (href, text),
-    metas, link_tags, images, item_types, ld_json, n_script_src, text.
+    metas, link_tags, image_tags, item_types, ld_json, n_script_src, text.
     """
-    cleaned = pages.withColumns(
-        {
-            "clean": markup.clean(F.col("html")),
-            "scripts": F.filter(
-                F.regexp_extract_all("html", F.lit(_SCRIPT), F.lit(1)), lambda s: s != ""
-            ),
-        }
+    cleaned = pages.selectExpr(
+        "*",
+        f"{markup.clean('html')} AS clean",
+        f"filter(regexp_extract_all(html, {markup.q(_SCRIPT)}, 1), s -> s <> '') AS scripts",
     )
-    clean, tags = F.col("clean"), F.col("tags")
-    tokens = cleaned.withColumns(
-        {
-            "tags": markup.start_tags(clean),
-            "title_html": F.array_compact(F.array(markup.first_element_inner(clean, "title"))),
-            "heading_html": markup.headings_source(clean),
-            "anchor_html": markup.elements_source(clean, "a"),
-            "stripped": markup.content_html(clean),
-            "script_tags": markup.tags_with(
-                F.transform("scripts", markup.start_tag_of), ["type", "src"]
-            ),
-        }
+    tokens = cleaned.selectExpr(
+        "*",
+        f"{markup.start_tags('clean')} AS tags",
+        f"{markup.first_element('clean', 'title')} AS title_html",
+        f"{markup.headings_source('clean')} AS heading_html",
+        f"{markup.elements_source('clean', 'a')} AS anchor_html",
+        f"{markup.content_html('clean')} AS stripped",
+        f"{markup.tags_with(markup.start_tags_of('scripts'), ['type', 'src'])} AS script_tags",
     )
-    used = tokens.withColumn(
-        "used_tags",
-        F.filter(tags, lambda t: t.rlike(r"(?i)^<(?:meta|link|img)[\s/>]|\sitemtype\s*=")),
+    used = tokens.selectExpr(
+        "*", f"filter(tags, t -> t RLIKE {markup.q(_USED_TAGS)}) AS used_tags"
     )
-
-    def pick(names, attrs):
-        return markup.tags_with(
-            F.filter("used_tags", lambda t: markup.is_tag(t, *names)), attrs
-        )
-
-    parsed = used.withColumns(
-        {
-            "n_elements": F.size(tags),
-            "title": F.get(markup.inner_texts(F.col("title_html")), 0),
-            "headings": F.transform(
-                F.arrays_zip(
-                    F.transform("heading_html", lambda h: F.lower(F.substring(h, 2, 2))).alias(
-                        "level"
-                    ),
-                    markup.inner_texts(
-                        F.transform("heading_html", markup.after_start_tag)
-                    ).alias("text"),
-                ),
-                lambda z: F.struct(z["level"].alias("level"), z["text"].alias("text")),
-            ),
-            "anchors": F.transform(
-                F.arrays_zip(
-                    markup.tags_with(
-                        F.transform("anchor_html", markup.start_tag_of), ["href"]
-                    ).alias("tag"),
-                    markup.inner_texts(
-                        F.transform("anchor_html", markup.after_start_tag)
-                    ).alias("text"),
-                ),
-                lambda z: F.struct(z["tag"]["href"].alias("href"), z["text"].alias("text")),
-            ),
-            "metas": pick(["meta"], ["name", "property", "http-equiv", "charset", "content"]),
-            "link_tags": pick(["link"], ["rel", "href", "hreflang"]),
-            "image_tags": pick(["img"], ["src", "alt", "title"]),
-            "item_types": F.transform(
-                markup.tags_with(
-                    F.filter("used_tags", lambda t: t.rlike(r"(?i)\sitemtype\s*=")), ["itemtype"]
-                ),
-                lambda t: t["itemtype"],
-            ),
-            "ld_json": F.transform(
-                F.filter(
-                    F.arrays_zip(F.col("scripts").alias("source"), F.col("script_tags").alias("tag")),
-                    lambda z: z["tag"]["type"] == "application/ld+json",
-                ),
-                lambda z: trim(markup.after_start_tag(z["source"])),
-            ),
-            "n_script_src": F.size(F.filter("script_tags", lambda t: t["src"].isNotNull())),
-            "text": markup.readable(F.col("stripped")),
-        }
+    item_tags = f"filter(used_tags, t -> t RLIKE {markup.q(_ITEM_TYPE)})"
+    ld_sources = (
+        "transform(filter(arrays_zip(scripts, script_tags),"
+        " z -> z.script_tags.type = 'application/ld+json'), z -> z.scripts)"
     )
-    return parsed.drop(
-        "scripts", "title_html", "heading_html", "anchor_html", "stripped", "script_tags", "used_tags"
+    return used.select(
+        *pages.columns,
+        "clean",
+        "tags",
+        F.expr("size(tags) AS n_elements"),
+        F.expr(f"get({markup.inner_texts('title_html')}, 0) AS title"),
+        F.expr(
+            "transform(arrays_zip(heading_html, "
+            f"{markup.inner_texts(markup.after_start_tags('heading_html'))}),"
+            " z -> named_struct('level', lower(substring(z.heading_html, 2, 2)),"
+            " 'text', z['1'])) AS headings"
+        ),
+        F.expr(
+            "transform(arrays_zip("
+            f"{markup.tags_with(markup.start_tags_of('anchor_html'), ['href'])},"
+            f" {markup.inner_texts(markup.after_start_tags('anchor_html'))}),"
+            " z -> named_struct('href', z['0'].href, 'text', z['1'])) AS anchors"
+        ),
+        F.expr(f"{markup.tags_with(markup.of_tag('used_tags', 'meta'), _META_ATTRS)} AS metas"),
+        F.expr(
+            f"{markup.tags_with(markup.of_tag('used_tags', 'link'), ['rel', 'href', 'hreflang'])}"
+            " AS link_tags"
+        ),
+        F.expr(
+            f"{markup.tags_with(markup.of_tag('used_tags', 'img'), ['src', 'alt', 'title'])}"
+            " AS image_tags"
+        ),
+        F.expr(f"{markup.tags_with(item_tags, ['itemtype'])}.itemtype AS item_types"),
+        F.expr(
+            f"transform({markup.after_start_tags(ld_sources)}, j -> {markup.trim('j')}) AS ld_json"
+        ),
+        F.expr("size(filter(script_tags, t -> t.src IS NOT NULL)) AS n_script_src"),
+        F.expr(f"{markup.readable('stripped')} AS text"),
     )
 
 
 # -- extractors: Columns over ``parse`` output ---------------------------------
 
 
-def named_metas(metas: Column) -> Column:
+def named_metas() -> Column:
     """(name, content) of each meta tag; a tag without either is left out."""
-
-    def named(m):
-        name = F.lower(F.coalesce(m["name"], m["property"], m["http_equiv"]))
-        keyless = F.coalesce(m["name"], m["property"], m["http_equiv"]).isNull()
-        return F.struct(
-            F.when(keyless & m["charset"].isNotNull(), "charset").otherwise(name).alias("name"),
-            F.when(keyless, m["charset"]).otherwise(m["content"]).alias("content"),
-        )
-
-    return F.filter(
-        F.transform(metas, named), lambda m: ~is_blank(m["name"]) & ~is_blank(m["content"])
+    key = "coalesce(m.name, m.property, m.http_equiv)"
+    named = (
+        f"transform(metas, m -> CASE WHEN {key} IS NULL"
+        " THEN named_struct('name', 'charset', 'content', m.charset)"
+        f" ELSE named_struct('name', lower({key}), 'content', m.content) END)"
     )
+    return F.expr(f"filter({named}, m -> m.name NOT IN ('', '0') AND m.content NOT IN ('', '0'))")
 
 
-def prefixed_metas(metas: Column, attr: str, prefix: str) -> Column:
+def prefixed_metas(attr: str, prefix: str) -> Column:
     """(name, content) of tags whose ``attr`` starts with ``prefix``, content trimmed
     first and left out when blank."""
-    kept = F.filter(metas, lambda m: F.coalesce(m[attr].startswith(prefix), F.lit(False)))
-    trimmed = F.transform(
-        kept, lambda m: F.struct(m[attr].alias("name"), trim(m["content"]).alias("content"))
+    trimmed = (
+        f"transform(filter(metas, m -> startswith(m.{attr}, '{prefix}')),"
+        f" m -> named_struct('name', m.{attr}, 'content', {markup.trim('m.content')}))"
     )
-    return F.filter(trimmed, lambda m: ~is_blank(m["content"]))
+    return F.expr(f"filter({trimmed}, m -> m.content NOT IN ('', '0'))")
 
 
-def _last_content(entries: Column, name: str) -> Column:
-    return last_of(F.filter(entries, lambda m: m["name"] == name))["content"]
+def _last_content(entries: str, name: str) -> Column:
+    return F.expr(f"get(filter(reverse({entries}), m -> m.name = '{name}'), 0).content")
 
 
-def _first_content(entries: Column, name: str) -> Column:
-    return F.get(F.filter(entries, lambda m: m["name"] == name), 0)["content"]
+def _first_content(entries: str, name: str) -> Column:
+    return F.expr(f"get(filter({entries}, m -> m.name = '{name}'), 0).content")
 
 
 def meta_struct() -> Column:
     """Title and the eight meta fields; the last tag of a name wins."""
-    fields = [
-        trim(_last_content(F.col("named_metas"), tag)).alias(f) for f, tag in META_FIELDS.items()
-    ]
+    fields = [trim(_last_content("named_metas", tag)).alias(f) for f, tag in META_FIELDS.items()]
     return F.struct(F.col("title").alias("title"), *fields)
 
 
@@ -204,9 +175,9 @@ def _social(entries: str, fields: dict) -> Column:
     cols = []
     for field, tag in fields.items():
         if field == "image":
-            value = resolve_url(F.col("url"), _first_content(F.col(entries), tag))
+            value = resolve_url(F.col("url"), _first_content(entries, tag))
         else:
-            value = _last_content(F.col(entries), tag)
+            value = _last_content(entries, tag)
         cols.append(value.alias(field))
     return F.struct(*cols)
 
@@ -314,7 +285,7 @@ def images_array() -> Column:
 
 
 def word_count() -> Column:
-    return markup.count_words(F.col("text"))
+    return F.expr(markup.count_words("text"))
 
 
 def insights_struct(fetch_time_ms: str | None = None) -> Column:
@@ -369,24 +340,23 @@ def insights_struct(fetch_time_ms: str | None = None) -> Column:
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row per start tag in document order: page_id, pos, tag, attrs (map)."""
-    tags = pages.select("page_id", markup.clean(F.col("html")).alias("clean"))
-    rows = tags.select("page_id", F.posexplode(markup.start_tags(F.col("clean"))).alias("pos", "src"))
-    return rows.select(
+    tags = pages.selectExpr("page_id", f"{markup.clean('html')} AS clean")
+    rows = tags.selectExpr("page_id", f"posexplode({markup.start_tags('clean')}) AS (pos, source)")
+    return rows.selectExpr(
         "page_id",
         "pos",
-        markup.tag_name(F.col("src")).alias("tag"),
-        markup.attr_map(F.col("src")).alias("attrs"),
+        f"{markup.tag_name('source')} AS tag",
+        f"{markup.attr_map('source')} AS attrs",
     )
 
 
 def with_metas(parsed: DataFrame) -> DataFrame:
     """Adds the (name, content) lists the meta and social structs read."""
-    return parsed.withColumns(
-        {
-            "named_metas": named_metas(F.col("metas")),
-            "og_metas": prefixed_metas(F.col("metas"), "property", "og:"),
-            "twitter_metas": prefixed_metas(F.col("metas"), "name", "twitter:"),
-        }
+    return parsed.select(
+        "*",
+        named_metas().alias("named_metas"),
+        prefixed_metas("property", "og:").alias("og_metas"),
+        prefixed_metas("name", "twitter:").alias("twitter_metas"),
     )
 
 

@@ -8,12 +8,17 @@ no task sees more than one key's rows of one cell, its cells of one block, or it
 blocks.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELL = 60 * 1_000_000
 BLOCK = 1440 * CELL
 
 
+def floor_to(at: Column, step: int) -> Column:
+    """Start of the step ``at`` (BIGINT) lies in."""
+    return at - F.pmod(at, F.lit(step))
+
+
 def running_sum(
     points: DataFrame, keys: list[str], at: str, value: str, out: str,
     cell: int = CELL, block: int = BLOCK,
@@ -21,7 +26,7 @@ def running_sum(
     """``points`` with ``out``: the sum of ``value`` over all points of the same key
     at or before ``at`` (BIGINT).  Rows of the same instant get the same sum."""
     points = points.withColumns(
-        {"_block": F.floor(F.col(at) / F.lit(block)), "_cell": F.floor(F.col(at) / F.lit(cell))}
+        {"_block": floor_to(F.col(at), block), "_cell": floor_to(F.col(at), cell)}
     )
     cells = points.groupBy(*keys, "_block", "_cell").agg(F.sum(value).alias("_sum"))
     blocks = cells.groupBy(*keys, "_block").agg(F.sum("_sum").alias("_sum"))
@@ -51,7 +56,7 @@ def latest_before(
     """``events`` with ``out``: the greatest non-null ``value`` of the same key at or
     before ``at``.  With a value that starts with its own time this is an as-of join."""
     events = events.withColumns(
-        {"_block": F.floor(F.col(at) / F.lit(block)), "_cell": F.floor(F.col(at) / F.lit(cell))}
+        {"_block": floor_to(F.col(at), block), "_cell": floor_to(F.col(at), cell)}
     )
     cells = events.groupBy(*keys, "_block", "_cell").agg(F.max(value).alias("_max"))
     blocks = cells.groupBy(*keys, "_block").agg(F.max("_max").alias("_max"))

@@ -1 +1 @@
-
+"""Readers and the checks on arriving rows."""

@@ -57,7 +57,9 @@ def response_headers(lines: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def gate_reason(status: Column, content_type: Column, size: Column) -> Column:
+def gate_reason(
+    status: Column, content_type: Column, size: Column, max_bytes: int = MAX_BYTES
+) -> Column:
     """Why a fetched page is not analysed, the first check that fails; NULL if none."""
     main_type = F.lower(trim(F.get(F.split(content_type, ";"), 0)))
     return (
@@ -75,21 +77,23 @@ def gate_reason(status: Column, content_type: Column, size: Column) -> Column:
             ),
         )
         .when(
-            size > MAX_BYTES,
+            size > max_bytes,
             F.concat(
                 F.lit("Content too large ("), size.cast("string"),
-                F.lit(f" bytes). Maximum allowed: {MAX_BYTES} bytes"),
+                F.lit(f" bytes). Maximum allowed: {max_bytes} bytes"),
             ),
         )
         .when(size == 0, "Failed to retrieve content from the URL.")
     )
 
 
-def gate(fetched: DataFrame, content: str = "content") -> DataFrame:
+def gate(
+    fetched: DataFrame, content: str = "content", max_bytes: int = MAX_BYTES
+) -> DataFrame:
     """``fetched`` with ``reason``; filter on NULL for the pages to analyse."""
     size = F.octet_length(content).cast("long")
     return fetched.withColumn(
-        "reason", gate_reason(F.col("http_code"), F.col("content_type"), size)
+        "reason", gate_reason(F.col("http_code"), F.col("content_type"), size, max_bytes)
     )
 
 
