@@ -9,7 +9,7 @@ import ipaddress
 from pyspark.sql import Column, functions as F
 
 from .urls import IPV4
-from .values import is_blank
+from .values import is_blank, let
 
 # Ranges that may not be fetched.
 BLOCKED_RANGES = ("127.0.0.0/8", "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16")
@@ -51,30 +51,46 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4), number)
 
 
+def _v4_tail_as_groups(ip: Column) -> Column:
+    """``::ffff:1.2.3.4`` as ``::ffff:0102:0304``, all lower case."""
+
+    def joined(v4):
+        digits = F.lpad(F.lower(F.hex(ipv4_number(v4))), 8, "0")
+        head = F.lower(F.regexp_replace(ip, r"[0-9.]+$", ""))
+        groups = F.regexp_replace(digits, "^(.{4})(.{4})$", "$1:$2")
+        return F.when(v4 == "", F.lower(ip)).otherwise(F.concat(head, groups))
+
+    return let(F.regexp_extract(ip, r":([0-9]+(?:\.[0-9]+){3})$", 1), joined)
+
+
 def ipv6_hex(ip: Column) -> Column:
     """IPv6 text as 32 hex digits; NULL when it is not a valid address."""
-    v4 = F.regexp_extract(ip, r":([0-9]+(?:\.[0-9]+){3})$", 1)
-    v4_hex = F.lpad(F.lower(F.hex(ipv4_number(v4))), 8, "0")
-    v4_groups = F.concat(F.substring(v4_hex, 1, 4), F.lit(":"), F.substring(v4_hex, 5, 4))
-    plain = F.when(v4 == "", F.lower(ip)).otherwise(
-        F.concat(F.lower(F.regexp_replace(ip, r"[0-9.]+$", "")), v4_groups)
-    )
-    sides = F.split(plain, "::")
 
     def groups(text):
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ":"))
 
-    left = groups(F.get(sides, 0))
-    right = groups(F.coalesce(F.get(sides, 1), F.lit("")))
-    known = F.size(left) + F.size(right)
-    gap = F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0)))
-    all_groups = F.when(F.size(sides) == 2, F.concat(left, gap, right)).otherwise(left)
-    count_ok = F.when(F.size(sides) == 2, known <= 7).otherwise(
-        (F.size(sides) == 1) & (known == 8)
-    )
-    well_formed = count_ok & F.forall(all_groups, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    digits = F.array_join(F.transform(all_groups, lambda g: F.lpad(g, 4, "0")), "")
-    return F.when(ip.contains(":") & F.coalesce(well_formed, F.lit(False)), digits)
+    def split(sides):
+        return F.struct(
+            F.size(sides).alias("sides"),
+            groups(F.get(sides, 0)).alias("left"),
+            groups(F.coalesce(F.get(sides, 1), F.lit(""))).alias("right"),
+        )
+
+    def filled(s):
+        known = F.size(s["left"]) + F.size(s["right"])
+        gap = F.array_repeat(F.lit("0"), F.greatest(8 - known, F.lit(0)))
+        count_ok = F.when(s["sides"] == 2, known <= 7).otherwise(
+            (s["sides"] == 1) & (known == 8)
+        )
+        every = F.when(s["sides"] == 2, F.concat(s["left"], gap, s["right"])).otherwise(s["left"])
+        return F.when(count_ok, every)
+
+    def digits(every):
+        valid = F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+        return F.when(valid, F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), ""))
+
+    sides = F.split(_v4_tail_as_groups(ip), "::")
+    return F.when(ip.contains(":"), let(let(let(sides, split), filled), digits))
 
 
 def is_ip(c: Column) -> Column:
@@ -104,11 +120,17 @@ def _in_range(ip: Column, v4: Column, v6: Column, cidr: str) -> Column:
 
 def matching_range(ip: Column, ranges) -> Column:
     """The first range that holds ``ip``; NULL when none does."""
-    v4, v6 = ipv4_number(ip), ipv6_hex(ip)
-    found = [
-        F.when(F.coalesce(_in_range(ip, v4, v6, r), F.lit(False)), F.lit(r)) for r in ranges
-    ]
-    return F.coalesce(*found) if found else F.lit(None).cast("string")
+    if not ranges:
+        return F.lit(None).cast("string")
+    numbers = F.struct(
+        ip.alias("ip"), ipv4_number(ip).alias("v4"), ipv6_hex(ip).alias("v6")
+    )
+    return let(
+        numbers,
+        lambda n: F.coalesce(
+            *[F.when(_in_range(n["ip"], n["v4"], n["v6"], r), F.lit(r)) for r in ranges]
+        ),
+    )
 
 
 def in_ranges(ip: Column, ranges) -> Column:
@@ -126,11 +148,13 @@ def is_public(ip: Column) -> Column:
 def client_ip(headers: Column) -> Column:
     """Client address from a map of request headers: the first listed header with a
     public address (the first of a comma list), else REMOTE_ADDR, else 127.0.0.1."""
-    options = []
-    for name in CLIENT_HEADERS:
-        value = F.try_element_at(headers, F.lit(name))
-        ip = F.when(value.contains(","), F.trim(F.get(F.split(value, ","), 0))).otherwise(value)
-        options.append(F.when(~is_blank(value) & is_public(ip), ip))
+    values = F.array(*[F.try_element_at(headers, F.lit(name)) for name in CLIENT_HEADERS])
+    firsts = F.transform(
+        F.filter(values, lambda v: ~is_blank(v)),
+        lambda v: F.when(v.contains(","), F.trim(F.get(F.split(v, ","), 0))).otherwise(v),
+    )
     return F.coalesce(
-        *options, F.try_element_at(headers, F.lit("REMOTE_ADDR")), F.lit("127.0.0.1")
+        F.get(F.filter(firsts, is_public), 0),
+        F.try_element_at(headers, F.lit("REMOTE_ADDR")),
+        F.lit("127.0.0.1"),
     )

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, functions as F
 
-from .values import is_blank, trim
+from .values import is_blank, let, trim
 
 # Fixed values.
 ALLOWED_PORTS = (80, 443)
@@ -13,32 +13,43 @@ _LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
 HOSTNAME = rf"^(?=.{{1,253}}\.?$){_LABEL}(?:\.{_LABEL})*\.?$"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4 = rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"
-_PARTS = r"^(?i:(https?))://(?:[^/?#]*@)?([^/?#:]*)(?::([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+_PARTS = r"^(?i:(https?))://(?:[^/?#]*@)?([^/?#:]*)(?::([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_SEPARATOR = "\x01"
 
 
 def _with_scheme(url: Column) -> Column:
-    u = F.regexp_replace(trim(url), r"[\x00-\x1f\x7f]", "_")
-    has_scheme = u.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://")
-    return F.when(has_scheme, u).otherwise(F.concat(F.lit("http://"), u))
+    def prefixed(u):
+        has_scheme = u.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*://")
+        return F.when(has_scheme, u).otherwise(F.concat(F.lit("http://"), u))
+
+    return let(F.regexp_replace(trim(url), r"[\x00-\x1f\x7f]", "_"), prefixed)
 
 
 def url_parts(url: Column) -> Column:
-    """STRUCT(scheme, host, port_text, path, query, fragment, other_scheme, parsed)."""
-    u = _with_scheme(url)
+    """STRUCT(scheme, host, port_text, path, query, fragment, other_scheme, parsed).
 
-    def part(i):
-        return F.regexp_extract(u, _PARTS, i)
+    One match splits the URL; control characters are already replaced, so none of
+    them can be mistaken for the separator.
+    """
 
-    return F.struct(
-        F.lower(part(1)).alias("scheme"),
-        F.lower(part(2)).alias("host"),
-        part(3).alias("port_text"),
-        part(4).alias("path"),
-        F.substring(part(5), 2, 1 << 30).alias("query"),
-        F.substring(part(6), 2, 1 << 30).alias("fragment"),
-        (~u.rlike(r"^(?i:https?)://")).alias("other_scheme"),
-        u.rlike(_PARTS).alias("parsed"),
-    )
+    def named(u):
+        groups = _SEPARATOR.join(f"${i}" for i in range(1, 7))
+        pieces = F.split(F.regexp_replace(u, _PARTS, groups), _SEPARATOR)
+        return let(
+            F.struct(pieces.alias("p"), u.alias("u")),
+            lambda s: F.struct(
+                F.lower(F.get(s["p"], 0)).alias("scheme"),
+                F.lower(F.get(s["p"], 1)).alias("host"),
+                F.get(s["p"], 2).alias("port_text"),
+                F.get(s["p"], 3).alias("path"),
+                F.get(s["p"], 4).alias("query"),
+                F.get(s["p"], 5).alias("fragment"),
+                (~s["u"].rlike(r"^(?i:https?)://")).alias("other_scheme"),
+                (F.size(s["p"]) == 6).alias("parsed"),
+            ),
+        )
+
+    return let(_with_scheme(url), named)
 
 
 def _default_port(scheme: Column) -> Column:
@@ -87,11 +98,11 @@ def normalize_url(url: Column) -> Column:
 
     A URL without a scheme gets ``http://``; any scheme but http(s) is invalid.
     """
-    return normalize_parts(url_parts(url))
+    return let(url_parts(url), normalize_parts)
 
 
 def normalize_error(url: Column) -> Column:
-    return parts_error(url_parts(url))
+    return let(url_parts(url), parts_error)
 
 
 def cache_key(url: Column) -> Column:
@@ -111,37 +122,58 @@ def domain(url: Column) -> Column:
 
 def url_errors(url: Column) -> Column:
     """All reasons a URL is refused; an empty array means it is accepted."""
-    p = url_parts(url)
-    failure = parts_error(p)
-    bare = trim(url)
     too_long = F.when(
-        F.octet_length(bare) > MAX_URL_BYTES, "URL is too long (maximum 2048 characters)"
+        F.octet_length(trim(url)) > MAX_URL_BYTES, "URL is too long (maximum 2048 characters)"
     )
-    invalid = F.concat(F.lit("Invalid URL format: "), failure)
-    local = F.when(
-        failure.isNull() & (p["host"].isin(*LOCAL_NAMES) | p["host"].rlike(IPV4)),
-        "Localhost and IP addresses are not allowed",
+
+    def reasons(c):
+        local = c["host"].isin(*LOCAL_NAMES) | c["host"].rlike(IPV4)
+        return F.array_compact(
+            F.array(
+                too_long,
+                F.concat(F.lit("Invalid URL format: "), c["failure"]),
+                F.when(
+                    c["failure"].isNull() & local, "Localhost and IP addresses are not allowed"
+                ),
+            )
+        )
+
+    checked = let(
+        url_parts(url),
+        lambda p: F.struct(parts_error(p).alias("failure"), p["host"].alias("host")),
     )
     return F.when(is_blank(url), F.array(F.lit("URL is required"))).otherwise(
-        F.array_compact(F.array(too_long, invalid, local))
+        let(checked, reasons)
     )
 
 
-def resolve_url(base: Column, url: Column) -> Column:
-    """Absolute form of ``url`` as found on page ``base``.
+def base_parts(base: Column) -> Column:
+    """STRUCT(scheme, origin, folder) of a page URL, for ``resolve_with``."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    return F.struct(
+        F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)//", 1).alias("scheme"),
+        F.regexp_replace(origin, r"//[^/?#]*@", "//").alias("origin"),
+        F.regexp_replace(F.regexp_replace(path, "/+$", ""), "/+[^/]*$", "").alias("folder"),
+    )
+
+
+def resolve_with(parts: Column, url: Column) -> Column:
+    """Absolute form of ``url`` as found on the page with these ``base_parts``.
 
     ``..``, ``?x`` and ``#x`` are appended to the base directory like any other
     relative text; a blank ``url`` is returned unchanged.
     """
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
-    origin = F.regexp_replace(origin, r"//[^/?#]*@", "//")
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*:)//", 1)
-    path = F.regexp_extract(base, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.regexp_replace(F.regexp_replace(path, "/+$", ""), "/+[^/]*$", "")
     return (
-        F.when(is_blank(url) | is_blank(base), url)
+        F.when(is_blank(url), url)
         .when(url.rlike(r"^https?://"), url)
-        .when(url.startswith("//"), F.concat(scheme, url))
-        .when(url.startswith("/"), F.concat(origin, url))
-        .otherwise(F.concat(origin, folder, F.lit("/"), url))
+        .when(url.startswith("//"), F.concat(parts["scheme"], url))
+        .when(url.startswith("/"), F.concat(parts["origin"], url))
+        .otherwise(F.concat(parts["origin"], parts["folder"], F.lit("/"), url))
+    )
+
+
+def resolve_url(base: Column, url: Column) -> Column:
+    return F.when(is_blank(base), url).otherwise(
+        let(base_parts(base), lambda parts: resolve_with(parts, url))
     )

@@ -20,8 +20,9 @@ def or_null(c: Column) -> Column:
     return F.when(~is_blank(c), c)
 
 
-def last_of(arr: Column) -> Column:
-    return F.get(arr, F.size(arr) - 1)
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def number_text(c: Column, places: int = 2) -> Column:

@@ -136,3 +136,27 @@ def _numbered(texts: Column, section: str, prop: str, label: str) -> Column:
             F.concat(F.lit(label), (i + 1).cast("string")).alias("notes"),
         ),
     )
+
+
+def responses(
+    checked: DataFrame, lookups: DataFrame, analyses: DataFrame, limit: int
+) -> DataFrame:
+    """The answer to each request: id, success, data, meta.
+
+    ``checked`` carries the rate-limit columns and a ``cache_key``, ``lookups`` (id,
+    hit) tells where the analysis came from, ``analyses`` has one row per key.  A
+    denied request gets no data.
+    """
+    found = checked.join(lookups.select("id", "hit"), "id").join(analyses, "cache_key")
+    rate = F.struct(
+        "remaining", F.lit(limit).alias("limit"), "reset_at",
+        F.date_format("reset_at", "yyyy-MM-dd HH:mm:ss").alias("reset_at_formatted"),
+    )
+    return found.select(
+        "id",
+        F.col("allowed").alias("success"),
+        F.when(F.col("allowed"), F.col("analysis")).alias("data"),
+        F.struct("url", "final_url", F.col("hit").alias("cache_hit"), rate.alias("rate_limit")).alias(
+            "meta"
+        ),
+    )

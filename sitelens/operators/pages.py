@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import markup
 from ..functions.jsonld import jsonld_types, microdata_type
-from ..functions.urls import domain, resolve_url
+from ..functions.urls import base_parts, domain, resolve_with
 from ..functions.values import (
     format_bytes,
     format_duration,
@@ -72,7 +72,7 @@ _META_ATTRS = ["name", "property", "http-equiv", "charset", "content"]
 def parse(pages: DataFrame) -> DataFrame:
     """Each page with its parsed parts.
 
-    clean, n_elements, tags, title, headings (level, text), anchors (href, text),
+    base, clean, n_elements, tags, title, headings (level, text), anchors (href, text),
     metas, link_tags, image_tags, item_types, ld_json, n_script_src, text.
     """
     cleaned = pages.selectExpr(
@@ -92,6 +92,7 @@ def parse(pages: DataFrame) -> DataFrame:
     used = tokens.selectExpr(
         "*", f"filter(tags, t -> t RLIKE {markup.q(_USED_TAGS)}) AS used_tags"
     )
+    base = base_parts(F.col("url"))
     item_tags = f"filter(used_tags, t -> t RLIKE {markup.q(_ITEM_TYPE)})"
     ld_sources = (
         "transform(filter(arrays_zip(scripts, script_tags),"
@@ -99,6 +100,7 @@ def parse(pages: DataFrame) -> DataFrame:
     )
     return used.select(
         *pages.columns,
+        base.alias("base"),
         "clean",
         "tags",
         F.expr("size(tags) AS n_elements"),
@@ -175,7 +177,7 @@ def _social(entries: str, fields: dict) -> Column:
     cols = []
     for field, tag in fields.items():
         if field == "image":
-            value = resolve_url(F.col("url"), _first_content(entries, tag))
+            value = resolve_with(F.col("base"), _first_content(entries, tag))
         else:
             value = _last_content(entries, tag)
         cols.append(value.alias(field))
@@ -214,7 +216,7 @@ def hreflang_array() -> Column:
     return F.transform(
         kept,
         lambda t: F.struct(
-            t["hreflang"].alias("lang"), resolve_url(F.col("url"), t["href"]).alias("url")
+            t["hreflang"].alias("lang"), resolve_with(F.col("base"), t["href"]).alias("url")
         ),
     )
 
@@ -222,7 +224,7 @@ def hreflang_array() -> Column:
 def canonical_url() -> Column:
     """From the first canonical link only; NULL when that one has no address."""
     first = F.get(F.filter("link_tags", lambda t: t["rel"] == "canonical"), 0)
-    return resolve_url(F.col("url"), or_null(first["href"]))
+    return resolve_with(F.col("base"), or_null(first["href"]))
 
 
 def icon_candidates() -> Column:
@@ -234,9 +236,9 @@ def icon_candidates() -> Column:
             "link_tags",
             lambda t: F.coalesce(t["rel"] == rel, F.lit(False)) & ~is_blank(t["href"]),
         )
-        return F.transform(kept, lambda t: resolve_url(F.col("url"), t["href"]))
+        return F.transform(kept, lambda t: resolve_with(F.col("base"), t["href"]))
 
-    usual = F.array(*[resolve_url(F.col("url"), F.lit(p)) for p in ICON_FALLBACKS])
+    usual = F.array(*[resolve_with(F.col("base"), F.lit(p)) for p in ICON_FALLBACKS])
     declared = F.concat(*[of_kind(rel) for rel in ICON_RELS])
     return F.array_distinct(
         F.concat(
@@ -264,7 +266,7 @@ def links_array() -> Column:
     def link(a):
         host = domain(a["href"])
         return F.struct(
-            resolve_url(F.col("url"), a["href"]).alias("url"),
+            resolve_with(F.col("base"), a["href"]).alias("url"),
             a["text"].alias("text"),
             (~is_blank(host) & (host != own)).alias("is_external"),
         )
@@ -277,7 +279,7 @@ def images_array() -> Column:
     return F.transform(
         kept,
         lambda t: F.struct(
-            resolve_url(F.col("url"), t["src"]).alias("src"),
+            resolve_with(F.col("base"), t["src"]).alias("src"),
             F.coalesce(t["alt"], F.lit("")).alias("alt"),
             F.coalesce(t["title"], F.lit("")).alias("title"),
         ),

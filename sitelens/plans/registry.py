@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import page_queries
+from . import cache_queries, export_queries, page_queries, request_queries, url_queries
 
-MODULES = (page_queries,)
+MODULES = (page_queries, url_queries, request_queries, cache_queries, export_queries)
 
 
 def _in_utc(fn):
