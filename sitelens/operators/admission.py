@@ -156,7 +156,8 @@ def replay(
 
     ``at`` and ``window`` are in the same unit (BIGINT); requests of a key are taken
     in order of ``at``, then ``id`` (unique).  ``earlier`` (key, at) holds admissions
-    decided before, for instance by the previous batch of a stream.
+    decided before, for instance by the previous batch of a stream; they precede all
+    requests of their key.
     """
     rows = requests.select("key", "at", "id", F.lit(False).alias("known"))
     if earlier is not None:

@@ -2,9 +2,23 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cache_queries, export_queries, page_queries, request_queries, url_queries
-
-MODULES = (page_queries, url_queries, request_queries, cache_queries, export_queries)
+from . import (
+    cache_queries,
+    export_queries,
+    page_queries,
+    request_queries,
+    stream_queries,
+    url_queries,
+)
+
+MODULES = (
+    page_queries,
+    url_queries,
+    request_queries,
+    cache_queries,
+    export_queries,
+    stream_queries,
+)
 
 
 def _in_utc(fn):

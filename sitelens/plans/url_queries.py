@@ -183,7 +183,7 @@ def whitelist_requests(spark, sf):
     return marked.select("id", "whitelisted")
 
 
-# Name resolution stands on events too: twenty hosts, one in five addresses blocked.
+# Name resolution stands on events too: twenty hosts, every third address blocked.
 ADDRESSES = """
     concat('site', user_id % 20, '.example.com') AS host,
     concat(8 + user_id % 3, '.', user_id % 256, '.', event_id % 256, '.9') AS ip"""
