@@ -7,7 +7,7 @@ Entries have ``id``, ``cache_key``, ``url``, ``created_at``, ``ttl_seconds`` and
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import cache_key, is_cache_key
-from ..functions.values import format_bytes, from_micros, micros
+from ..functions.values import format_bytes, from_micros, micros, seconds_interval
 from .admission import MAX_SESSION, replay
 from .running import latest_before
 
@@ -20,7 +20,7 @@ SECOND = 1_000_000
 
 
 def with_expiry(entries: DataFrame) -> DataFrame:
-    expires = from_micros(micros(F.col("created_at")) + F.col("ttl_seconds").cast("bigint") * SECOND)
+    expires = F.col("created_at") + seconds_interval(F.col("ttl_seconds"))
     return entries.withColumn("expires_at", expires)
 
 
@@ -51,22 +51,26 @@ def upsert(stored: DataFrame, arriving: DataFrame) -> DataFrame:
 
 
 def dedup_urls(pages: DataFrame) -> DataFrame:
-    """One page per cache key, the one with the lowest ``page_id``; pages whose URL is
-    not valid have no key and are left out."""
-    keyed = pages.withColumn("cache_key", cache_key(F.col("url"))).filter(
-        F.col("cache_key").isNotNull()
-    )
-    rest = [c for c in pages.columns if c != "page_id"]
-    first = F.min_by(F.struct(*rest), "page_id")
+    """The page to keep per cache key: cache_key, page_id (the lowest), copies.
+
+    Only keys and ids are shuffled.  Pages whose URL is not valid have no key and are
+    left out.
+    """
+    keyed = pages.select(cache_key(F.col("url")).alias("cache_key"), "page_id")
     return (
-        keyed.groupBy("cache_key")
-        .agg(F.min("page_id").alias("page_id"), first.alias("_p"), F.count(F.lit(1)).alias("copies"))
-        .select("cache_key", "page_id", "copies", "_p.*")
+        keyed.filter("cache_key IS NOT NULL")
+        .groupBy("cache_key")
+        .agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("copies"))
     )
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` without later copies of a URL."""
+    return pages.join(dedup_urls(pages).select("page_id"), "page_id", "left_semi")
+
+
 def valid_at(now: Column) -> Column:
-    return micros(F.col("expires_at")) > micros(now)
+    return F.col("expires_at") > now
 
 
 def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
@@ -177,13 +181,12 @@ def store_stats(
 def expired(kind: str, now: Column) -> Column:
     """What a clean-up deletes.  An entry expiring exactly now is kept, though it can
     no longer be looked up."""
-    moment = micros(now)
     if kind == "cache":
-        return micros(F.col("expires_at")) < moment
+        return F.col("expires_at") < now
     if kind == "requests":
-        return micros(F.col("created_at")) < moment - REQUEST_HOURS * 3_600 * SECOND
+        return F.col("created_at") < now - seconds_interval(REQUEST_HOURS * 3_600)
     if kind == "logs":
-        return micros(F.col("created_at")) < moment - LOG_DAYS * 86_400 * SECOND
+        return F.col("created_at") < now - seconds_interval(LOG_DAYS * 86_400)
     raise ValueError(f"unknown table kind: {kind}")
 
 

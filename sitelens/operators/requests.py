@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.network import BLOCKED_RANGES, in_ranges, is_blocked
 from ..functions.urls import normalize_url, url_errors, domain
-from ..functions.values import countdown_text, from_micros, micros
+from ..functions.values import countdown_text, from_micros, micros, seconds_interval
 from .admission import MAX_SESSION, replay
 from .running import running_sum
 
@@ -25,19 +25,22 @@ def trailing_counts(requests: DataFrame, hours: float = 1) -> DataFrame:
     instant on and stops counting one window later, so the answer is a running sum.
     """
     window = int(hours * HOUR)
-    rows = requests.withColumn("_at", micros(F.col("created_at")))
+    at = micros(F.col("created_at"))
+    rows = requests.withColumn("_at", at).filter("ip_address IS NOT NULL AND _at IS NOT NULL")
     instants = rows.groupBy("ip_address", "_at").agg(F.count(F.lit(1)).alias("_n"))
-    changes = instants.withColumn("_arrival", F.lit(True)).unionByName(
-        instants.select(
-            "ip_address", (F.col("_at") + window).alias("_at"), (-F.col("_n")).alias("_n"),
-            F.lit(False).alias("_arrival"),
-        )
-    )
-    active = running_sum(changes, ["ip_address"], "_at", "_n", "_active").filter("_arrival")
+
+    def step(at, n, arrival):
+        return F.struct(at.alias("at"), n.alias("n"), F.lit(arrival).alias("arrival"))
+
+    first, n = F.col("_at"), F.col("_n")
+    change = F.explode(F.array(step(first, n, True), step(first + window, -n, False)))
+    changes = instants.select("ip_address", change.alias("c")).select("ip_address", "c.*")
+    active = running_sum(changes, ["ip_address"], "at", "n", "active").filter("arrival")
+    counts = active.select("ip_address", F.col("at").alias("_at"), "active")
     return (
-        rows.join(active.select("ip_address", "_at", "_active"), ["ip_address", "_at"])
-        .withColumn("previous_requests", F.col("_active") - 1)
-        .drop("_at", "_active")
+        rows.join(counts, ["ip_address", "_at"])
+        .withColumn("previous_requests", F.col("active") - 1)
+        .drop("_at", "active")
     )
 
 
@@ -102,8 +105,8 @@ def admissions(
 
 
 def recent(requests: DataFrame, now: Column, hours: float = 1) -> DataFrame:
-    since = micros(now) - int(hours * HOUR)
-    return requests.filter(micros(F.col("created_at")) > since)
+    # A plain comparison of the column, so that it reaches the scan.
+    return requests.filter(F.col("created_at") > now - seconds_interval(int(hours * 3_600)))
 
 
 def requests_per_address(requests: DataFrame, now: Column, hours: float = 1) -> DataFrame:

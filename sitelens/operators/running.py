@@ -1,17 +1,16 @@
 """Running totals over time for keys of any size.
 
 A plain window function sorts all rows of a key in one task.  Here time is cut into
-cells: rows are summed per (key, cell), the cell sums are accumulated per (key,
-block) and the block sums per key, and a window function runs only inside a cell.
-A key that holds a third of the table is spread over as many tasks as it has cells;
-no task sees more than one key's rows of one cell, its cells of one block, or its
-blocks.
+cells: rows are reduced per (key, cell), the cell values are accumulated per key, and
+a window function over rows runs only inside one cell.  A key that holds a third of
+the table is spread over as many tasks as it has cells.  What one task sees of a key
+is the rows of one cell, or one value per cell of the covered time (half a million
+for a year of minutes), however many rows there are.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 CELL = 60 * 1_000_000
-BLOCK = 1440 * CELL
 
 
 def floor_to(at: Column, step: int) -> Column:
@@ -19,60 +18,39 @@ def floor_to(at: Column, step: int) -> Column:
     return at - F.pmod(at, F.lit(step))
 
 
-def running_sum(
-    points: DataFrame, keys: list[str], at: str, value: str, out: str,
-    cell: int = CELL, block: int = BLOCK,
+def _over_time(
+    rows: DataFrame, keys: list[str], at: str, value: str, out: str, cell: int, reduce, merge
 ) -> DataFrame:
-    """``points`` with ``out``: the sum of ``value`` over all points of the same key
-    at or before ``at`` (BIGINT).  Rows of the same instant get the same sum."""
-    points = points.withColumns(
-        {"_block": floor_to(F.col(at), block), "_cell": floor_to(F.col(at), cell)}
-    )
-    cells = points.groupBy(*keys, "_block", "_cell").agg(F.sum(value).alias("_sum"))
-    blocks = cells.groupBy(*keys, "_block").agg(F.sum("_sum").alias("_sum"))
-
-    def earlier(partition, order):
-        w = Window.partitionBy(*partition).orderBy(order)
-        w = w.rowsBetween(Window.unboundedPreceding, -1)
-        return F.coalesce(F.sum("_sum").over(w), F.lit(0))
-
-    blocks = blocks.select(*keys, "_block", earlier(keys, "_block").alias("_before_block"))
-    cells = cells.withColumn("_before_cell", earlier([*keys, "_block"], "_cell"))
-    carried = cells.join(blocks, [*keys, "_block"]).select(
-        *keys, "_cell", (F.col("_before_block") + F.col("_before_cell")).alias("_carried")
-    )
+    """``reduce(value)`` over all rows of a key at or before ``at``; ``merge`` joins the
+    result for earlier cells with that inside the cell."""
+    rows = rows.withColumn("_cell", floor_to(F.col(at), cell))
+    earlier = Window.partitionBy(*keys).orderBy("_cell")
+    earlier = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy(*keys, "_cell").agg(reduce(F.col(value)).alias("_value"))
+    carried = cells.select(*keys, "_cell", reduce(F.col("_value")).over(earlier).alias("_carried"))
     inside = Window.partitionBy(*keys, "_cell").orderBy(at)
     inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = points.join(carried, [*keys, "_cell"])
-    return joined.withColumn(out, F.col("_carried") + F.sum(value).over(inside)).drop(
-        "_block", "_cell", "_carried"
-    )
+    joined = rows.join(carried, [*keys, "_cell"])
+    here = reduce(F.col(value)).over(inside)
+    return joined.withColumn(out, merge(F.col("_carried"), here)).drop("_cell", "_carried")
 
 
-def latest_before(
-    events: DataFrame, keys: list[str], at: str, value: str, out: str,
-    cell: int = CELL, block: int = BLOCK,
+def running_sum(
+    rows: DataFrame, keys: list[str], at: str, value: str, out: str, cell: int = CELL
 ) -> DataFrame:
-    """``events`` with ``out``: the greatest non-null ``value`` of the same key at or
-    before ``at``.  With a value that starts with its own time this is an as-of join."""
-    events = events.withColumns(
-        {"_block": floor_to(F.col(at), block), "_cell": floor_to(F.col(at), cell)}
+    """``rows`` with ``out``: the sum of ``value`` over all rows of the same key at or
+    before ``at`` (BIGINT).  Rows of the same instant get the same sum."""
+    return _over_time(
+        rows, keys, at, value, out, cell, F.sum,
+        lambda before, here: F.coalesce(before, F.lit(0)) + here,
     )
-    cells = events.groupBy(*keys, "_block", "_cell").agg(F.max(value).alias("_max"))
-    blocks = cells.groupBy(*keys, "_block").agg(F.max("_max").alias("_max"))
 
-    def earlier(partition, order):
-        w = Window.partitionBy(*partition).orderBy(order)
-        return F.max("_max").over(w.rowsBetween(Window.unboundedPreceding, -1))
 
-    blocks = blocks.select(*keys, "_block", earlier(keys, "_block").alias("_before_block"))
-    cells = cells.withColumn("_before_cell", earlier([*keys, "_block"], "_cell"))
-    carried = cells.join(blocks, [*keys, "_block"]).select(
-        *keys, "_cell", F.coalesce("_before_cell", "_before_block").alias("_carried")
-    )
-    inside = Window.partitionBy(*keys, "_cell").orderBy(at)
-    inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = events.join(carried, [*keys, "_cell"])
-    return joined.withColumn(out, F.coalesce(F.max(value).over(inside), "_carried")).drop(
-        "_block", "_cell", "_carried"
+def latest_before(
+    rows: DataFrame, keys: list[str], at: str, value: str, out: str, cell: int = CELL
+) -> DataFrame:
+    """``rows`` with ``out``: the greatest non-null ``value`` of the same key at or
+    before ``at``.  With a value that grows with time this is an as-of join."""
+    return _over_time(
+        rows, keys, at, value, out, cell, F.max, lambda before, here: F.coalesce(here, before)
     )

@@ -38,7 +38,7 @@ def test_trailing_counts_with_hot_key_and_ties(spark):
 def test_running_sum_over_small_cells(spark):
     rows = hot_rows(800, 500, 2)
     df = spark.createDataFrame([(k, t - 250, 1) for k, t in rows], "k string, at long, v int")
-    got = running_sum(df, ["k"], "at", "v", "total", cell=7, block=70).collect()
+    got = running_sum(df, ["k"], "at", "v", "total", cell=7).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.total == sum(1 for k, t in rows if k == r.k and t - 250 <= r.at)
@@ -48,7 +48,7 @@ def test_latest_before_over_small_cells(spark):
     rng = random.Random(4)
     rows = [(k, t, rng.choice([None, t])) for k, t in hot_rows(600, 900, 3)]
     df = spark.createDataFrame(rows, "k string, at long, v long")
-    for r in latest_before(df, ["k"], "at", "v", "last", cell=5, block=50).collect():
+    for r in latest_before(df, ["k"], "at", "v", "last", cell=5).collect():
         known = [v for k, t, v in rows if k == r.k and t <= r.at and v is not None]
         assert r["last"] == (max(known) if known else None)
 
