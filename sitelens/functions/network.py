@@ -97,40 +97,50 @@ def is_ip(c: Column) -> Column:
     return F.coalesce(c.rlike(IPV4), F.lit(False)) | ipv6_hex(c).isNotNull()
 
 
-def _in_range(ip: Column, v4: Column, v6: Column, cidr: str) -> Column:
+def _in_v4_range(n: Column, cidr: str) -> Column | None:
     if "/" not in cidr:
-        return ip == cidr
+        return n["ip"] == cidr
     subnet, bits = cidr.split("/")
-    bits = int(bits)
-    address = ipaddress.ip_address(subnet)
-    full, rest = divmod(bits, 4)
-    digits = address.packed.hex()
-    # An IPv6 address is compared with the leading bits of any subnet, an IPv4
-    # address with IPv4 subnets only.
-    in_v6 = F.substring(v6, 1, full) == digits[:full] if full else v6.isNotNull()
+    if ":" in subnet:
+        return None
+    free = 32 - int(bits)
+    low = int(ipaddress.IPv4Address(subnet)) >> free << free
+    return n["v4"].between(low, low + (1 << free) - 1)
+
+
+def _in_v6_range(n: Column, cidr: str) -> Column:
+    """An IPv6 address is compared with the leading bits of any subnet."""
+    if "/" not in cidr:
+        return n["ip"] == cidr
+    subnet, bits = cidr.split("/")
+    full, rest = divmod(int(bits), 4)
+    digits = ipaddress.ip_address(subnet).packed.hex()
+    test = n["v6"].startswith(digits[:full])
     if rest:
         low = int(digits[full], 16) >> (4 - rest) << (4 - rest)
         allowed = [f"{d:x}" for d in range(low, low + (1 << (4 - rest)))]
-        in_v6 = in_v6 & F.substring(v6, full + 1, 1).isin(*allowed)
-    if address.version == 6:
-        return in_v6
-    low = int(address) >> (32 - bits) << (32 - bits)
-    return v4.between(low, low + (1 << (32 - bits)) - 1) | in_v6
+        test = test & F.substring(n["v6"], full + 1, 1).isin(*allowed)
+    return test
+
+
+def _numbers(ip: Column) -> Column:
+    return F.struct(ip.alias("ip"), ipv4_number(ip).alias("v4"), ipv6_hex(ip).alias("v6"))
+
+
+def _first_range(n: Column, ranges) -> Column:
+    def first(test):
+        tests = [(test(n, r), r) for r in ranges]
+        found = [F.when(t, F.lit(r)) for t, r in tests if t is not None]
+        return F.coalesce(*found, F.lit(None).cast("string"))
+
+    return F.when(n["v6"].isNull(), first(_in_v4_range)).otherwise(first(_in_v6_range))
 
 
 def matching_range(ip: Column, ranges) -> Column:
     """The first range that holds ``ip``; NULL when none does."""
     if not ranges:
         return F.lit(None).cast("string")
-    numbers = F.struct(
-        ip.alias("ip"), ipv4_number(ip).alias("v4"), ipv6_hex(ip).alias("v6")
-    )
-    return let(
-        numbers,
-        lambda n: F.coalesce(
-            *[F.when(_in_range(n["ip"], n["v4"], n["v6"], r), F.lit(r)) for r in ranges]
-        ),
-    )
+    return let(_numbers(ip), lambda n: _first_range(n, ranges))
 
 
 def in_ranges(ip: Column, ranges) -> Column:
@@ -142,7 +152,11 @@ def is_blocked(ip: Column, ranges=BLOCKED_RANGES) -> Column:
 
 
 def is_public(ip: Column) -> Column:
-    return is_ip(ip) & ~in_ranges(ip, NON_PUBLIC_RANGES)
+    return let(
+        _numbers(ip),
+        lambda n: (n["v4"].isNotNull() | n["v6"].isNotNull())
+        & _first_range(n, NON_PUBLIC_RANGES).isNull(),
+    )
 
 
 def client_ip(headers: Column) -> Column:

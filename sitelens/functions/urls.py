@@ -120,8 +120,8 @@ def domain(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, pattern, 1), F.lit(""))
 
 
-def url_errors(url: Column) -> Column:
-    """All reasons a URL is refused; an empty array means it is accepted."""
+def errors_of_parts(url: Column, parts: Column) -> Column:
+    """All reasons a URL with these ``url_parts`` is refused."""
     too_long = F.when(
         F.octet_length(trim(url)) > MAX_URL_BYTES, "URL is too long (maximum 2048 characters)"
     )
@@ -138,15 +138,17 @@ def url_errors(url: Column) -> Column:
             )
         )
 
-    checked = let(
-        url_parts(url),
-        lambda p: F.struct(parts_error(p).alias("failure"), p["host"].alias("host")),
-    )
+    checked = F.struct(parts_error(parts).alias("failure"), parts["host"].alias("host"))
     return F.when(is_blank(url), F.array(F.lit("URL is required"))).otherwise(
         let(checked, reasons)
     )
 
 
+def url_errors(url: Column) -> Column:
+    """All reasons a URL is refused; an empty array means it is accepted."""
+    return let(url_parts(url), lambda parts: errors_of_parts(url, parts))
+
+
 def base_parts(base: Column) -> Column:
     """STRUCT(scheme, origin, folder) of a page URL, for ``resolve_with``."""
     origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)

@@ -86,7 +86,3 @@ def from_micros(us: Column) -> Column:
 def seconds_interval(seconds) -> Column:
     """A number (or column) of seconds as an interval."""
     return F.make_dt_interval(secs=seconds if isinstance(seconds, Column) else F.lit(seconds))
-
-
-def time_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH:mm:ss")

@@ -9,11 +9,11 @@ size, all with the same result:
 - up to ``limit`` requests: all are admitted;
 - up to ``max_session``: folded in order, streaming over sorted partitions with at
   most ``limit`` times of state;
-- longer: window by window.  Inside one window every place freed is known from the
-  window before, and the number admitted so far is a running minimum,
+- longer: window by window, all such sessions side by side.  Inside one window every
+  place freed is known from the window before, and the number admitted so far is a running minimum,
   ``A(n) = n + min(0, min over m <= n of (places freed by m) - m)``, which is
   computed like a running sum over time cells (see ``running``).  A hot key is thus
-  spread over many tasks; only the windows follow one another.
+  spread over many tasks; only its windows follow one another.
 """
 
 from collections import deque
@@ -66,83 +66,88 @@ def _sessions(rows: DataFrame, window: int) -> DataFrame:
     return named.select("key", "w", "session", size.alias("size"))
 
 
-def _one_window(requests: DataFrame, taken: DataFrame, limit: int, window: int, start: int):
-    """The admitted requests of one window.  ``taken`` are the times admitted earlier
-    that still count after ``start``."""
+def _one_window(requests: DataFrame, taken: DataFrame, limit: int, window: int) -> DataFrame:
+    """The admitted requests of one window (starting at ``w``) of each session.
+
+    ``taken`` are earlier admissions that still count after the window's start.
+    """
     cell = max(window // CELLS_PER_WINDOW, 1)
+    session = ["key", "session"]
     # Of one instant no more than ``limit`` can be admitted, the first by id.
-    tied = Window.partitionBy("key", "at").orderBy("id")
+    tied = Window.partitionBy(*session, "at").orderBy("id")
     requests = requests.withColumn("_rank", F.row_number().over(tied)).filter(
         F.col("_rank") <= limit
     )
-    freed = taken.filter(F.col("at") > start - window).select(
-        "key", (F.col("at") + window).alias("at")
-    )
+    freed = taken.filter(F.col("at") > F.col("w") - window)
+    in_use = freed.groupBy(*session).agg(F.count(F.lit(1)).alias("used"))
+    returns = freed.filter(F.col("at") < F.col("w")).withColumn("at", F.col("at") + window)
     steps = (
-        requests.select("key", "at", "id", F.lit(1).alias("request"))
-        .unionByName(
-            freed.filter(F.col("at") < start + window).withColumn("request", F.lit(0)),
-            allowMissingColumns=True,
-        )
-        .withColumn("cell", floor_to(F.col("at") - start, cell))
+        requests.select(*session, "w", "at", "id", F.lit(1).alias("request"))
+        .unionByName(returns.withColumn("request", F.lit(0)), allowMissingColumns=True)
+        .withColumn("cell", floor_to(F.col("at") - F.col("w"), cell))
     )
-    inside = Window.partitionBy("key", "cell").orderBy("at", "request", "id")
+    inside = Window.partitionBy(*session, "cell").orderBy("at", "request", "id")
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
-    level = F.when(F.col("request") == 1, F.sum(1 - 2 * F.col("request")).over(upto))
+    change = 1 - 2 * F.col("request")
+    level = F.when(F.col("request") == 1, F.sum(change).over(upto))
     local = steps.withColumn("level", level)
     local = local.withColumn("low", F.min("level").over(prior))
 
-    cells = local.groupBy("key", "cell").agg(
-        F.sum(1 - 2 * F.col("request")).alias("change"), F.min("level").alias("low")
+    cells = local.groupBy(*session, "cell").agg(
+        F.sum(change).alias("change"), F.min("level").alias("low")
     )
-    by_cell = Window.partitionBy("key").orderBy("cell")
+    by_cell = Window.partitionBy(*session).orderBy("cell")
     by_cell = by_cell.rowsBetween(Window.unboundedPreceding, -1)
-    in_use = freed.groupBy("key").agg(F.count(F.lit(1)).alias("used"))
     carried = (
-        cells.join(in_use, "key", "left")
+        cells.join(in_use, session, "left")
         .withColumn("free", F.lit(limit) - F.coalesce("used", F.lit(0)))
         .withColumn("base", F.col("free") + F.coalesce(F.sum("change").over(by_cell), F.lit(0)))
         .withColumn("floor", F.min(F.col("base") + F.col("low")).over(by_cell))
-        .select("key", "cell", "base", "floor")
+        .select(*session, "cell", "base", "floor")
     )
-    placed = local.filter("request = 1").join(carried, ["key", "cell"])
+    placed = local.filter("request = 1").join(carried, [*session, "cell"])
     lowest = F.least(F.lit(0), F.col("floor"), F.col("base") + F.col("low"))
-    return placed.filter(F.col("base") + F.col("level") >= lowest).select("key", "at", "id")
+    return placed.filter(F.col("base") + F.col("level") >= lowest).select(
+        *session, "w", "at", "id"
+    )
 
 
 def _window_by_window(rows: DataFrame, limit: int, window: int) -> DataFrame:
-    """Decisions for long sessions; requests and admissions live in the shared folder,
-    one partition per window, so every step reads only its own window."""
+    """Decisions for long sessions.
+
+    Step n decides window n of every long session at once, so there are as many steps
+    as the longest session has windows.  Rows and admissions live in the shared
+    folder, one partition per step, and a step reads only its own and the last one.
+    """
     spark = rows.sparkSession
     root = shared_dir(spark, "admission")
-    rows.select("key", "at", "id", "known", "w").write.partitionBy("w").parquet(f"{root}/rows")
-    stored = spark.read.parquet(f"{root}/rows")
-    # The start of every window: bounded by the time covered, not by the rows.
-    starts = sorted(r.w for r in stored.select("w").distinct().collect())
-    previous = None
-    key_type = stored.schema["key"].dataType.simpleString()
-    id_type = stored.schema["id"].dataType.simpleString()
-    admitted_schema = f"key {key_type}, at long, id {id_type}"
-    for w in starts:
-        mine = stored.filter(F.col("w") == w)
-        taken = mine.filter("known").select("key", "at")
-        if previous is not None and w - previous == window:
-            last = spark.read.schema(admitted_schema).parquet(f"{root}/admitted/w={previous}")
-            known = stored.filter((F.col("w") == previous) & F.col("known"))
-            taken = taken.unionByName(last.select("key", "at")).unionByName(
-                known.select("key", "at")
-            )
-        chosen = _one_window(mine.filter("not known"), taken, limit, window, w)
-        chosen.write.parquet(f"{root}/admitted/w={w}")
-        previous = w
-    admitted = (
-        spark.read.schema(admitted_schema)
-        .parquet(*[f"{root}/admitted/w={w}" for w in starts])
-        .withColumn("admitted", F.lit(True))
-    )
+    numbered = rows.withColumn("step", ((F.col("w") - F.col("session")) / window).cast("int"))
+    columns = ["key", "session", "w", "at", "id"]
+    numbered.select(*columns, "known", "step").write.partitionBy("step").parquet(f"{root}/rows")
+    stored = spark.read.schema(
+        numbered.select(*columns, "known", "step").schema
+    ).parquet(f"{root}/rows")
+    schema = stored.select(*columns).schema
+    # The longest session in windows: bounded by the time covered, not by the rows.
+    last = stored.agg(F.max("step")).first()[0]
+    paths = []
+    for step in range(last + 1):
+        mine = stored.filter(F.col("step") == step)
+        before = stored.filter((F.col("step") == step - 1) & F.col("known")).select(*columns)
+        if paths:
+            before = before.unionByName(spark.read.schema(schema).parquet(paths[-1]))
+        taken = before.withColumn("w", F.col("w") + window).unionByName(
+            mine.filter("known").select(*columns)
+        )
+        paths.append(f"{root}/admitted/step={step}")
+        decided = _one_window(mine.filter("not known"), taken.drop("id"), limit, window)
+        decided.write.parquet(paths[-1])
+    admitted = spark.read.schema(schema).parquet(*paths).select("key", "at", "id")
     asked = stored.filter("not known").select("key", "at", "id")
-    return asked.join(admitted, ["key", "at", "id"], "left").fillna(False, ["admitted"])
+    return asked.join(
+        admitted.withColumn("admitted", F.lit(True)), ["key", "at", "id"], "left"
+    ).fillna(False, ["admitted"])
 
 
 def replay(

@@ -6,6 +6,8 @@ a projection on top of it, so Catalyst prunes whatever a query does not use, and
 nothing here shuffles: the unit of work is one page.
 """
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import markup
@@ -135,9 +137,10 @@ def parse(pages: DataFrame) -> DataFrame:
     )
 
 
-# -- extractors: Columns over ``parse`` output ---------------------------------
+# -- extractors: Columns over ``parse`` output, built once and reused --------------
 
 
+@cache
 def named_metas() -> Column:
     """(name, content) of each meta tag; a tag without either is left out."""
     key = "coalesce(m.name, m.property, m.http_equiv)"
@@ -159,17 +162,18 @@ def prefixed_metas(attr: str, prefix: str) -> Column:
     return F.expr(f"filter({trimmed}, m -> m.content NOT IN ('', '0'))")
 
 
-def _last_content(entries: str, name: str) -> Column:
-    return F.expr(f"get(filter(reverse({entries}), m -> m.name = '{name}'), 0).content")
-
-
-def _first_content(entries: str, name: str) -> Column:
-    return F.expr(f"get(filter({entries}, m -> m.name = '{name}'), 0).content")
+def _content(entries: str, name: str, last: bool = True) -> Column:
+    """Content of the last (or first) entry called ``name``; NULL when there is none."""
+    names, contents = f"{entries}.name", f"{entries}.content"
+    if last:
+        names, contents = f"reverse({names})", f"reverse({contents})"
+    return F.expr(f"get({contents}, CAST(array_position({names}, '{name}') AS INT) - 1)")
 
 
+@cache
 def meta_struct() -> Column:
     """Title and the eight meta fields; the last tag of a name wins."""
-    fields = [trim(_last_content("named_metas", tag)).alias(f) for f, tag in META_FIELDS.items()]
+    fields = [trim(_content("named_metas", tag)).alias(f) for f, tag in META_FIELDS.items()]
     return F.struct(F.col("title").alias("title"), *fields)
 
 
@@ -177,22 +181,25 @@ def _social(entries: str, fields: dict) -> Column:
     cols = []
     for field, tag in fields.items():
         if field == "image":
-            value = resolve_with(F.col("base"), _first_content(entries, tag))
+            value = resolve_with(F.col("base"), _content(entries, tag, last=False))
         else:
-            value = _last_content(entries, tag)
+            value = _content(entries, tag)
         cols.append(value.alias(field))
     return F.struct(*cols)
 
 
+@cache
 def open_graph_struct() -> Column:
     """Last tag of a property wins, but the first image."""
     return _social("og_metas", OPEN_GRAPH_FIELDS)
 
 
+@cache
 def twitter_struct() -> Column:
     return _social("twitter_metas", TWITTER_FIELDS)
 
 
+@cache
 def headings_struct(per_level: int = HEADINGS_PER_LEVEL) -> Column:
     """First ``per_level`` non-blank texts of each level."""
 
@@ -206,6 +213,7 @@ def headings_struct(per_level: int = HEADINGS_PER_LEVEL) -> Column:
     return F.struct(level("h1"), level("h2"), level("h3"))
 
 
+@cache
 def hreflang_array() -> Column:
     kept = F.filter(
         "link_tags",
@@ -221,12 +229,14 @@ def hreflang_array() -> Column:
     )
 
 
+@cache
 def canonical_url() -> Column:
     """From the first canonical link only; NULL when that one has no address."""
     first = F.get(F.filter("link_tags", lambda t: t["rel"] == "canonical"), 0)
     return resolve_with(F.col("base"), or_null(first["href"]))
 
 
+@cache
 def icon_candidates() -> Column:
     """Addresses to try for the icon, in order: declared ones by kind, then position;
     the usual locations are tried right after the first declared one."""
@@ -252,6 +262,7 @@ def icon_candidates() -> Column:
     )
 
 
+@cache
 def schema_types() -> Column:
     """JSON-LD types, then microdata types, each name once."""
     ld = F.flatten(F.transform("ld_json", jsonld_types))
@@ -259,6 +270,7 @@ def schema_types() -> Column:
     return F.array_distinct(F.concat(ld, micro))
 
 
+@cache
 def links_array() -> Column:
     kept = F.filter("anchors", lambda a: ~is_blank(a["href"]))
     own = domain(F.col("url"))
@@ -274,6 +286,7 @@ def links_array() -> Column:
     return F.transform(kept, link)
 
 
+@cache
 def images_array() -> Column:
     kept = F.filter("image_tags", lambda t: ~is_blank(t["src"]))
     return F.transform(
@@ -286,10 +299,12 @@ def images_array() -> Column:
     )
 
 
+@cache
 def word_count() -> Column:
     return F.expr(markup.count_words("text"))
 
 
+@cache
 def insights_struct(fetch_time_ms: str | None = None) -> Column:
     """Size, element and resource counts with advice."""
     size = F.octet_length("clean").cast("long")

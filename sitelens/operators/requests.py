@@ -6,7 +6,7 @@ Requests have ``id``, ``ip_address``, ``url``, ``user_agent`` and ``created_at``
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.network import BLOCKED_RANGES, in_ranges, is_blocked
-from ..functions.urls import normalize_url, url_errors, domain
+from ..functions.urls import errors_of_parts, url_parts
 from ..functions.values import countdown_text, from_micros, micros, seconds_interval
 from .admission import MAX_SESSION, replay
 from .running import running_sum
@@ -180,9 +180,13 @@ def screen_urls(urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES) ->
         .groupBy("host")
         .agg(F.count("bad").alias("blocked"), F.min("bad").alias("bad"))
     )
-    checked = urls.withColumns(
-        {"_errors": url_errors(F.col("url")), "host": domain(normalize_url(F.col("url")))}
-    )
+    split = urls.withColumn("_parts", url_parts(F.col("url")))
+    checked = split.withColumns(
+        {
+            "_errors": errors_of_parts(F.col("url"), F.col("_parts")),
+            "host": F.col("_parts.host"),
+        }
+    ).drop("_parts")
     refused = F.concat(F.lit("Access to private IP address "), "bad", F.lit(" is not allowed"))
     network = F.when(
         F.col("blocked").isNull(), F.lit("Could not resolve hostname to IP address")

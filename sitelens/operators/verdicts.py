@@ -1,5 +1,7 @@
 """Length verdicts and metadata coverage."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import domain
@@ -29,7 +31,8 @@ def description_verdict(text: Column) -> Column:
 
 def has_any(struct: Column, fields: list[str]) -> Column:
     """Whether any field of a struct holds a value."""
-    return F.exists(F.array(*[struct[f] for f in fields]), lambda v: ~is_blank(v))
+    held = [F.coalesce(~struct[f].isin("", "0"), F.lit(False)) for f in fields]
+    return reduce(lambda a, b: a | b, held)
 
 
 def coverage(analyses: DataFrame) -> DataFrame:

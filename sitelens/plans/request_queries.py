@@ -181,7 +181,7 @@ def log_search(spark, sf):
        {S.MESSAGE} AS message, CASE WHEN event_type <> 'view' THEN props END AS context FROM events""",
 )
 def parse_log_lines(spark, sf):
-    written = S.logs(spark, sf).select(
+    written = S.spread(S.logs(spark, sf)).select(
         "id",
         log_line(
             F.col("created_at"), F.col("level"), F.col("message"), F.col("context")

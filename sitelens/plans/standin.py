@@ -7,6 +7,7 @@ so both sides start from the same rows.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators.cache import with_expiry
+from ..sources.crawl import spread
 
 DAY_TTL = 86_400
 
@@ -184,11 +185,11 @@ def history(spark, sf_dir):
 
 
 def pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages")
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def part_pages(spark, sf_dir):
     return select(
-        table(spark, sf_dir, "part"),
+        spread(table(spark, sf_dir, "part")),
         PART_PAGES,
     )

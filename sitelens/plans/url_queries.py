@@ -210,7 +210,7 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
     FROM e LEFT JOIN h USING (host)""",
 )
 def ssrf_screen(spark, sf):
-    events = S.events(spark, sf)
+    events = S.spread(S.events(spark, sf))
     urls = S.select(events, f"event_id AS id, {SCREENED_URL} AS url")
     screened = R.screen_urls(urls, S.select(events, ADDRESSES))
     return screened.select("id", F.array_join("errors", "; ").alias("errors"), "blocked")
@@ -247,7 +247,7 @@ def client_ips(spark, sf):
         ),
         lambda k, v: v.isNotNull(),
     )
-    return S.events(spark, sf).select(
+    return S.spread(S.events(spark, sf)).select(
         F.col("event_id").alias("id"), client_ip(headers).alias("client_ip")
     )
 

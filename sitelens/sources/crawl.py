@@ -34,6 +34,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAGE_SCHEMA).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores when they arrive in fewer splits than there are cores.
+
+    Parsing pages is bound by CPU, so a table of a few row groups would leave most
+    cores idle.  A table of many splits is passed through without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Stored page files, one page per file; the path stands for the URL."""
     files = spark.read.format("binaryFile").load(path)

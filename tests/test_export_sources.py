@@ -1,9 +1,11 @@
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from sitelens.functions import encoding, text
 from sitelens.operators import export as E
 from sitelens.operators import pages as P
-from sitelens.sources import crawl
+from sitelens.sources import crawl, tables
 
 X = F.col("x")
 HTML = (
@@ -137,3 +139,18 @@ def test_page_files(spark, tmp_path):
     (tmp_path / "app.log").write_text("[2024-01-02 03:04:05] WARN: x {\"a\": 1}\nnoise\n")
     logs = crawl.read_log_lines(spark, str(tmp_path / "app.log")).collect()
     assert [(r.level, r.message, r.context) for r in logs] == [("WARN", "x", '{"a": 1}')]
+
+
+def test_tables_by_day(spark, tmp_path):
+    rows = spark.sql(
+        "SELECT id, 'a' AS ip_address, 'u' AS url, CAST(NULL AS STRING) AS user_agent,"
+        " TIMESTAMP '2024-01-01 00:00:00' + make_dt_interval(0, CAST(id AS INT)) AS created_at"
+        " FROM range(72)"
+    )
+    path = str(tmp_path / "requests")
+    tables.append(rows.filter("id < 40"), path)
+    tables.append(rows.filter("id >= 40"), path)
+    assert tables.read(spark, path, "requests").count() == 72
+    day = tables.read(spark, path, "requests", date(2024, 1, 2), date(2024, 1, 2))
+    assert sorted(r.id for r in day.collect()) == list(range(24, 48))
+    assert "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().executedPlan().toString()
