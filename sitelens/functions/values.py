@@ -86,3 +86,9 @@ def from_micros(us: Column) -> Column:
 def seconds_interval(seconds) -> Column:
     """A number (or column) of seconds as an interval."""
     return F.make_dt_interval(secs=seconds if isinstance(seconds, Column) else F.lit(seconds))
+
+
+def own_key(key: Column, *row: str) -> Column:
+    """``key``, or for a row without one a key of its own that nothing matches, so that
+    the rows without a key do not all meet in one task of an outer or anti join."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(*row).cast("string")))

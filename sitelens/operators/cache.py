@@ -7,8 +7,9 @@ Entries have ``id``, ``cache_key``, ``url``, ``created_at``, ``ttl_seconds`` and
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import cache_key, is_cache_key
-from ..functions.values import format_bytes, from_micros, micros, seconds_interval
+from ..functions.values import format_bytes, from_micros, micros, own_key, seconds_interval
 from .admission import MAX_SESSION, replay
+from .joins import join_unique
 from .running import latest_before
 
 # Default time to live, largest stored page, retention periods.
@@ -121,20 +122,30 @@ def split_exports(urls: DataFrame, entries: DataFrame, now: Column) -> tuple[Dat
     """URLs that can be exported (a valid analysis is cached) and those that must be
     analysed first."""
     keyed = urls.withColumn("cache_key", cache_key(F.col("url")))
-    valid = entries.filter(valid_at(now)).select("cache_key").distinct()
-    return keyed.join(valid, "cache_key", "left_semi"), keyed.join(valid, "cache_key", "left_anti")
+    valid = valid_keys(entries, now)
+    ready = join_unique(keyed, valid, "cache_key", "left_semi")
+    # Rows of an invalid URL have no key; they are missing whatever is cached.
+    spread = keyed.withColumnRenamed("cache_key", "_key").withColumn(
+        "cache_key", own_key(F.col("_key"), *urls.columns)
+    )
+    missing = join_unique(spread, valid, "cache_key", "left_anti")
+    return ready, missing.drop("cache_key").withColumnRenamed("_key", "cache_key")
+
+
+def valid_keys(entries: DataFrame, now: Column) -> DataFrame:
+    return entries.filter(valid_at(now)).select("cache_key").distinct()
 
 
 def orphans(files: DataFrame, entries: DataFrame, now: Column) -> DataFrame:
     """Stored files (cache_key, size) without a valid entry."""
-    valid = entries.filter(valid_at(now)).select("cache_key").distinct()
-    return files.join(valid, "cache_key", "left_anti")
+    return join_unique(files, valid_keys(entries, now), "cache_key", "left_anti")
 
 
 def invalidate(entries: DataFrame, urls: DataFrame) -> DataFrame:
     """Entries without those of the given URLs."""
     keys = urls.select(cache_key(F.col("url")).alias("cache_key")).distinct()
-    return entries.join(keys.filter("cache_key IS NOT NULL"), "cache_key", "left_anti")
+    gone = keys.filter("cache_key IS NOT NULL")
+    return join_unique(entries, gone, "cache_key", "left_anti")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.values import is_blank
+from .joins import join_unique
 
 BOM = "﻿"
 
@@ -147,7 +148,8 @@ def responses(
     hit) tells where the analysis came from, ``analyses`` has one row per key.  A
     denied request gets no data.
     """
-    found = checked.join(lookups.select("id", "hit"), "id").join(analyses, "cache_key")
+    asked = checked.join(lookups.select("id", "hit"), "id")
+    found = join_unique(asked, analyses, "cache_key")
     rate = F.struct(
         "remaining", F.lit(limit).alias("limit"), "reset_at",
         F.date_format("reset_at", "yyyy-MM-dd HH:mm:ss").alias("reset_at_formatted"),

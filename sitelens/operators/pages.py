@@ -18,8 +18,10 @@ from ..functions.values import (
     format_duration,
     is_blank,
     or_null,
+    own_key,
     trim,
 )
+from .joins import join_unique
 
 # Field names of the analysis record and the tag names behind them.
 META_FIELDS = {
@@ -455,7 +457,7 @@ def reachable_icons(pages: DataFrame, statuses: DataFrame) -> DataFrame:
         .select(F.col("url").alias("icon"))
         .distinct()
     )
-    found = candidates.join(ok, "icon", "left_semi")
+    found = join_unique(candidates, ok, "icon", "left_semi")
     best = found.groupBy("page_id").agg(F.min_by("icon", "priority").alias("favicon"))
     return pages.select("page_id").join(best, "page_id", "left")
 
@@ -470,5 +472,6 @@ def image_checks(images: DataFrame, statuses: DataFrame) -> DataFrame:
         .select(F.col("url").alias("image"), F.lit(True).alias("found"))
         .distinct()
     )
-    joined = images.join(good, "image", "left")
+    keyed = images.withColumn("_key", own_key(F.col("image"), "page_id"))
+    joined = join_unique(keyed, good.withColumnRenamed("image", "_key"), "_key", "left")
     return joined.select("page_id", "image", F.coalesce("found", F.lit(False)).alias("valid"))

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.network import BLOCKED_RANGES, in_ranges, is_blocked
 from ..functions.urls import errors_of_parts, url_parts
-from ..functions.values import countdown_text, from_micros, micros, seconds_interval
+from ..functions.values import countdown_text, from_micros, micros, own_key, seconds_interval
 from .admission import MAX_SESSION, replay
+from .joins import join_unique
 from .running import running_sum
 
 # Default limit and its window.
@@ -181,18 +182,15 @@ def screen_urls(urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES) ->
         .agg(F.count("bad").alias("blocked"), F.min("bad").alias("bad"))
     )
     split = urls.withColumn("_parts", url_parts(F.col("url")))
-    checked = split.withColumns(
-        {
-            "_errors": errors_of_parts(F.col("url"), F.col("_parts")),
-            "host": F.col("_parts.host"),
-        }
-    ).drop("_parts")
+    checked = split.withColumn("_errors", errors_of_parts(F.col("url"), F.col("_parts")))
+    accepted = F.when(F.size("_errors") == 0, F.col("_parts.host"))
+    checked = checked.withColumn("host", own_key(accepted, *urls.columns)).drop("_parts")
     refused = F.concat(F.lit("Access to private IP address "), "bad", F.lit(" is not allowed"))
     network = F.when(
         F.col("blocked").isNull(), F.lit("Could not resolve hostname to IP address")
     ).when(F.col("blocked") > 0, refused)
     return (
-        checked.join(per_host, "host", "left")
+        join_unique(checked, per_host, "host", "left")
         .withColumn(
             "errors",
             F.when(F.size("_errors") > 0, F.col("_errors")).otherwise(
