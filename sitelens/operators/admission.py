@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..plans.shared import shared_dir
 from .running import floor_to
 
-MAX_SESSION = 500_000
+MAX_SESSION = 5_000_000
 CELLS_PER_WINDOW = 3_600
 
 

@@ -73,7 +73,8 @@ def newest_per_address(history: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def history_rollup(history: DataFrame) -> DataFrame:
-    """Per host and day, per host, and overall: analyses, hits, hit rate, mean time."""
+    """Per host and day, per host, and overall: analyses, hits, hit rate (percent) and mean
+    time, not rounded."""
     with_day = history.select(
         domain(F.col("url")).alias("host"),
         F.date_format("created_at", "yyyy-MM-dd").alias("day"),
@@ -85,7 +86,7 @@ def history_rollup(history: DataFrame) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("analyses"),
             F.count_if("cache_hit").alias("hits"),
-            F.round(F.count_if("cache_hit") / F.count(F.lit(1)) * 100, 2).alias("hit_rate"),
-            F.round(F.avg("analysis_time_ms"), 2).alias("mean_time_ms"),
+            (F.count_if("cache_hit") / F.count(F.lit(1)) * 100).alias("hit_rate"),
+            F.avg("analysis_time_ms").alias("mean_time_ms"),
         )
     )

@@ -207,8 +207,8 @@ def history_topn(spark, sf):
 @query(
     "history_rollup",
     f"""SELECT host, day, count(*) AS analyses, count(*) FILTER (WHERE cache_hit) AS hits,
-       round(count(*) FILTER (WHERE cache_hit) / count(*) * 100, 2) AS hit_rate,
-       round(avg(analysis_time_ms), 2) AS mean_time_ms
+       count(*) FILTER (WHERE cache_hit) / count(*) * 100 AS hit_rate,
+       avg(analysis_time_ms) AS mean_time_ms
     FROM (SELECT regexp_extract(url, '^https?://([^/:?#]*)', 1) AS host,
                  strftime(created_at, '%Y-%m-%d') AS day, cache_hit, analysis_time_ms
           FROM (SELECT {S.HISTORY} FROM events))

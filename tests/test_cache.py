@@ -92,6 +92,11 @@ def test_dedup_orphans_exports(spark):
     assert [r.cache_key for r in left] == [K[1]]
 
 
+def test_stored_page_size(evaluate):
+    sizes = evaluate(["x" * 524_288, "é" * 262_145], F.length(C.storable_html(F.col("x"))))
+    assert sizes == [524_288, None]
+
+
 def test_logs_and_history(spark):
     logs = spark.createDataFrame(
         [(i, lvl, msg, NOW + timedelta(seconds=s)) for i, (lvl, msg, s) in enumerate(

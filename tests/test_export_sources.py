@@ -141,6 +141,19 @@ def test_page_files(spark, tmp_path):
     assert [(r.level, r.message, r.context) for r in logs] == [("WARN", "x", '{"a": 1}')]
 
 
+def test_crawl_tables(spark, tmp_path):
+    row = (1, "http://x.example/", bytearray(b"<title>A</title>"), 200, "text/html", "http://x.example/",
+           12, 0, {"content-type": "text/html"})
+    spark.createDataFrame([row], crawl.FETCH_SCHEMA).write.parquet(str(tmp_path / "crawl"))
+    fetched = crawl.gate(crawl.read_crawl(spark, str(tmp_path / "crawl"))).filter("reason IS NULL")
+    pages = crawl.decode_pages(fetched).select("page_id", "url", "html")
+    pages.write.parquet(str(tmp_path / "pages"))
+    again = crawl.spread(crawl.read_pages(spark, str(tmp_path / "pages")))
+    assert again.rdd.getNumPartitions() == 8
+    assert P.analyze(again).first().analysis.meta.title == "A"
+    assert crawl.spread(again).rdd.getNumPartitions() == 8
+
+
 def test_tables_by_day(spark, tmp_path):
     rows = spark.sql(
         "SELECT id, 'a' AS ip_address, 'u' AS url, CAST(NULL AS STRING) AS user_agent,"
