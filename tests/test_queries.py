@@ -5,6 +5,7 @@ import pytest
 from pathlib import Path
 
 import __spark_entry__ as entry
+from sitelens.plans import registry
 
 SF = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF.exists(), reason="test tables are not here")
@@ -28,10 +29,11 @@ def db():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.queries()) == set(registry.oracles())
+    assert set(registry.queries()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, str(SF))
     cursor = db.execute(entry.oracle_sql()[name])
