@@ -37,10 +37,12 @@ _PLACE = np.uint64((1 << 20) - 1)
 #: A cell's place in one number: start, number of windows, distance of the anchor.
 _FIELD = 1 << 10
 CELLS = "key bigint, id bigint, at bigint"
-CONTEXTS = "bucket bigint, kind int, off int, ctx binary, id bigint, start bigint, stop bigint"
-CONTEXT, WINDOW, DONE = 0, 1, 2
-SPANS = "id bigint, start bigint, stop bigint"
-GROUPS = "bucket bigint, ordinal bigint, id bigint, start bigint, stop bigint"
+#: ``shape`` is the distance of the anchor in a cell, or what else the row is.
+CONTEXTS = "bucket bigint, shape bigint, ctx binary, id bigint, start bigint"
+WINDOW, DONE = -1, -2
+#: A span in one number: start and length; longer ones are given in parts.
+SPANS = "id bigint, span bigint"
+_LENGTH = 1 << 20
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
 
@@ -131,6 +133,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def _packed(start: int, stop: int):
+    for a in range(start, stop, _LENGTH - 1):
+        yield a * _LENGTH + min(stop - a, _LENGTH - 1)
+
+
+def _unpacked(spans: list[int]) -> list[tuple[int, int]]:
+    return [(a, a + n) for a, n in (divmod(s, _LENGTH) for s in spans)]
+
+
 def _candidates(docs: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     schema = arrow_schema(CELLS)
 
@@ -146,26 +157,27 @@ def _candidates(docs: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, CELLS)
 
 
-def _contexts(joined: DataFrame, min_bytes: int) -> DataFrame:
+def _contexts(joined: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     """The bytes of each candidate cell, or the digests of its windows where the anchor is hot."""
     schema = arrow_schema(CONTEXTS)
 
-    def rows_of(i: int, data: bytes, found: list[dict], windows: dict, done: list):
-        for cell in found:
-            start, rest = divmod(cell["at"], _FIELD * _FIELD)
+    def rows_of(i: int, data: bytes, found: list[int], windows: dict, done: list):
+        for place in found:
+            at, hot = divmod(place, 2)
+            start, rest = divmod(at, _FIELD * _FIELD)
             n, off = divmod(rest, _FIELD)
-            if not cell["hot"]:
-                stop = start + n + min_bytes - 1
-                yield cell["key"], CONTEXT, off, data[start:stop], i, start, stop
+            if not hot:
+                bucket = _number(data[start + off : start + off + gram])
+                yield bucket, off, data[start : start + n + min_bytes - 1], i, start
                 continue
             for s in range(start, start + n):
                 digest = blake2b(data[s : s + min_bytes], digest_size=16).digest()
-                place = (i, s)
-                earlier = windows.setdefault(digest, place)
-                if place < earlier:
-                    windows[digest], place, earlier = place, earlier, place
-                if place > earlier:
-                    done.append(place)
+                here = (i, s)
+                earlier = windows.setdefault(digest, here)
+                if here < earlier:
+                    windows[digest], here, earlier = here, earlier, here
+                if here > earlier:
+                    done.append(here)
 
     def run(batches):
         for batch in slices(batches, "data", 1 << 20):
@@ -175,19 +187,22 @@ def _contexts(joined: DataFrame, min_bytes: int) -> DataFrame:
             columns = (batch.column(c).to_pylist() for c in ("id", "data", "found"))
             for i, data, found in zip(*columns):
                 out += rows_of(i, data, found, windows, done)
-            for digest, (i, s) in windows.items():
-                bucket = int.from_bytes(digest[:8], "little", signed=True)
-                out.append((bucket, WINDOW, 0, digest, i, s, s + min_bytes))
+            out += [(_number(digest), WINDOW, digest, i, s) for digest, (i, s) in windows.items()]
             spans: dict[int, list] = {}
             for i, s in done:
                 spans.setdefault(i, []).append((s, s + min_bytes))
-            out += [(i, DONE, 0, b"", i, a, b) for i, found in spans.items() for a, b in _merged(found)]
-            if out:
-                yield record_batch(out, schema)
+            for i, found in spans.items():
+                # Decided already: only passed on, with the stop instead of bytes.
+                out += [(i, DONE, b"%d" % b, i, a) for a, b in _merged(found)]
+            yield record_batch(out, schema)
 
     return joined.mapInArrow(run, CONTEXTS)
 
 
+def _number(data: bytes) -> int:
+    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
 def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int, int]]:
     """Spans of all but the first occurrence of every group of a bucket's distinct contexts."""
     found: dict[int, list] = {}
@@ -202,7 +217,7 @@ def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int,
 
 
 def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
-    """(id, start, stop): stretches that also start earlier, bucket by bucket in sorted order."""
+    """(id, span): stretches that also start earlier, bucket by bucket in sorted order."""
     schema = arrow_schema(SPANS)
 
     def run(batches):
@@ -211,30 +226,31 @@ def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
         def finish():
             return _bucket_spans(distinct, min_bytes) if len(distinct) > 1 else []
 
+        def packed(spans):
+            return record_batch([(i, p) for i, start, stop in spans for p in _packed(start, stop)], schema)
+
         for batch in slices(batches, "ctx"):
             out = []
-            for key, kind, off, ctx, i, start, stop in zip(*(c.to_pylist() for c in batch.columns)):
-                if kind == DONE:
-                    out.append((i, start, stop))
+            for key, shape, ctx, i, start in zip(*(c.to_pylist() for c in batch.columns)):
+                if shape == DONE:
+                    out.append((i, start, int(ctx)))
                     continue
-                if (key, kind) != bucket:
+                if (key, shape == WINDOW) != bucket:
                     out += finish()
-                    bucket, distinct, last = (key, kind), [], None
-                if (off, ctx) != last:
-                    last, first = (off, ctx), (i, start)
-                    if kind == CONTEXT:
-                        distinct.append((off, ctx, i, start))
+                    bucket, distinct, last = (key, shape == WINDOW), [], None
+                if (shape, ctx) != last:
+                    last, first = (shape, ctx), (i, start)
+                    if shape != WINDOW:
+                        distinct.append((shape, ctx, i, start))
                 elif (i, start) > first:
-                    out.append((i, start, stop))
-            if out:
-                yield record_batch(out, schema)
-        if out := finish():
-            yield record_batch(out, schema)
+                    out.append((i, start, start + (min_bytes if shape == WINDOW else len(ctx))))
+            yield packed(out)
+        yield packed(finish())
 
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         contexts.repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "kind", "off", "ctx", "id", "start")
+        .sortWithinPartitions("bucket", "shape", "ctx", "id", "start")
         .mapInArrow(run, SPANS)
     )
 
@@ -244,11 +260,12 @@ def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: in
     found = _candidates(docs, min_bytes, gram)
     path = f"{shared_dir(spark, 'repeats')}/anchors"
     again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again.select("key", (F.col("n") > max_bucket).alias("hot")).write.parquet(path)
+    again.select("key", (F.col("n") > max_bucket).cast("bigint").alias("hot")).write.parquet(path)
     # Read again: both sides of the join are shuffled as they are, and a hot anchor can be split.
-    anchors = spark.read.schema("key bigint, hot boolean").parquet(path)
-    per_doc = found.join(anchors, "key").groupBy("id").agg(F.collect_list(F.struct("key", "at", "hot")).alias("found"))
-    return _contexts(docs.join(per_doc, "id"), min_bytes)
+    anchors = spark.read.schema("key bigint, hot bigint").parquet(path)
+    places = found.join(anchors, "key").select("id", (2 * F.col("at") + F.col("hot")).alias("place"))
+    per_doc = places.groupBy("id").agg(F.collect_list("place").alias("found"))
+    return _contexts(docs.join(per_doc, "id"), min_bytes, gram)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -267,7 +284,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     """
     rows = _rows(docs)
     later = _later_spans(_grouped_contexts(rows, min_bytes, gram, max_bucket), min_bytes)
-    per_doc = later.groupBy("id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    per_doc = later.groupBy("id").agg(F.collect_list("span").alias("spans"))
     schema = arrow_schema(RESULT)
 
     def run(batches):
@@ -275,7 +292,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
             out = []
             columns = (batch.column(c).to_pylist() for c in ("id", "data", "spans"))
             for i, data, spans in zip(*columns):
-                gone = _merged([(s["start"], min(s["stop"], len(data))) for s in spans or () if s["start"] < len(data)])
+                gone = _merged([(a, min(b, len(data))) for a, b in _unpacked(spans or []) if a < len(data)])
                 edges = [0] + [e for span in gone for e in span] + [len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
                 out.append((i, len(data), len(data) - len(kept), len(gone), kept))
