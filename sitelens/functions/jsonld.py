@@ -57,6 +57,39 @@ def _types(state: Column) -> Column:
     return F.when(state["roots"] == 1, ordered).otherwise(F.array().cast("array<string>"))
 
 
+# A state is copied with every token, so the list of types found grows inside short
+# runs of tokens only and is added to the whole list once per run.
+_RUN = 256
+
+
+def _runs(json: Column) -> Column:
+    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
+
+    def cut(all_tokens):
+        last = F.floor(F.greatest(F.size(all_tokens) - 1, F.lit(0)) / _RUN).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(all_tokens, i * _RUN + 1, F.lit(_RUN))
+        )
+
+    # Bound once: the tokens are not extracted again for each run.
+    return F.get(F.transform(F.array(tokens), cut), 0)
+
+
+def _walk_run(state: Column, tokens: Column) -> Column:
+    fields = ["at", "stack", "mode", "opened", "previous", "roots"]
+    none = F.array().cast(_FOUND).alias("found")
+    walked = F.aggregate(tokens, F.struct(*(state[f].alias(f) for f in fields), none), _walk)
+
+    def with_earlier(after):
+        found = F.concat(state["found"], after["found"]).alias("found")
+        return F.struct(*(after[f].alias(f) for f in fields), found)
+
+    return F.get(F.transform(F.array(walked), with_earlier), 0)
+
+
+_FOUND = "array<struct<opened:int,at:int,type:string>>"
+
+
 def jsonld_types(json: Column) -> Column:
     """Every ``@type`` at any depth, outer objects first; [] for invalid JSON."""
     start = F.struct(
@@ -66,10 +99,9 @@ def jsonld_types(json: Column) -> Column:
         F.lit(0).alias("opened"),
         F.lit("").alias("previous"),
         F.lit(0).alias("roots"),
-        F.array().cast("array<struct<opened:int,at:int,type:string>>").alias("found"),
+        F.array().cast(_FOUND).alias("found"),
     )
-    tokens = F.regexp_extract_all(json, F.lit(_TOKEN), F.lit(0))
-    types = F.aggregate(tokens, start, _walk, _types)
+    types = F.aggregate(_runs(json), start, _walk_run, _types)
     valid = F.try_parse_json(json).isNotNull()
     return F.when(valid & json.contains('"@type"'), types).otherwise(
         F.array().cast("array<string>")

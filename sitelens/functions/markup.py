@@ -6,8 +6,9 @@ and one parsed text is far quicker to set up than thousands of Column calls.
 
 Everything is a built-in regular-expression or higher-order function, so a page
 never leaves the JVM and no operator on pages needs a shuffle.  Every loop in a
-pattern is possessive, or ends at the end of the text, so matching is iterative
-(no stack growth on long pages) and close to linear in the page size.
+pattern is possessive or lazy up to a fixed end, so matching is iterative (no stack
+growth on long pages), and what is never closed is taken up to the end of the page in
+one match, so no part of a page is searched again and again: time is linear in its size.
 
 Inputs named ``column`` are used more than once in the result: pass a column, not
 an expression that is costly to repeat.
@@ -47,42 +48,36 @@ START_TAG = rf"<[a-zA-Z]{TAG_REST}"
 # Blocks whose whole content is left out of the body text.
 NON_CONTENT_TAGS = ("script", "style", "nav", "aside", "footer", "header")
 
-# Pages above this size are matched with patterns that also stay linear on pages
-# full of openers that are never closed; the patterns for small pages are faster.
-_LARGE = 32_768
 
+def _unless_open(closed: str, head: str) -> str:
+    """``closed`` as group 1; where it fails, ``head`` and all that follows, in one match."""
+    return rf"(?is)({closed})|{head}.*+"
 
-def _drop_block(x: str, tag: str, linear: bool) -> str:
-    """Remove ``<tag ...> ... </tag>`` up to the first closer; an opener that is never
-    closed is left alone (``linear``: together with the rest, in one step)."""
-    closed = rf"<{tag}\b[^<]*+(?:<(?!/{tag}>)[^<]*+)*+</{tag}>"
-    if linear:
-        return _replace(x, rf"(?is){closed}|(<{tag}\b.*)", "$1")
-    return _replace(x, rf"(?i){closed}")
 
+def _extract_closed(x: str, closed: str, head: str) -> str:
+    """All matches of ``closed``; a ``head`` that is never closed takes the rest with it."""
+    return f"filter({_extract_all(x, _unless_open(closed, head), 1)}, m -> m <> '')"
 
-def _drop_blocks(column: str, tags: tuple, comments: bool = False, rare: bool = False) -> str:
-    def chain(linear):
-        out = column
-        for tag in tags:
-            if rare:
-                # A search is much cheaper than a replacement that changes nothing.
-                dropped = _drop_block("v", tag, linear)
-                has_tag = f"v RLIKE {q(f'(?i)<{tag}')}"
-                cut = f"CASE WHEN {has_tag} THEN {dropped} ELSE v END"
-                out = f"get(transform(array({out}), v -> {cut}), 0)"
-            else:
-                out = _drop_block(out, tag, linear)
-        if comments and linear:
-            out = _replace(out, r"(?s)<!--.*?-->|(<!--.*)", "$1")
-        elif comments:
-            out = _replace(out, r"(?s)<!--.*?-->")
-        return out
 
-    return (
-        f"CASE WHEN octet_length({column}) <= {_LARGE} THEN {chain(False)}"
-        f" ELSE {chain(True)} END"
-    )
+def _drop_block(x: str, tag: str) -> str:
+    """Remove each block from its opener to the first closer after it; an opener
+    without a closer stays, with all that follows."""
+    return _replace(x, rf"(?is)<{tag}\b.*?</{tag}>|(<{tag}\b.*+)", "$1")
+
+
+def _drop_blocks(column: str, tags: tuple, comments: bool = False, rare: bool = False) -> str:
+    out = column
+    for tag in tags:
+        if rare:
+            # A search is much cheaper than a replacement that changes nothing.
+            has_tag = f"v RLIKE {q(f'(?i)<{tag}')}"
+            cut = f"CASE WHEN {has_tag} THEN {_drop_block('v', tag)} ELSE v END"
+            out = f"get(transform(array({out}), v -> {cut}), 0)"
+        else:
+            out = _drop_block(out, tag)
+    if comments:
+        out = _replace(out, r"(?s)<!--.*?-->|(<!--.*+)", "$1")
+    return out
 
 
 def _one_space(x: str) -> str:
@@ -185,8 +180,9 @@ def count_words(column: str, min_length: int = 3) -> str:
 
 
 def start_tags(x: str) -> str:
-    """All start tags in document order, as written."""
-    return _extract_all(x, START_TAG)
+    """All start tags in document order, as written; one that is never closed, also
+    by its quotes, ends the page."""
+    return _extract_closed(x, START_TAG, "<[a-zA-Z]")
 
 
 def tag_name(x: str) -> str:
@@ -236,25 +232,37 @@ def attr_map(column: str) -> str:
     )
 
 
+def _named(names: str) -> str:
+    return rf"<{names}(?=[\s/>])"
+
+
 def elements_source(x: str, tag: str) -> str:
     """Each element ``<tag ...>inner`` as written, up to its closer, the next such
     opener or the end of the page."""
-    return _extract_all(
-        x, rf"(?is)<{tag}(?=[\s/>]){TAG_REST}.*?(?=</{tag}\s*+>|<{tag}[\s/>]|\z)"
-    )
+    head = _named(tag)
+    return _extract_closed(x, rf"{head}{TAG_REST}.*?(?=</{tag}\s*+>|<{tag}[\s/>]|\z)", head)
 
 
 def first_element(x: str, tag: str) -> str:
     """Array with the inner HTML of the first ``tag``; [] when the page has none."""
-    inner = _extract_all(x, rf"(?is)<{tag}(?=[\s/>]){TAG_REST}(.*?)(?=</{tag}\s*+>|\z)", 1)
-    return f"slice({inner}, 1, 1)"
+    head = _named(tag)
+    found = _extract_closed(x, rf"{head}{TAG_REST}.*?(?=</{tag}\s*+>|\z)", head)
+    return after_start_tags(f"slice({found}, 1, 1)")
 
 
 def headings_source(x: str) -> str:
     """h1 to h3 in order, as written; another heading also ends an open one."""
-    return _extract_all(
-        x, rf"(?is)<h[1-3](?=[\s/>]){TAG_REST}.*?(?=</h[1-6]\s*+>|<h[1-6][\s/>]|\z)"
-    )
+    head = _named("h[1-3]")
+    return _extract_closed(x, rf"{head}{TAG_REST}.*?(?=</h[1-6]\s*+>|<h[1-6][\s/>]|\z)", head)
+
+
+def scripts_source(x: str) -> str:
+    """Start tag of every script outside comments, with its content when it is JSON-LD."""
+    head, body = _named("script"), r"[^<]*+(?:<(?!/script)[^<]*+)*+"
+    closed = rf"{head}(?:(?=[^>]*+>)(?=[^>]*application/ld){TAG_REST}{body}|{TAG_REST})"
+    rest = rf"{body}(?:</script\s*+>|\z)"
+    pattern = rf"(?is)<!--.*?(?:-->|\z)|({closed}){rest}|{head}(?!{TAG_REST}).*+"
+    return f"filter({_extract_all(x, pattern, 1)}, s -> s <> '')"
 
 
 def after_start_tags(elements: str) -> str:

@@ -60,14 +60,6 @@ LARGE_PAGE_BYTES = 100_000
 COMPLEX_PAGE_ELEMENTS = 1_500
 SLOW_FETCH_MS = 3_000
 
-_REST = markup.TAG_REST
-_BODY = r"[^<]*+(?:<(?!/script)[^<]*+)*+"
-# Start tag of every script outside comments, with its content when it is JSON-LD.
-# Read from the raw page: cleaning removes scripts.
-_SCRIPT = (
-    rf"(?is)<!--.*?(?:-->|\z)|(<script(?=[\s/>])(?:(?=[^>]*application/ld)"
-    rf"{_REST}{_BODY}|{_REST})){_BODY}(?:</script\s*+>|\z)"
-)
 _USED_TAGS = r"(?i)^<(?:meta|link|img)[\s/>]|\sitemtype\s*="
 _ITEM_TYPE = r"(?i)\sitemtype\s*="
 _META_ATTRS = ["name", "property", "http-equiv", "charset", "content"]
@@ -82,7 +74,8 @@ def parse(pages: DataFrame) -> DataFrame:
     cleaned = pages.selectExpr(
         "*",
         f"{markup.clean('html')} AS clean",
-        f"filter(regexp_extract_all(html, {markup.q(_SCRIPT)}, 1), s -> s <> '') AS scripts",
+        # From the raw page: cleaning removes scripts.
+        f"{markup.scripts_source('html')} AS scripts",
     )
     tokens = cleaned.selectExpr(
         "*",

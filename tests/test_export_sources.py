@@ -114,10 +114,12 @@ def test_charsets(spark):
         (3, "é".encode(), "text/html", "UTF-8", "é"),
         (4, "日本".encode("shift_jis"), "text/html;charset=Shift_JIS", "SHIFT_JIS", "日本"),
         (5, "я".encode("utf-16"), "x; charset=UTF-16", "UTF-16", "я"),
-        (6, b"x", "x; charset=nonsense", "NONSENSE", None),
+        (6, b"x", "x; charset=nonsense", "NONSENSE", "x"),
         (7, b"a\xff", "x; charset=utf-8", "UTF-8", "a�"),
         (8, b"<META http-equiv=x content='text/html; charset=ISO-8859-1'>\xe9", None, "ISO-8859-1",
          "<META http-equiv=x content='text/html; charset=ISO-8859-1'>é"),
+        (9, "я".encode("utf-16") + b"z", "x; charset=UTF-16", "UTF-16", "я\ufffd"),
+        (10, b"\x00a\xd8", "x; charset=UTF-16BE", "UTF-16BE", "a\ufffd"),
     ]
     df = spark.createDataFrame([r[:3] for r in rows], "i int, content binary, content_type string")
     got = crawl.decode_pages(df).orderBy("i").collect()

@@ -3,6 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from sitelens.functions import markup as M
+from sitelens.operators import pages
 
 
 def expr(text):
@@ -25,14 +26,29 @@ def test_clean(evaluate):
     assert dict(zip(cases, evaluate(list(cases), expr(M.clean("x"))))) == cases
 
 
-def test_small_and_large_pages_are_cleaned_alike(evaluate):
-    body = "<script>a<b</script><nav>n<p></nav>k<!-- c -->\n" * 3
-    tail = "<p>end</p></script><script>open <nav>x"
-    filler = "word " * 10_000
-    small, large = evaluate([f"{body}||{tail}", f"{body}|{filler}|{tail}"], expr(M.clean("x")))
-    assert large == small.replace("||", f"|{filler}|")
-    small, large = evaluate([small, large], expr(M.content_html("x")))
-    assert large == small.replace("||", f"|{filler}|") and "n<p>" not in large
+def test_time_is_linear_in_the_page(spark):
+    # The same broken opener, a megabyte and two: no part may be searched again for each.
+    for opener in ("<p>warm-up", "<a ", "<script ", "<!--", "<title ", '<a "', "<h1 ", "<nav ", "</a "):
+        took = []
+        for size in (1_000_000, 2_000_000):
+            df = spark.createDataFrame([(1, "http://h/", opener * (size // len(opener)))], "page_id int, url string, html string")
+            started = time.time()
+            pages.analyze(df).collect()
+            took.append(time.time() - started)
+        print(opener, took)
+        assert opener == "<p>warm-up" or took[0] < 6 and took[1] < 3 * took[0] + 2, (opener, took)
+
+
+def test_unclosed_tags_take_the_rest(evaluate):
+    page = "<p>a</p><a href='x'>l</a><b title=\"open><i>c</i>"
+    assert evaluate([page], expr(M.start_tags("x")), "string") == [["<p>", "<a href='x'>"]]
+    assert evaluate(["<title>t<a", "<title"], expr(M.first_element("x", "title"))) == [["t<a"], []]
+    cases = {
+        "<script src=a></script><script src='b": ["<script src=a>"],
+        "<!-- <script src=c></script> --><script>x</script>": ["<script>"],
+        "<script type=application/ld+json>{}</script>": ["<script type=application/ld+json>{}"],
+    }
+    assert evaluate(list(cases), expr(M.scripts_source("x"))) == list(cases.values())
 
 
 def test_hostile_pages_finish(evaluate):

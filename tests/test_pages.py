@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +179,15 @@ def test_verdicts(evaluate):
     assert evaluate(["x" * 119, "x" * 160, "x" * 161], V.description_verdict(F.col("x"))) == [
         "short", "good", "long",
     ]
+
+
+def test_jsonld_time_is_linear(spark):
+    took = []
+    for n in (8_000, 16_000):
+        script = '{"@type": "A", "x": [' + ",".join('{"@type": "B"}' for _ in range(n)) + "]}"
+        df = spark.createDataFrame([(script,)], "x string")
+        started = time.time()
+        (row,) = df.select(jsonld_types(F.col("x")).alias("t")).collect()
+        took.append(time.time() - started)
+        assert row.t == ["A"] + ["B"] * n
+    assert took[1] < 2.5 * took[0] + 1
