@@ -96,7 +96,7 @@ def _common(a: bytes, b: bytes) -> int:
 
 def _intervals(texts: list[bytes], order: list[int], least: int):
     """(length, from, to) of the common-prefix intervals of sorted texts, ``to`` included."""
-    stack = [(0, 0)]
+    stack: list[tuple[int, int]] = []
     for i in range(1, len(order) + 1):
         shared = _common(texts[order[i - 1]], texts[order[i]]) if i < len(order) else -1
         low = i - 1
@@ -157,8 +157,11 @@ def _candidates(docs: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, CELLS)
 
 
-def _contexts(joined: DataFrame, min_bytes: int, gram: int) -> DataFrame:
-    """The bytes of each candidate cell, or the digests of its windows where the anchor is hot."""
+def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> DataFrame:
+    """The bytes of each candidate cell, or the digests of its windows where the anchor is hot.
+
+    Unless ``every`` occurrence is asked for, a batch passes on its first of equal windows only.
+    """
     schema = arrow_schema(CONTEXTS)
 
     def rows_of(i: int, data: bytes, found: list[int], windows: dict, done: list):
@@ -173,6 +176,9 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int) -> DataFrame:
             for s in range(start, start + n):
                 digest = blake2b(data[s : s + min_bytes], digest_size=16).digest()
                 here = (i, s)
+                if every:
+                    yield _number(digest), WINDOW, digest, i, s
+                    continue
                 earlier = windows.setdefault(digest, here)
                 if here < earlier:
                     windows[digest], here, earlier = here, earlier, here
@@ -216,6 +222,11 @@ def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int,
     return [(ids[m], a, b) for m, spans in found.items() for a, b in _merged(spans)]
 
 
+def _sorted(contexts: DataFrame) -> DataFrame:
+    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(parts, "bucket").sortWithinPartitions("bucket", "shape", "ctx", "id", "start")
+
+
 def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
     """(id, span): stretches that also start earlier, bucket by bucket in sorted order."""
     schema = arrow_schema(SPANS)
@@ -247,15 +258,10 @@ def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
             yield packed(out)
         yield packed(finish())
 
-    parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        contexts.repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "shape", "ctx", "id", "start")
-        .mapInArrow(run, SPANS)
-    )
+    return _sorted(contexts).mapInArrow(run, SPANS)
 
 
-def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: int) -> DataFrame:
+def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: int, every: bool = False) -> DataFrame:
     spark = docs.sparkSession
     found = _candidates(docs, min_bytes, gram)
     path = f"{shared_dir(spark, 'repeats')}/anchors"
@@ -265,13 +271,63 @@ def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: in
     anchors = spark.read.schema("key bigint, hot bigint").parquet(path)
     places = found.join(anchors, "key").select("id", (2 * F.col("at") + F.col("hot")).alias("place"))
     per_doc = places.groupBy("id").agg(F.collect_list("place").alias("found"))
-    return _contexts(docs.join(per_doc, "id"), min_bytes, gram)
+    return _contexts(docs.join(per_doc, "id"), min_bytes, gram, every)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(known_id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
+MEMBERS = "name string, ctx binary, bucket bigint, shape bigint, before bigint, after bigint"
+
+
+def _members(contexts: DataFrame, min_bytes: int) -> DataFrame:
+    """Groups as (name, context, bytes before and after the anchor); a row for each different context."""
+    schema = arrow_schema(MEMBERS)
+
+    def groups_of(key: int, distinct: dict[tuple[int, bytes], int]):
+        for (shape, ctx), n in distinct.items():
+            if n > 1:
+                name = f"{key:x}-{shape}-{blake2b(ctx, digest_size=16).hexdigest()}"
+                yield name, ctx, key, shape, max(shape, 0), (min_bytes if shape == WINDOW else len(ctx) - shape)
+        kinds = [k for k in distinct if k[0] != WINDOW]
+        groups = maximal_repeats([(ctx, off) for off, ctx in kinds], min_bytes)
+        for g, (members, left, right) in enumerate(groups):
+            for m in members:
+                yield f"{key:x}-{g}", kinds[m][1], key, kinds[m][0], left, right
+
+    def run(batches):
+        bucket, distinct = None, {}
+        for batch in slices(batches, "ctx"):
+            out = []
+            for key, shape, ctx in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shape", "ctx"))):
+                if (key, shape == WINDOW) != bucket:
+                    out += groups_of(bucket[0], distinct) if bucket else []
+                    bucket, distinct = (key, shape == WINDOW), {}
+                distinct[shape, ctx] = distinct.get((shape, ctx), 0) + 1
+            yield record_batch(out, schema)
+        yield record_batch(list(groups_of(bucket[0], distinct)) if bucket else [], schema)
+
+    return _sorted(contexts).mapInArrow(run, MEMBERS)
+
+
+def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(name, doc_id, start, stop, length): the groups of equal strings, a row for each occurrence.
+
+    A group is a maximal repeat as far as the cells of its anchor reach; longer
+    repeats come as a row of overlapping groups, and around anchors with more than
+    ``max_bucket`` occurrences as groups of ``min_bytes`` each.  Nulls, repeated rows
+    and other columns are treated as by ``remove_repeats``.
+    """
+    found = _grouped_contexts(_rows(docs), min_bytes, gram, max_bucket, every=True)
+    # Occurrences meet the groups of their context again, so no group is held in one place.
+    joined = found.join(_members(found, min_bytes), ["bucket", "shape", "ctx"])
+    start = F.col("start") + F.greatest("shape", F.lit(0)) - F.col("before")
+    stop = F.col("start") + F.greatest("shape", F.lit(0)) + F.col("after")
+    placed = joined.select("name", given_id("id").alias("doc_id"), start.alias("start"), stop.alias("stop"))
+    return placed.distinct().withColumn("length", F.col("stop") - F.col("start"))
+
+
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (bytes) of every row of ``docs``.
 

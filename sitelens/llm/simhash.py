@@ -159,5 +159,5 @@ def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """
     found = near_duplicates(docs, bits)
     first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known_id().alias("_kept")).distinct()
-    kept = docs.join(first, known_id() == F.col("_kept"), "left_semi")
+    kept = docs.join(first, known_id() == first["_kept"], "left_semi")
     return kept.dropDuplicates(["doc_id"])

@@ -211,9 +211,9 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> Isotonic:
         while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
             s, n, a = blocks.pop()
             blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + a]
-    return Isotonic(
-        np.array([a / n for _, n, a in blocks]), np.array([(s + 0.5 * y.mean()) / (n + 0.5) for s, n, _ in blocks])
-    )
+    value = [(s + 0.5 * y.mean()) / (n + 0.5) for s, n, _ in blocks]
+    # Small blocks are drawn more, so what this turned round is levelled again.
+    return Isotonic(np.array([a / n for _, n, a in blocks]), np.maximum.accumulate(value))
 
 
 @dataclass
