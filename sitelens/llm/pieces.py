@@ -27,7 +27,7 @@ CHUNK = re.compile(f"(?:{MARK}+|\n+)[^{MARK}\n]*")
 #: Longer chunks are segmented where they occur and not kept.
 KEPT_CHARS = 512
 #: The table is emptied when it holds this many characters, counting 64 for each entry.
-TABLE_CHARS = 48 << 20
+TABLE_CHARS = 32 << 20
 SCHEMA = "doc_id bigint, n_tokens bigint, ids array<int>, decoded string"
 
 
