@@ -77,12 +77,13 @@ def valid_at(now: Column) -> Column:
 def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """For each request (id, cache_key, created_at) the entry in the cache at that
     moment: entry_id and hit.  The cache holds the newest entry of a key; it is a hit
-    only while valid."""
-    asked = requests.select(
+    only while valid.  A request whose key is not well formed, or without a time, misses."""
+    possible = F.coalesce(is_cache_key(F.col("cache_key")), F.lit(False)) & F.col("created_at").isNotNull()
+    asked = requests.filter(possible).select(
         "cache_key", micros(F.col("created_at")).alias("at"), "id",
         F.lit(None).cast("struct<at:bigint,id:bigint,expires:bigint>").alias("entry"),
         F.lit(True).alias("asked"),
-    ).filter(is_cache_key(F.col("cache_key")))
+    )
     written = entries.select(
         "cache_key", micros(F.col("created_at")).alias("at"), F.lit(None).cast("bigint").alias("id"),
         F.struct(
@@ -94,10 +95,15 @@ def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     )
     found = latest_before(asked.unionByName(written), ["cache_key"], "at", "entry", "newest")
     hit = F.coalesce(F.col("newest.expires") > F.col("at"), F.lit(False))
-    return found.filter("asked").select(
+    answered = found.filter("asked").select(
         "id", "cache_key", from_micros(F.col("at")).alias("created_at"),
         F.when(hit, F.col("newest.id")).alias("entry_id"), hit.alias("hit"),
     )
+    refused = requests.filter(~possible).select(
+        "id", "cache_key", from_micros(micros(F.col("created_at"))).alias("created_at"),
+        F.lit(None).cast("bigint").alias("entry_id"), F.lit(False).alias("hit"),
+    )
+    return answered.unionByName(refused)
 
 
 def cache_replay(

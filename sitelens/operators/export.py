@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.values import is_blank
+from ..functions.values import is_blank, own_key
 from .joins import join_unique
 
 BOM = "﻿"
@@ -139,26 +139,39 @@ def _numbered(texts: Column, section: str, prop: str, label: str) -> Column:
     )
 
 
+# What an answer tells of the fetch.
+HTTP_FIELDS = ["status_code", "content_type", "content_length", "fetch_time_ms", "redirect_count"]
+
+
 def responses(
     checked: DataFrame, lookups: DataFrame, analyses: DataFrame, limit: int
 ) -> DataFrame:
-    """The answer to each request: id, success, data, meta.
+    """The answer to each request: id, success, error, data, meta.
 
     ``checked`` carries the rate-limit columns and a ``cache_key``, ``lookups`` (id,
     hit) tells where the analysis came from, ``analyses`` has one row per key.  A
-    denied request gets no data.
+    denied request, or one whose page was not analysed, gets no data but an ``error``.
+    When ``analyses`` has ``HTTP_FIELDS``, ``meta`` has them as ``http``.
     """
-    asked = checked.join(lookups.select("id", "hit"), "id")
-    found = join_unique(asked, analyses, "cache_key")
+    asked = checked.join(lookups.select("id", "hit"), "id", "left")
+    keyed = asked.withColumnRenamed("cache_key", "_key").withColumn(
+        "cache_key", own_key(F.col("_key"), "id")
+    )
+    found = join_unique(keyed, analyses.withColumn("_analysed", F.lit(True)), "cache_key", "left")
+    success = F.col("allowed") & F.col("_analysed").isNotNull()
     rate = F.struct(
         "remaining", F.lit(limit).alias("limit"), "reset_at",
         F.date_format("reset_at", "yyyy-MM-dd HH:mm:ss").alias("reset_at_formatted"),
     )
+    meta = ["url", "final_url", F.coalesce("hit", F.lit(False)).alias("cache_hit")]
+    if set(HTTP_FIELDS) <= set(analyses.columns):
+        meta.append(F.struct(*HTTP_FIELDS).alias("http"))
     return found.select(
         "id",
-        F.col("allowed").alias("success"),
-        F.when(F.col("allowed"), F.col("analysis")).alias("data"),
-        F.struct("url", "final_url", F.col("hit").alias("cache_hit"), rate.alias("rate_limit")).alias(
-            "meta"
-        ),
+        success.alias("success"),
+        F.when(~F.col("allowed"), "Rate limit exceeded")
+        .when(F.col("_analysed").isNull(), "No analysis of this URL")
+        .alias("error"),
+        F.when(success, F.col("analysis")).alias("data"),
+        F.struct(*meta, rate.alias("rate_limit")).alias("meta"),
     )

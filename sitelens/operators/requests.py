@@ -20,14 +20,16 @@ HOUR = 3_600 * SECOND
 
 def trailing_counts(requests: DataFrame, hours: float = 1) -> DataFrame:
     """``requests`` with ``previous_requests``: the other requests of the same address
-    created after (not at) ``hours`` before, up to and including the same instant.
+    created after (not at) ``hours`` before, up to and including the same instant;
+    NULL for a request without address or time, which cannot be counted.
 
     Requests are first summed per address and instant; each sum counts from its
     instant on and stops counting one window later, so the answer is a running sum.
     """
     window = int(hours * HOUR)
     at = micros(F.col("created_at"))
-    rows = requests.withColumn("_at", at).filter("ip_address IS NOT NULL AND _at IS NOT NULL")
+    known = F.col("ip_address").isNotNull() & F.col("created_at").isNotNull()
+    rows = requests.filter(known).withColumn("_at", at)
     instants = rows.groupBy("ip_address", "_at").agg(F.count(F.lit(1)).alias("_n"))
 
     def step(at, n, arrival):
@@ -38,11 +40,11 @@ def trailing_counts(requests: DataFrame, hours: float = 1) -> DataFrame:
     changes = instants.select("ip_address", change.alias("c")).select("ip_address", "c.*")
     active = running_sum(changes, ["ip_address"], "at", "n", "active").filter("arrival")
     counts = active.select("ip_address", F.col("at").alias("_at"), "active")
-    return (
-        rows.join(counts, ["ip_address", "_at"])
-        .withColumn("previous_requests", F.col("active") - 1)
-        .drop("_at", "active")
+    counted = rows.join(counts, ["ip_address", "_at"]).select(
+        *requests.columns, (F.col("active") - 1).alias("previous_requests")
     )
+    uncounted = requests.filter(~known).withColumn("previous_requests", F.lit(None).cast("bigint"))
+    return counted.unionByName(uncounted)
 
 
 def next_reset(ts: Column) -> Column:
@@ -54,14 +56,15 @@ def rate_limit_check(
     requests: DataFrame, limit: int = LIMIT_PER_HOUR, hours: float = 1
 ) -> DataFrame:
     """The answer a check at each request's time would give: allowed, remaining,
-    current_count, reset_at and the time until then."""
+    current_count, reset_at and the time until then.  A request without address or
+    time is not allowed, with no count."""
     counted = trailing_counts(requests, hours)
     count = F.col("previous_requests")
     reset = next_reset(F.col("created_at"))
     seconds = F.unix_seconds(reset) - F.unix_seconds(F.col("created_at").cast("timestamp"))
     return counted.withColumns(
         {
-            "allowed": count < limit,
+            "allowed": F.coalesce(count < limit, F.lit(False)),
             "remaining": F.greatest(F.lit(0), F.lit(limit) - count),
             "current_count": count,
             "reset_at": reset,
@@ -85,11 +88,13 @@ def admissions(
 ) -> DataFrame:
     """Check-and-record in time order: id, ip_address, created_at, admitted.
 
-    Whitelisted addresses are always admitted.
+    Whitelisted addresses are always admitted; requests without address or time never.
     """
-    keyed = requests.select(
+    every = requests.select(
         F.col("ip_address").alias("key"), micros(F.col("created_at")).alias("at"), "id"
     )
+    known = F.col("key").isNotNull() & F.col("at").isNotNull()
+    keyed, unknown = every.filter(known), every.filter(~known)
     exempt = in_ranges(F.col("key"), whitelist)
     limited = replay(
         keyed.filter(~exempt) if whitelist else keyed, limit, int(hours * HOUR),
@@ -99,6 +104,7 @@ def admissions(
         limited = limited.unionByName(
             keyed.filter(exempt).withColumn("admitted", F.lit(True))
         )
+    limited = limited.unionByName(unknown.withColumn("admitted", F.lit(False)))
     return limited.select(
         "id", F.col("key").alias("ip_address"), from_micros(F.col("at")).alias("created_at"),
         "admitted",
@@ -153,7 +159,9 @@ def rate_limit_stats(
 
 def reset_limit(requests: DataFrame, addresses: list[str]) -> DataFrame:
     """Requests without those of the given addresses."""
-    return requests.filter(~F.col("ip_address").isin(*addresses)) if addresses else requests
+    if not addresses:
+        return requests
+    return requests.filter(~F.coalesce(F.col("ip_address").isin(*addresses), F.lit(False)))
 
 
 def split_whitelisted(requests: DataFrame, whitelist: list[str]) -> DataFrame:
@@ -169,34 +177,33 @@ def blocked_addresses(addresses: DataFrame, ranges=BLOCKED_RANGES) -> DataFrame:
 
 def screen_urls(urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES) -> DataFrame:
     """``urls`` with ``errors`` and ``blocked``: the URL's own errors, else that its
-    host does not resolve, else the first blocked address and how many there are.
+    host does not resolve, else every blocked address, sorted, and how many there are.
 
     ``addresses`` (host, ip) stands for name resolution and is reduced to one row per
-    host before the join; ``blocked_addresses`` lists every one of them.
+    host, with the set of its blocked addresses, before the join.
     """
     per_host = (
         addresses.select(F.lower("host").alias("host"), "ip")
-        .distinct()
         .withColumn("bad", F.when(is_blocked(F.col("ip"), ranges), F.col("ip")))
         .groupBy("host")
-        .agg(F.count("bad").alias("blocked"), F.min("bad").alias("bad"))
+        .agg(F.array_sort(F.collect_set("bad")).alias("bad"))
+        .withColumn("blocked", F.size("bad"))
     )
     split = urls.withColumn("_parts", url_parts(F.col("url")))
     checked = split.withColumn("_errors", errors_of_parts(F.col("url"), F.col("_parts")))
     accepted = F.when(F.size("_errors") == 0, F.col("_parts.host"))
     checked = checked.withColumn("host", own_key(accepted, *urls.columns)).drop("_parts")
-    refused = F.concat(F.lit("Access to private IP address "), "bad", F.lit(" is not allowed"))
-    network = F.when(
-        F.col("blocked").isNull(), F.lit("Could not resolve hostname to IP address")
-    ).when(F.col("blocked") > 0, refused)
+    unresolved = F.array(F.lit("Could not resolve hostname to IP address"))
+    refused = F.transform(
+        "bad", lambda ip: F.concat(F.lit("Access to private IP address "), ip, F.lit(" is not allowed"))
+    )
+    network = F.when(F.col("blocked").isNull(), unresolved).otherwise(refused)
     return (
         join_unique(checked, per_host, "host", "left")
         .withColumn(
             "errors",
-            F.when(F.size("_errors") > 0, F.col("_errors")).otherwise(
-                F.array_compact(F.array(network))
-            ),
+            F.when(F.size("_errors") > 0, F.col("_errors")).otherwise(network),
         )
-        .withColumn("blocked", F.coalesce("blocked", F.lit(0)))
+        .withColumn("blocked", F.coalesce("blocked", F.lit(0)).cast("bigint"))
         .select(*urls.columns, "errors", "blocked")
     )

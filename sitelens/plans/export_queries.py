@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import batch as B
 from ..operators import cache as C
 from ..operators import export as E
 from ..operators import logs as L
@@ -205,3 +206,71 @@ def analysis_envelope(spark, sf):
         F.col("data.word_count").cast("long").alias("word_count"),
         "meta.rate_limit.remaining",
     )
+
+
+# Pages of even number have a valid entry, every third page one that has run out.
+CACHED = "page_id % 2 = 0"
+
+
+@query(
+    "analyze_pipeline",
+    f"""WITH {CLEAN} SELECT page_id, {TITLE} AS title FROM cleaned
+    WHERE url NOT IN (SELECT url FROM pages WHERE {CACHED})""",
+)
+def analyze_pipeline(spark, sf):
+    pages = S.pages(spark, sf)
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    hours = F.when(F.expr(CACHED), 6).when(F.col("page_id") % 3 == 0, -6)
+    entries = pages.select(
+        cache_key(F.col("url")).alias("cache_key"), (now + F.make_dt_interval(hours=hours)).alias("expires_at")
+    ).filter("expires_at IS NOT NULL")
+    analysed = B.analyze_missing(pages, entries, now)
+    return analysed.select("page_id", F.col("analysis.meta.title").alias("title"))
+
+
+@query(
+    "analysis_options",
+    f"""WITH {CLEAN} SELECT page_id, {TITLE} AS title, CAST(0 AS BIGINT) AS n_h1,
+       CAST(0 AS BIGINT) AS word_count, md5(clean) AS raw_md5 FROM cleaned""",
+)
+def analysis_options(spark, sf):
+    options = {"include_headings": False, "include_word_count": False, "include_raw_html": True}
+    analysed = P.analyze(S.pages(spark, sf), **options)
+    return analysed.select(
+        "page_id",
+        F.col("analysis.meta.title").alias("title"),
+        F.size("analysis.headings.h1").cast("long").alias("n_h1"),
+        F.col("analysis.word_count").cast("long").alias("word_count"),
+        F.md5(F.col("raw_html").cast("binary")).alias("raw_md5"),
+    )
+
+
+# Pages of up to 150 kB and 9,800 elements, one for each document.
+N_PARTS = "doc_id % 50 * 100"
+PART = "'<p>' || coalesce(lang, 'xx') || ' text <b>bold</b></p>'"
+
+
+@query(
+    "large_pages",
+    f"""SELECT page_id, bytes, elements, 2 * n AS word_count,
+       CASE WHEN bytes > 100000 THEN 'Consider reducing HTML size' ELSE 'HTML size is acceptable' END AS size_advice,
+       CASE WHEN elements > 1500 THEN 'Consider reducing DOM complexity'
+            ELSE 'DOM complexity is acceptable' END AS element_advice
+    FROM (SELECT doc_id AS page_id, {N_PARTS} AS n, 26 + {N_PARTS} * length({PART}) AS bytes,
+                 2 + 2 * ({N_PARTS}) AS elements FROM documents)""",
+)
+def large_pages(spark, sf):
+    html = (
+        """'<html><body><script>var a = "<p>";</script>'"""
+        f" || repeat({PART}, CAST({N_PARTS} AS INT)) || '</body></html>'"
+    )
+    pages = S.table(spark, sf, "documents").selectExpr("doc_id AS page_id", "'http://h/' AS url", f"{html} AS html")
+    found = P.parse(pages).select("page_id", P.insights_struct().alias("i"), P.word_count().alias("words"))
+    return found.select(
+        "page_id",
+        F.col("i.html_size.bytes").alias("bytes"),
+        F.col("i.dom_elements.count").cast("long").alias("elements"),
+        F.col("words").cast("long").alias("word_count"),
+        F.col("i.html_size.recommendation").alias("size_advice"),
+        F.col("i.dom_elements.recommendation").alias("element_advice"),
+    )

@@ -58,6 +58,39 @@ def rate_limit_check(spark, sf):
     )
 
 
+# Every 7th request has no address and every 11th no time.
+UNKNOWN = "(event_id % 7 = 0 OR event_id % 11 = 0)"
+
+
+def _partly_unknown(spark, sf):
+    return S.client_requests(spark, sf).withColumns(
+        {
+            "ip_address": F.when(F.col("id") % 7 != 0, F.col("ip_address")),
+            "created_at": F.when(F.col("id") % 11 != 0, F.col("created_at")),
+        }
+    )
+
+
+@query(
+    "rate_limit_unknown",
+    f"""SELECT event_id AS id, n < {LIMIT} AS allowed, greatest(0, {LIMIT} - n) AS remaining, n AS current_count
+    FROM (SELECT event_id, {TRAILING} AS n FROM events WHERE NOT {UNKNOWN})
+    UNION ALL SELECT event_id, false, 0, NULL FROM events WHERE {UNKNOWN}""",
+)
+def rate_limit_unknown(spark, sf):
+    checked = R.rate_limit_check(_partly_unknown(spark, sf), LIMIT, HOURS)
+    return checked.select("id", "allowed", "remaining", "current_count")
+
+
+@query(
+    "request_reset",
+    "SELECT event_id AS id, concat('', user_id) AS ip_address FROM events WHERE user_id >= 100",
+)
+def request_reset(spark, sf):
+    requests = S.client_requests(spark, sf)
+    return R.reset_limit(requests, [str(i) for i in range(100)]).select("id", "ip_address")
+
+
 @query(
     "quota_status",
     f"""SELECT id, CASE WHEN n >= {LIMIT} THEN 'warning' WHEN {LIMIT} - n <= 2 THEN 'notice' END AS status

@@ -196,7 +196,8 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
     "ssrf_screen",
     f"""WITH a AS (SELECT DISTINCT {ADDRESSES} FROM events),
     h AS (SELECT host, count(*) FILTER (WHERE ip LIKE '10.%') AS blocked,
-                 min(ip) FILTER (WHERE ip LIKE '10.%') AS bad FROM a GROUP BY host),
+                 string_agg('Access to private IP address ' || ip || ' is not allowed', '; ' ORDER BY ip)
+                   FILTER (WHERE ip LIKE '10.%') AS bad FROM a GROUP BY host),
     e AS (SELECT event_id AS id, event_type, CASE event_type WHEN 'error' THEN '127'
             WHEN 'signup' THEN concat('site', user_id % 20, '.example.com')
             ELSE concat('site', user_id % 25, '.example.com') END AS host,
@@ -204,7 +205,7 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
     SELECT id, CASE event_type WHEN 'error' THEN 'Localhost and IP addresses are not allowed'
              WHEN 'signup' THEN 'Invalid URL format: Port 81 is not allowed'
              ELSE CASE WHEN blocked IS NULL THEN 'Could not resolve hostname to IP address'
-                       WHEN blocked > 0 THEN 'Access to private IP address ' || bad || ' is not allowed'
+                       WHEN blocked > 0 THEN bad
                        ELSE '' END END AS errors,
            CASE WHEN event_type IN ('error', 'signup') THEN 0 ELSE coalesce(blocked, 0) END AS blocked
     FROM e LEFT JOIN h USING (host)""",
