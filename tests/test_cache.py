@@ -55,7 +55,7 @@ def test_lookup_sees_the_newest_entry_only(spark):
         "id long, cache_key string, created_at timestamp",
     )
     got = {r.id: (r.entry_id, r.hit) for r in C.lookup(requests, entries(spark, made)).collect()}
-    assert len(got) == 400
+    assert len(got) == 401 and got[400] == (None, False)  # a refused key misses
     for i, (k, s) in enumerate(asked[:400]):
         known = [(t, j, ttl) for j, (mk, t, ttl) in enumerate(made) if mk == k and t <= s]
         newest = max(known) if known else None

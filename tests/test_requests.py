@@ -113,7 +113,7 @@ def test_screening(spark):
     )
     got = {r.id: (r.errors, r.blocked) for r in R.screen_urls(urls, addresses).collect()}
     assert got[1] == ([], 0)
-    assert got[2] == (["Access to private IP address 10.0.0.1 is not allowed"], 2)
+    assert got[2] == ([f"Access to private IP address 10.0.0.{i} is not allowed" for i in (1, 2)], 2)
     assert got[3][0] == ["Could not resolve hostname to IP address"]
     assert got[4][0] == ["Localhost and IP addresses are not allowed"]
     assert got[5][0] == ["Invalid URL format: Port 81 is not allowed"]
