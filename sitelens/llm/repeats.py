@@ -38,7 +38,7 @@ _PLACE = np.uint64((1 << 20) - 1)
 _FIELD = 1 << 10
 CELLS = "key bigint, id bigint, at bigint"
 #: ``shape`` is the distance of the anchor in a cell, or what else the row is.
-CONTEXTS = "bucket bigint, shape bigint, ctx binary, id bigint, start bigint"
+CONTEXTS = "shape bigint, ctx binary, id bigint, start bigint"
 WINDOW, DONE = -1, -2
 #: A span in one number: start and length; longer ones are given in parts.
 SPANS = "id bigint, span bigint"
@@ -170,14 +170,13 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> Data
             start, rest = divmod(at, _FIELD * _FIELD)
             n, off = divmod(rest, _FIELD)
             if not hot:
-                bucket = _number(data[start + off : start + off + gram])
-                yield bucket, off, data[start : start + n + min_bytes - 1], i, start
+                yield off, data[start : start + n + min_bytes - 1], i, start
                 continue
             for s in range(start, start + n):
                 digest = blake2b(data[s : s + min_bytes], digest_size=16).digest()
                 here = (i, s)
                 if every:
-                    yield _number(digest), WINDOW, digest, i, s
+                    yield WINDOW, digest, i, s
                     continue
                 earlier = windows.setdefault(digest, here)
                 if here < earlier:
@@ -193,22 +192,18 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> Data
             columns = (batch.column(c).to_pylist() for c in ("id", "data", "found"))
             for i, data, found in zip(*columns):
                 out += rows_of(i, data, found, windows, done)
-            out += [(_number(digest), WINDOW, digest, i, s) for digest, (i, s) in windows.items()]
+            out += [(WINDOW, digest, i, s) for digest, (i, s) in windows.items()]
             spans: dict[int, list] = {}
             for i, s in done:
                 spans.setdefault(i, []).append((s, s + min_bytes))
             for i, found in spans.items():
                 # Decided already: only passed on, with the stop instead of bytes.
-                out += [(i, DONE, b"%d" % b, i, a) for a, b in _merged(found)]
+                out += [(DONE, b"%d" % b, i, a) for a, b in _merged(found)]
             yield record_batch(out, schema)
 
     return joined.mapInArrow(run, CONTEXTS)
 
 
-def _number(data: bytes) -> int:
-    return int.from_bytes(blake2b(data, digest_size=8).digest(), "little", signed=True)
-
-
 def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int, int]]:
     """Spans of all but the first occurrence of every group of a bucket's distinct contexts."""
     found: dict[int, list] = {}
@@ -222,12 +217,19 @@ def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int,
     return [(ids[m], a, b) for m, spans in found.items() for a, b in _merged(spans)]
 
 
-def _sorted(contexts: DataFrame) -> DataFrame:
+def _bucket(shape: int, ctx: bytes, gram: int) -> bytes:
+    """What the rows of a bucket share: the bytes at the anchor, or a window's digest."""
+    return ctx[shape : shape + gram] if shape >= 0 else ctx
+
+
+def _sorted(contexts: DataFrame, gram: int) -> DataFrame:
     parts = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(parts, "bucket").sortWithinPartitions("bucket", "shape", "ctx", "id", "start")
+    shared = F.substring("ctx", F.col("shape").cast("int") + 1, F.lit(gram))
+    bucket = F.when(F.col("shape") >= 0, shared).otherwise(F.col("ctx"))
+    return contexts.repartition(parts, bucket).sortWithinPartitions(bucket, "shape", "ctx", "id", "start")
 
 
-def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
+def _later_spans(contexts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     """(id, span): stretches that also start earlier, bucket by bucket in sorted order."""
     schema = arrow_schema(SPANS)
 
@@ -242,13 +244,13 @@ def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
 
         for batch in slices(batches, "ctx"):
             out = []
-            for key, shape, ctx, i, start in zip(*(c.to_pylist() for c in batch.columns)):
+            for shape, ctx, i, start in zip(*(c.to_pylist() for c in batch.columns)):
                 if shape == DONE:
                     out.append((i, start, int(ctx)))
                     continue
-                if (key, shape == WINDOW) != bucket:
+                if (key := (_bucket(shape, ctx, gram), shape == WINDOW)) != bucket:
                     out += finish()
-                    bucket, distinct, last = (key, shape == WINDOW), [], None
+                    bucket, distinct, last = key, [], None
                 if (shape, ctx) != last:
                     last, first = (shape, ctx), (i, start)
                     if shape != WINDOW:
@@ -258,7 +260,7 @@ def _later_spans(contexts: DataFrame, min_bytes: int) -> DataFrame:
             yield packed(out)
         yield packed(finish())
 
-    return _sorted(contexts).mapInArrow(run, SPANS)
+    return _sorted(contexts, gram).mapInArrow(run, SPANS)
 
 
 def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: int, every: bool = False) -> DataFrame:
@@ -278,37 +280,37 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(known_id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
 
 
-MEMBERS = "name string, ctx binary, bucket bigint, shape bigint, before bigint, after bigint"
+MEMBERS = "name string, ctx binary, shape bigint, before bigint, after bigint"
 
 
-def _members(contexts: DataFrame, min_bytes: int) -> DataFrame:
+def _members(contexts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     """Groups as (name, context, bytes before and after the anchor); a row for each different context."""
     schema = arrow_schema(MEMBERS)
 
-    def groups_of(key: int, distinct: dict[tuple[int, bytes], int]):
+    def groups_of(key: bytes, distinct: dict[tuple[int, bytes], int]):
         for (shape, ctx), n in distinct.items():
             if n > 1:
-                name = f"{key:x}-{shape}-{blake2b(ctx, digest_size=16).hexdigest()}"
-                yield name, ctx, key, shape, max(shape, 0), (min_bytes if shape == WINDOW else len(ctx) - shape)
+                name = f"{blake2b(ctx, digest_size=16).hexdigest()}-{shape}"
+                yield name, ctx, shape, max(shape, 0), (min_bytes if shape == WINDOW else len(ctx) - shape)
         kinds = [k for k in distinct if k[0] != WINDOW]
         groups = maximal_repeats([(ctx, off) for off, ctx in kinds], min_bytes)
         for g, (members, left, right) in enumerate(groups):
             for m in members:
-                yield f"{key:x}-{g}", kinds[m][1], key, kinds[m][0], left, right
+                yield f"{blake2b(key, digest_size=16).hexdigest()}#{g}", kinds[m][1], kinds[m][0], left, right
 
     def run(batches):
         bucket, distinct = None, {}
         for batch in slices(batches, "ctx"):
             out = []
-            for key, shape, ctx in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shape", "ctx"))):
-                if (key, shape == WINDOW) != bucket:
+            for shape, ctx in zip(*(batch.column(c).to_pylist() for c in ("shape", "ctx"))):
+                if (key := (_bucket(shape, ctx, gram), shape == WINDOW)) != bucket:
                     out += groups_of(bucket[0], distinct) if bucket else []
-                    bucket, distinct = (key, shape == WINDOW), {}
+                    bucket, distinct = key, {}
                 distinct[shape, ctx] = distinct.get((shape, ctx), 0) + 1
             yield record_batch(out, schema)
         yield record_batch(list(groups_of(bucket[0], distinct)) if bucket else [], schema)
 
-    return _sorted(contexts).mapInArrow(run, MEMBERS)
+    return _sorted(contexts, gram).mapInArrow(run, MEMBERS)
 
 
 def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -321,7 +323,7 @@ def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
     """
     found = _grouped_contexts(_rows(docs), min_bytes, gram, max_bucket, every=True)
     # Occurrences meet the groups of their context again, so no group is held in one place.
-    joined = found.join(_members(found, min_bytes), ["bucket", "shape", "ctx"])
+    joined = found.join(_members(found, min_bytes, gram), ["shape", "ctx"])
     start = F.col("start") + F.greatest("shape", F.lit(0)) - F.col("before")
     stop = F.col("start") + F.greatest("shape", F.lit(0)) + F.col("after")
     placed = joined.select("name", given_id("id").alias("doc_id"), start.alias("start"), stop.alias("stop"))
@@ -339,7 +341,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     found in one of them is removed from all.  Other columns are ignored.
     """
     rows = _rows(docs)
-    later = _later_spans(_grouped_contexts(rows, min_bytes, gram, max_bucket), min_bytes)
+    later = _later_spans(_grouped_contexts(rows, min_bytes, gram, max_bucket), min_bytes, gram)
     per_doc = later.groupBy("id").agg(F.collect_list("span").alias("spans"))
     schema = arrow_schema(RESULT)
 
