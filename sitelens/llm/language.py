@@ -119,6 +119,23 @@ def fit(x: np.ndarray, lang: list[str]) -> Model:
 FEATURES_SCHEMA = "doc_id bigint, lang string, x binary"
 
 
+def _smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows (doc_id, lang) of each language with the smallest hashes of the id.
+
+    Hashes are counted by their order of magnitude, at most 65 counts for a language, so
+    only about twice as many rows as are wanted are ranked, however many there are.  The
+    counts are broadcast: their number is bounded by that of the languages of the model.
+    """
+    share = F.xxhash64("doc_id").cast("double") / 2.0**64 + 0.5
+    sized = rows.withColumn("size", F.floor(F.log2(F.greatest(share, F.lit(2.0**-64)))))
+    counts = sized.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("size")) - F.col("n")
+    needed = counts.withColumn("before", before).filter(F.col("before") < n).select("lang", "size")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = sized.join(F.broadcast(needed), ["lang", "size"], "left_semi").withColumn("rank", F.row_number().over(order))
+    return ranked.filter(F.col("rank") <= n).select("doc_id", "lang")
+
+
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang), at most ``per_language`` whole texts of each language.
 
@@ -128,14 +145,8 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | N
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    # Chosen by id first: texts are not shuffled, the rank keeps a few rows of each language.
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        rows.select("doc_id", "lang")
-        .withColumn("n", F.row_number().over(order))
-        .filter(F.col("n") <= per_language)
-        .select("doc_id", "lang")
-    )
+    # Chosen by id first: texts are not shuffled.
+    chosen = _smallest_hashes(rows.select("doc_id", "lang"), per_language)
     wanted = [(r[0], r[1]) for r in chosen.collect()]
     if not wanted:
         return None

@@ -36,6 +36,20 @@ def test_sampled_labels(spark):
 
 # -- 5 -----------------------------------------------------------------------------
 
+def test_smallest_hashes(spark):
+    given = [(i, "ab"[i % 3 == 0]) for i in range(3000)] + [(5000, "rare")]
+    df = spark.createDataFrame(given, "doc_id bigint, lang string")
+    hashed = df.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).collect()
+    for n in (1, 7, 100, 10_000):
+        found = {tuple(r) for r in language._smallest_hashes(df, n).collect()}
+        want = set()
+        for lang in ("a", "b", "rare"):
+            mine = sorted((r.h, r.doc_id, lang) for r in hashed if r.lang == lang)
+            want |= {(i, name) for _, i, name in mine[:n]}
+        assert found == want
+    assert language._smallest_hashes(df.limit(0), 5).collect() == []
+
+
 SYLLABLES = {"aa": "ka to ri mu ne", "bb": "sch ung ein lich keit", "cc": "eau oux tre ment que", "dd": "ción ado osa lla ez"}
 
 
