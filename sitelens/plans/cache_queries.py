@@ -31,6 +31,14 @@ FILES = f"""
     max(CAST(floor(value * 1000) AS BIGINT)) AS size"""
 
 
+# 1024 of a unit are still shown in it; two decimals, without zeros at the end.
+SIZE_TEXT = "CASE " + " ".join(
+    f"WHEN bytes <= {1024 ** (i + 1)} THEN"
+    f" regexp_replace(printf('%.2f', round(bytes / {1024**i}, 2)), '\\.?0+$', '') || ' {unit}'"
+    for i, unit in enumerate(("B", "KB", "MB", "GB", "TB"))
+) + " END"
+
+
 def asked(spark, sf):
     return S.select(
         S.events(spark, sf), f"event_id AS id, {USER_KEY} AS cache_key, ts AS created_at"
@@ -109,11 +117,12 @@ def cache_upsert(spark, sf):
                  count(*) FILTER (WHERE ts + {TTL} > {NOW}) AS valid_entries FROM events),
     s AS (SELECT count(*) AS cache_files, CAST(sum(size) AS BIGINT) AS bytes FROM f)
     SELECT total_entries, valid_entries, cache_files, bytes AS total_file_size_bytes,
+           {SIZE_TEXT} AS total_file_size_formatted,
            round(valid_entries / total_entries * 100, 2) AS valid_ratio FROM n, s""",
 )
 def cache_stats(spark, sf):
     entries, now = with_now(spark, sf)
-    return C.cache_stats(entries, files(spark, sf), now).drop("total_file_size_formatted")
+    return C.cache_stats(entries, files(spark, sf), now)
 
 
 @query(

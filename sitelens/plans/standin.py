@@ -151,8 +151,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def select(df: DataFrame, columns: str) -> DataFrame:
     """SELECT list as text, one expression per line, in a DataFrame."""
-    df.createOrReplaceTempView("standin_source")
-    return df.sparkSession.sql(f"SELECT {columns} FROM standin_source")
+    text = columns.replace("{", "{{").replace("}", "}}")
+    return df.sparkSession.sql(f"SELECT {text} FROM {{rows}}", rows=df)
 
 
 def events(spark, sf_dir):

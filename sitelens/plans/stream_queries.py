@@ -126,3 +126,15 @@ def stream_cache_upsert(spark, sf):
         "cache_key", "id",
         F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expires_at"),
     )
+
+
+# The table is one file, so all of it is one batch, in which a key is seen for the
+# first time once; which of its rows that is, is not defined.
+@query("stream_first_sightings", f"SELECT DISTINCT {KEY} AS cache_key FROM events")
+def stream_first_sightings(spark, sf):
+    root = shared_dir(spark, "sightings")
+    requests = stream_of(spark, sf, "events", [f"{KEY} AS cache_key", "ts AS created_at"])
+    writer = T.first_sightings(requests).writeStream.format("parquet").option("path", f"{root}/out")
+    T.run_available(writer.outputMode("append"), f"{root}/checkpoint")
+    done = spark.read.schema("cache_key STRING, created_at TIMESTAMP").parquet(f"{root}/out")
+    return done.select("cache_key")
