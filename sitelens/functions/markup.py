@@ -42,7 +42,9 @@ def _extract_all(x: str, pattern: str, group: int = 0) -> str:
 
 _QUOTED = r""""[^"]*"|'[^']*'"""
 _VALUE = rf"""(?:{_QUOTED}|[^\s"'>][^\s>]*)"""
-TAG_REST = rf"""(?:[^>"']++|{_QUOTED})*+>"""
+# A quoted run opens as a whole value only, right after ``=``; any other quote is an
+# ordinary character of a name or of an unquoted value.
+TAG_REST = rf"""(?:[^>=]++|=\s*+(?:{_QUOTED}|(?!["'])[^\s>]*+))*+>"""
 START_TAG = rf"<[a-zA-Z]{TAG_REST}"
 
 # Blocks whose whole content is left out of the body text.
@@ -94,6 +96,11 @@ _ANY_TAG = r"""(?:[^>"']++|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*+(?:>|\z)"""
 STRIPPED = rf"(?s)[<\x00](?:(?<=\x00)|!--.*?(?:-->|\z)|(?!\s){_ANY_TAG})"
 
 
+# Within an element, quotes hold as they do in ``TAG_REST``.
+_INNER_TAG = r"""(?:[^>=]++|=\s*+(?:"[^"]*(?:"|\z)|'[^']*(?:'|\z)|(?!["'])[^\s>]*+))*+(?:>|\z)"""
+_INNER_STRIPPED = STRIPPED.replace(_ANY_TAG, _INNER_TAG)
+
+
 def strip_tags(x: str) -> str:
     """Tags become nothing (no space); ``<`` before whitespace is text; an unclosed
     tag or comment swallows the rest, as do unclosed quotes inside a tag."""
@@ -155,7 +162,7 @@ def decode_all(array: str) -> str:
 
 def inner_texts(htmls: str) -> str:
     """Text content of each element: tags out, entities decoded, ends trimmed."""
-    stripped = f"transform({htmls}, h -> {strip_tags('h')})"
+    stripped = f"transform({htmls}, h -> {_replace('h', _INNER_STRIPPED)})"
     return f"transform({stripped}, h -> {trim(decode_entities('h'))})"
 
 

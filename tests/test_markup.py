@@ -51,6 +51,35 @@ def test_unclosed_tags_take_the_rest(evaluate):
     assert evaluate(list(cases), expr(M.scripts_source("x"))) == list(cases.values())
 
 
+def test_a_stray_quote_is_an_ordinary_character(evaluate):
+    page = "<p>a</p><a href=/x title=Bob's>l</a><img src=\"a.png\"><a href=\"/y\">m</a>"
+    tags = ["<p>", "<a href=/x title=Bob's>", '<img src="a.png">', '<a href="/y">']
+    assert evaluate([page], expr(M.start_tags("x")), "string") == [tags]
+    cases = {
+        "<a \"b\" c='>'><i>": ["<a \"b\" c='>'>", "<i>"],
+        "<a href=/?q=\"x y><i>": ["<a href=/?q=\"x y>", "<i>"],
+        "<a b = '>' c=d\"><i e=>": ["<a b = '>' c=d\">", "<i e=>"],
+        "<i><a b=c' d='open><i>": ["<i>"],
+    }
+    assert evaluate(list(cases), expr(M.start_tags("x"))) == list(cases.values())
+    found = M.attr_map("x")
+    assert evaluate(["<a href=/x title=Bob's>"], expr(found)) == [{"href": "/x", "title": "Bob's"}]
+    heads = "<h1 id=it's>a <b title=Bob's>b</b> c</h1><h2>d</h2>"
+    source = M.headings_source("x")
+    assert evaluate([heads], expr(M.inner_texts(M.after_start_tags(source)))) == [["a b c", "d"]]
+    assert evaluate(["<script a=b's></script><script src=c>"], expr(M.scripts_source("x"))) == [
+        ["<script a=b's>", "<script src=c>"]
+    ]
+
+
+def test_links_after_a_stray_quote(spark):
+    html = "<a href=/x title=Bob's>l</a><img src=\"a.png\"><a href=\"/y\">m <b title=it's>n</b></a>"
+    df = spark.createDataFrame([(1, "http://h/", html)], "page_id int, url string, html string")
+    row = pages.parse(df).select(pages.links_array().alias("links"), pages.images_array().alias("images")).first()
+    assert [(r.url, r.text) for r in row.links] == [("http://h/x", "l"), ("http://h/y", "m n")]
+    assert len(row.images) == 1
+
+
 def test_hostile_pages_finish(evaluate):
     pages = [
         "<script>" * 100_000,
