@@ -68,7 +68,7 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.shown(simhash.near_duplicates(documents(spark, sf_dir)))
+    return simhash.shown(simhash.near_duplicates(documents(spark, sf_dir)), "component")
 
 
 def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,10 +15,10 @@ which keeps dense groups of near copies from giving all their pairs.
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..plans.shared import shared_dir
-from .common import arrow_schema, given_id, ids_and_texts, known_id, slices
+from .common import arrow_schema, ids_and_texts, slices
 from .components import components
 
 BITS = 4
@@ -26,7 +26,7 @@ SHINGLE = 4
 SEED = 42
 #: (lowest bit, width) of the segments; more than BITS / 2 of them, so a radius of one is enough.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
-SCHEMA = "doc_id bigint, fp bigint"
+SCHEMA = "doc_id bigint, fp bigint, digest binary"
 
 
 def fingerprint(text: str) -> int:
@@ -48,6 +48,11 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def _digest() -> Column:
+    """Tells the texts of rows with one id apart, or of rows without an id."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     schema = arrow_schema(SCHEMA)
 
@@ -55,9 +60,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in slices(batches):
             found = [fingerprint(t or "") for t in batch.column("text").to_pylist()]
             signed = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], schema=schema)
+            columns = [batch.column("doc_id"), signed, batch.column("digest")]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return ids_and_texts(docs).mapInArrow(run, SCHEMA)
+    return ids_and_texts(docs).withColumn("digest", _digest()).mapInArrow(run, SCHEMA)
 
 
 def _segment(column: str, low: int, width: int):
@@ -106,21 +112,15 @@ def _bit_apart(fps: DataFrame) -> DataFrame:
     return asked.join(fps.select(F.col("fp").alias("b")), "b").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """``doc_id``, ``fp`` (signed) and ``component_id`` of every row of ``docs``.
-
-    ``component_id`` is the smallest id reachable over links.  A text without words
-    (null, empty, white space) has fingerprint zero and is linked like any other.  A
-    null id counts as the smallest of all and its component is null; rows that share
-    an id give a row each.  Other columns are ignored.  ``bits`` is at most 5, since
-    each of the three segments is searched within one bit.
-    """
+def _grouped(docs: DataFrame, bits: int) -> DataFrame:
+    """``id``, ``fp``, ``digest`` of every row, ``class`` (the smallest fingerprint of its
+    component) and ``component`` (the smallest id)."""
     if bits > 2 * len(SEGMENTS) - 1:
         raise ValueError("bits must be below twice the number of segments")
     spark: SparkSession = docs.sparkSession
     root = shared_dir(spark, "simhash")
-    fingerprints(docs).select(known_id().alias("id"), "fp").write.parquet(f"{root}/documents")
-    rows = spark.read.schema("id bigint, fp bigint").parquet(f"{root}/documents")
+    fingerprints(docs).withColumnRenamed("doc_id", "id").write.parquet(f"{root}/documents")
+    rows = spark.read.schema("id bigint, fp bigint, digest binary").parquet(f"{root}/documents")
     rows.groupBy("fp").agg(F.min("id").alias("rep")).write.parquet(f"{root}/distinct")
     distinct = spark.read.schema("fp bigint, rep bigint").parquet(f"{root}/distinct")
 
@@ -142,22 +142,46 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
         .join(distinct, "fp")
     )
     smallest = named.groupBy("class").agg(F.min("rep").alias("component"))
-    classes = named.select("fp", "class").join(smallest, "class").select("fp", "component")
-    return rows.join(classes, "fp").select(
-        given_id("id").alias("doc_id"), "fp", given_id("component").alias("component_id")
+    classes = named.select("fp", "class").join(smallest, "class").select("fp", "class", "component")
+    return rows.join(classes, "fp")
+
+
+def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """``doc_id``, ``fp`` (signed), ``component_id`` and ``component`` of every row of ``docs``.
+
+    ``component_id`` is the smallest id reachable over links, null if no row reached has
+    an id.  Components of rows without an id, or of rows that share an id, can have the
+    same one; ``component``, the smallest fingerprint (signed) reachable, is different
+    for each.  A text without words (null, empty, white space) has fingerprint zero and
+    is linked like any other.  Other columns are ignored.  ``bits`` is at most 5, since
+    each of the three segments is searched within one bit.
+    """
+    return _grouped(docs, bits).select(
+        F.col("id").alias("doc_id"), "fp", F.col("component").alias("component_id"), F.col("class").alias("component")
     )
 
 
-def shown(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def _hex(column: str) -> Column:
+    return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+def shown(found: DataFrame, *more: str) -> DataFrame:
+    """With fingerprints, also those of the columns ``more``, as 16 hexadecimal digits."""
+    return found.select("doc_id", _hex("fp").alias("fingerprint"), "component_id", *(_hex(c).alias(c) for c in more))
 
 
 def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of each component, with all columns: a row of its smallest id.
 
-    Rows with a null id are one document.  Of several rows with that id, any one stays.
+    A row without an id stays only if no row of its component has one.  Of several such
+    rows of a component, or several with the smallest id, the one with the smallest
+    digest of its text stays; of rows that are equal in both, any one.
     """
-    found = near_duplicates(docs, bits)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(known_id().alias("_kept")).distinct()
-    kept = docs.join(first, known_id() == first["_kept"], "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    found = _grouped(docs, bits).filter(F.col("id").eqNullSafe(F.col("component")))
+    first = found.groupBy("class").agg(F.min("id").alias("_kept"), F.min("digest").alias("_digest"))
+    own = F.col("doc_id").cast("bigint")
+    kept = docs.join(first, own.eqNullSafe(first["_kept"]) & (_digest() == first["_digest"]), "left_semi")
+    key = "_row"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    return kept.withColumn(key, F.struct(own, _digest())).dropDuplicates([key]).drop(key)

@@ -315,6 +315,33 @@ def test_near_duplicates(docs_of, prose):
     assert simhash.near_duplicates(docs_of([])).collect() == []
 
 
+def test_near_duplicates_without_or_with_equal_ids(docs_of, prose):
+    one, two, three, four = (prose(300 + i, 400) for i in range(4))
+    near = lambda text, i: text + f" tail{i}"
+    given = [
+        (None, one), (10, near(one, 1)), (11, near(one, 2)), (None, two), (20, near(two, 1)), (21, near(two, 2)),
+        (None, three), (None, near(three, 1)), (None, near(three, 1)), (None, four), (30, prose(310, 90)), (30, prose(311, 90)),
+        (31, prose(312, 90)), (31, prose(312, 90)), (32, None), (32, ""), (None, " "),
+    ]
+    docs = docs_of(given)
+    found = simhash.shown(simhash.near_duplicates(docs), "component").collect()
+    groups = {}
+    for r in found:
+        groups.setdefault(r.component, []).append(r)
+    ids = lambda values: sorted(values, key=repr)
+    assert ids(ids(r.doc_id for r in group) for group in groups.values()) == ids(
+        [ids([None, 10, 11]), ids([None, 20, 21]), [None] * 3, [None], [30], [30], [31, 31], ids([32, 32, None])]
+    )
+    assert ids(group[0].component_id for group in groups.values()) == ids([10, 20, None, None, 30, 30, 31, 32])
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert ids(i for i, _ in got) == ids([10, 20, None, None, 30, 30, 31, 32])
+    least = min((three, near(three, 1)), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert {t for i, t in got if i is None} == {least, four}
+    assert {t for i, t in got if i == 30} == {prose(310, 90), prose(311, 90)}
+
+
 def test_search_finds_every_pair_of_random_fingerprints(spark):
     rng = random.Random(4)
     fps = [rng.getrandbits(64) for _ in range(60)]
