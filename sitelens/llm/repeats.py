@@ -22,10 +22,10 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.shared import shared_dir
-from .common import arrow_schema, given_id, known_id, record_batch, slices
+from .common import NULL_ID, arrow_schema, known_id, record_batch, slices
 
 MIN_BYTES = 100
 GRAM = 32
@@ -36,12 +36,12 @@ _PLACE = np.uint64((1 << 20) - 1)
 
 #: A cell's place in one number: start, number of windows, distance of the anchor.
 _FIELD = 1 << 10
-CELLS = "key bigint, id bigint, at bigint"
+CELLS = "key bigint, id binary, at bigint"
 #: ``shape`` is the distance of the anchor in a cell, or what else the row is.
-CONTEXTS = "shape bigint, ctx binary, id bigint, start bigint"
+CONTEXTS = "shape bigint, ctx binary, id binary, start bigint"
 WINDOW, DONE = -1, -2
 #: A span in one number: start and length; longer ones are given in parts.
-SPANS = "id bigint, span bigint"
+SPANS = "id binary, span bigint"
 _LENGTH = 1 << 20
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
 
@@ -151,7 +151,7 @@ def _candidates(docs: DataFrame, min_bytes: int, gram: int) -> DataFrame:
                 keys, at = cells(data, min_bytes, gram)
                 if len(keys):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), i)), pa.array(at)], schema=schema
+                        [pa.array(keys.view(np.int64)), pa.repeat(pa.scalar(i, pa.binary()), len(keys)), pa.array(at)], schema=schema
                     )
 
     return docs.mapInArrow(run, CELLS)
@@ -164,7 +164,7 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> Data
     """
     schema = arrow_schema(CONTEXTS)
 
-    def rows_of(i: int, data: bytes, found: list[int], windows: dict, done: list):
+    def rows_of(i: bytes, data: bytes, found: list[int], windows: dict, done: list):
         for place in found:
             at, hot = divmod(place, 2)
             start, rest = divmod(at, _FIELD * _FIELD)
@@ -186,14 +186,14 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> Data
 
     def run(batches):
         for batch in slices(batches, "data", 1 << 20):
-            windows: dict[bytes, tuple[int, int]] = {}
-            done: list[tuple[int, int]] = []
+            windows: dict[bytes, tuple[bytes, int]] = {}
+            done: list[tuple[bytes, int]] = []
             out = []
             columns = (batch.column(c).to_pylist() for c in ("id", "data", "found"))
             for i, data, found in zip(*columns):
                 out += rows_of(i, data, found, windows, done)
             out += [(WINDOW, digest, i, s) for digest, (i, s) in windows.items()]
-            spans: dict[int, list] = {}
+            spans: dict[bytes, list] = {}
             for i, s in done:
                 spans.setdefault(i, []).append((s, s + min_bytes))
             for i, found in spans.items():
@@ -204,7 +204,7 @@ def _contexts(joined: DataFrame, min_bytes: int, gram: int, every: bool) -> Data
     return joined.mapInArrow(run, CONTEXTS)
 
 
-def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[int, int, int]]:
+def _bucket_spans(contexts: list[tuple], min_bytes: int) -> list[tuple[bytes, int, int]]:
     """Spans of all but the first occurrence of every group of a bucket's distinct contexts."""
     found: dict[int, list] = {}
     anchors = [start + off for off, _, _, start in contexts]
@@ -277,7 +277,25 @@ def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: in
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(known_id().alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("data"))
+    """``doc_id``, ``id`` and ``data``; ``id`` is the number in eight bytes, in order, and
+    the digest of the text where several rows have the number or none."""
+    spark = docs.sparkSession
+    data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), known_id().alias("number"), data.alias("data"))
+    path = f"{shared_dir(spark, 'repeats')}/numbers"
+    again = texts.groupBy("number").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again.select("number", F.lit(True).alias("again")).write.parquet(path)
+    # Read again: its size is known, so the texts are not shuffled for the few numbers it usually has.
+    again = spark.read.schema("number bigint, again boolean").parquet(path)
+    number = F.unhex(F.lpad(F.hex(F.col("number").bitwiseXOR(F.lit(NULL_ID))), 16, "0"))
+    digest = F.when(F.col("again"), F.unhex(F.md5("data"))).otherwise(F.lit(b""))
+    return texts.join(again, "number", "left").select("doc_id", F.concat(number, digest).alias("id"), "data")
+
+
+def _number(row_id: str) -> Column:
+    """The id as given, from the ``id`` of ``_rows``."""
+    number = F.conv(F.hex(F.substring(row_id, 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(NULL_ID))
+    return F.when(number != NULL_ID, number)
 
 
 MEMBERS = "name string, ctx binary, shape bigint, before bigint, after bigint"
@@ -326,8 +344,8 @@ def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
     joined = found.join(_members(found, min_bytes, gram), ["shape", "ctx"])
     start = F.col("start") + F.greatest("shape", F.lit(0)) - F.col("before")
     stop = F.col("start") + F.greatest("shape", F.lit(0)) + F.col("after")
-    placed = joined.select("name", given_id("id").alias("doc_id"), start.alias("start"), stop.alias("stop"))
-    return placed.distinct().withColumn("length", F.col("stop") - F.col("start"))
+    placed = joined.select("name", "id", start.alias("start"), stop.alias("stop")).distinct()
+    return placed.select("name", _number("id").alias("doc_id"), "start", "stop", (F.col("stop") - F.col("start")).alias("length"))
 
 
 def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM, max_bucket: int = MAX_BUCKET) -> DataFrame:
@@ -336,9 +354,9 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     A byte is removed if a string of ``min_bytes`` bytes covers it that also starts
     earlier: in a smaller id, or earlier in the same text.  Matches do not cross
     documents.  A null text is empty and keeps nothing; texts shorter than
-    ``min_bytes`` stay.  A null id comes before all others.  Rows that repeat an id
-    are one document and do not count against each other at the same place; what is
-    found in one of them is removed from all.  Other columns are ignored.
+    ``min_bytes`` stay.  A null id comes before all others.  Rows that are equal in id
+    and text are one document; different texts of one id, or without an id, are
+    documents of their own, in the order of their md5 digests.  Other columns are ignored.
     """
     rows = _rows(docs)
     later = _later_spans(_grouped_contexts(rows, min_bytes, gram, max_bucket), min_bytes, gram)
@@ -348,7 +366,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     def run(batches):
         for batch in slices(batches, "data"):
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("id", "data", "spans"))
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "data", "spans"))
             for i, data, spans in zip(*columns):
                 gone = _merged([(a, min(b, len(data))) for a, b in _unpacked(spans or []) if a < len(data)])
                 edges = [0] + [e for span in gone for e in span] + [len(data)]
@@ -356,7 +374,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
                 out.append((i, len(data), len(data) - len(kept), len(gone), kept))
             yield record_batch(out, schema)
 
-    return rows.join(per_doc, "id", "left").mapInArrow(run, RESULT).withColumn("doc_id", given_id("doc_id"))
+    return rows.join(per_doc, "id", "left").mapInArrow(run, RESULT)
 
 
 def digests(cleaned: DataFrame) -> DataFrame:

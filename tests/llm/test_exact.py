@@ -159,6 +159,32 @@ def test_repeats(docs_of, prose, max_bucket):
         assert repeats.remove_repeats(docs_of([])).collect() == []
 
 
+def rows_of_few_ids(prose):
+    passage = prose(400, 40)
+    given = [(None, f"{passage} {prose(401 + i, 60)}") for i in range(3)] + [(None, prose(410 + i, 200)) for i in range(3)]
+    given += [(50, f"{prose(420 + i, 30)} {passage}") for i in range(2)] + [(50, f"{passage} {prose(430, 90)}")] * 2
+    return given + [(-51, prose(440, 50) + passage), (51, prose(440, 50) + passage), (2**62, prose(410, 200)), (52, None), (52, "")]
+
+
+@pytest.mark.parametrize("max_bucket", [100_000, 0])
+def test_texts_without_or_with_equal_ids_are_documents_of_their_own(docs_of, prose, max_bucket):
+    given = [(i, t or "") for i, t in rows_of_few_ids(prose)]
+    order = sorted(set(given), key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(r[1].encode()).digest()))
+    want = [(given[k][0], *found[1:]) for k, found in enumerate(removed_bytes([(order.index(r), r[1]) for r in given], 100))]
+    found = repeats.remove_repeats(docs_of(rows_of_few_ids(prose)), max_bucket=max_bucket)
+    assert rows(found) == sorted(want, key=repr)
+    assert sum(r[2] > 0 for r in want if r[0] is None) == 2
+
+
+def test_repeat_groups_tell_rows_without_an_id_apart(docs_of, prose):
+    passage = prose(400, 19)
+    found = repeats.repeat_groups(docs_of([(None, f"{passage} {prose(401 + i, 20)}") for i in range(2)] + [(-7, passage)]))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault((r.name, r.start), []).append(r.doc_id)
+    assert any(sorted(ids, key=repr) == [-7, None, None] for ids in groups.values()), groups
+
+
 def test_cells_cover_every_window_and_depend_on_content_only(monkeypatch):
     data = np.random.default_rng(1).integers(97, 100, 5000, dtype=np.uint8).tobytes()
     whole = repeats.cells(data)
