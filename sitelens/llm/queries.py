@@ -4,7 +4,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, lines, pieces, quality, repeats, rules, simhash, toxicity, wordpiece
+from . import decontaminate, language, lines, pieces, prefix_trie, quality, repeats, rules, simhash, toxicity, wordpiece
 from .common import documents, fold, in_fold, labels
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,6 +76,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(documents(spark, sf_dir), benchmark)
 
 
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES = {
     "op1_sentencepiece": sentencepiece_round_trip,
     "op2_line_dedup": line_dedup,
@@ -87,5 +91,6 @@ QUERIES = {
     "op8_token_counts": token_counts,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_benchmark_decontamination": benchmark_decontamination,
+    "op13_prefix_trie": conversation_trie,
 }
-ORACLES = {"op2_line_dedup": lines.ORACLE}
+ORACLES = {"op2_line_dedup": lines.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
