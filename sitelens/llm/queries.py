@@ -4,10 +4,11 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, language, lines, pieces, prefix_trie, quality, repeats, rules, simhash, toxicity, wordpiece
+from . import alignment, decontaminate, language, lines, pieces, prefix_trie, quality, repeats, rules, simhash, toxicity, wordpiece
 from .common import documents, fold, in_fold, labels
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +77,11 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(documents(spark, sf_dir), benchmark)
 
 
+def cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a_json, b_model = (pieces.read_model(p) for p in (BYTE_TOKENIZER, PIECE_MODEL))
+    return alignment.align(documents(spark, sf_dir), a_json.decode(), b_model)[0]
+
+
 def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_token_counts": token_counts,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_benchmark_decontamination": benchmark_decontamination,
+    "op12_cross_tokenizer": cross_tokenizer,
     "op13_prefix_trie": conversation_trie,
 }
 ORACLES = {"op2_line_dedup": lines.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
