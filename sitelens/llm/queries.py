@@ -4,7 +4,7 @@ import public_tokenizers
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, decontaminate, language, lines, pieces, prefix_trie, quality, repeats, rules, simhash, toxicity, wordpiece
+from . import alignment, boilerplate, decontaminate, language, lines, pieces, prefix_trie, quality, repeats, rules, simhash, toxicity, wordpiece
 from .common import documents, fold, in_fold, labels
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,6 +77,10 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(documents(spark, sf_dir), benchmark)
 
 
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
     a_json, b_model = (pieces.read_model(p) for p in (BYTE_TOKENIZER, PIECE_MODEL))
     return alignment.align(documents(spark, sf_dir), a_json.decode(), b_model)[0]
@@ -97,6 +101,7 @@ QUERIES = {
     "op8_token_counts": token_counts,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_benchmark_decontamination": benchmark_decontamination,
+    "op11_html_extraction": html_extraction,
     "op12_cross_tokenizer": cross_tokenizer,
     "op13_prefix_trie": conversation_trie,
 }
