@@ -10,7 +10,7 @@ distinct words.  Texts over ``STRETCH`` bytes are cut into byte ranges, each mov
 the next place where its tokenizer can be cut (the two differ), encoded as rows of
 their own and reduced in two rounds of ``FAN``; a Spark string holds no more than that.
 
-An id pair's count needs all texts.  Rows are gathered in slices of about 4 MB of text;
+An id pair's count needs all texts.  Rows are gathered in slices of about 2 MB of text;
 a slice lists its distinct pairs, and documents point into that list.  Counts join the
 lists, never the documents' pairs, and meet the documents of their slice in a sorted stream.
 """
@@ -33,15 +33,17 @@ MARK = "▁"
 #: Bytes of one range of a long text, and ranges composed in one step.
 STRETCH = 32 << 10
 FAN = 256
+#: Bytes of text in one slice.
+SLICE_BYTES = 2 << 20
 #: A word with the white space before it; other white space than these two may be inside a piece.
 WORD = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 #: Places where side A, or B, can be cut: its tokens before and after are found independently.
 A_CUT = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[.,;:!?])")
 B_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: The word table is emptied when it holds more entries, or characters.
-TABLE_WORDS, TABLE_CHARS = 300_000, 8 << 20
-#: Characters of words encoded as one text.
-JOINED_CHARS = 1 << 16
+TABLE_WORDS, TABLE_CHARS = 200_000, 8 << 20
+#: Words added at once, and their characters encoded as one text.
+ADDED_WORDS, JOINED_CHARS = 30_000, 1 << 16
 _A = 1 << 20
 
 RANGES = "key binary, doc_id bigint, at bigint, window string, a_from int, a_to int, b_from int, b_to int"
@@ -166,8 +168,9 @@ class Words:
         # Words that end in white space, or hold a mark, could grow together with the next.
         plain = [w for w in fresh if not w[-1].isspace() and MARK not in w]
         odd = [w for w in fresh if w[-1].isspace() or MARK in w]
-        if not self._add_joined(plain):
-            odd += plain
+        for k in range(0, len(plain), ADDED_WORDS):
+            if not self._add_joined(plain[k : k + ADDED_WORDS]):
+                odd += plain[k : k + ADDED_WORDS]
         for word in odd:
             self._add_one(word)
         self.chars += sum(map(len, fresh))
@@ -196,7 +199,8 @@ class Words:
         t, sizes = self.tokens, np.cumsum([len(w) for w in words])
         cuts = np.unique(np.searchsorted(sizes, np.arange(0, sizes[-1], JOINED_CHARS), side="right"))
         texts = ["".join(words[a:b]) for a, b in zip(cuts, [*cuts[1:], len(words)])]
-        a, b = (np.fromiter(chain.from_iterable(f(texts)), np.int64) for f in (t.encode_a, t.encode_b))
+        # One by one: a batch would hold the library's whole record of every token at once.
+        a, b = (np.fromiter(chain.from_iterable(f([x])[0] for x in texts), np.int64) for f in (t.encode_a, t.encode_b))
         data = "".join(texts).encode()
         if t.spelled_a(a.tolist()) != data or t.spelled_b(b.tolist()) != data:
             return False
@@ -282,7 +286,7 @@ def _short(docs: DataFrame, a_json: str, b_model: bytes, keep: bool) -> DataFram
 
     def run(batches):
         words = Words(Tokens(a_json, b_model))
-        for batch in slices(batches):
+        for batch in slices(batches, "text", SLICE_BYTES):
             ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
             out, documents, owned = [], [], []
             cut = words.of([" " + t for t in texts if t])
