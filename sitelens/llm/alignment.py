@@ -100,6 +100,11 @@ class Tokens:
         self.name_sizes = np.array([len(x) for x in names], np.int64)
         self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
 
+    def spelling_only(self) -> "Tokens":
+        """Without the tokenizers, which only encoding needs."""
+        self.a = self.b = None
+        return self
+
     def encode_a(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
 
@@ -470,39 +475,45 @@ def _fragments(cut: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
     return cut.mapInArrow(run, FRAGMENTS)
 
 
-def _composed(fragments: DataFrame, a_json: str, b_model: bytes, fan: int | None) -> DataFrame:
-    """Fragments of one document and block of ``fan`` (none: all), composed in order."""
+def _in_order(tokens: Tokens, batches, fan: int | None):
+    """Lists of (key, doc_id, block, fragment): fragments of one document and block, composed in order."""
+    current, held = None, None
+    for batch in slices(batches, "groups"):
+        done = []
+        for key, doc_id, at, *values in zip(*(c.to_pylist() for c in batch.columns)):
+            f, here = Fragment.read(*values), (key, doc_id, at // fan if fan else 0)
+            if here != current:
+                if current is not None:
+                    done.append((*current, held))
+                current, held = here, f
+            else:
+                held = held.then(tokens, f)
+        yield done
+    if current is not None:
+        yield [(*current, held)]
+
+
+def _composed(fragments: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
+    """Blocks of ``FAN`` fragments."""
     schema = _schema(FRAGMENTS)
 
     def run(batches):
-        tokens, current, held, out = Tokens(a_json, b_model), None, None, []
-        for batch in slices(batches, "groups"):
-            for key, doc_id, at, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                f, here = Fragment.read(*values), (key, doc_id, at // fan if fan else 0)
-                if here != current:
-                    if current is not None:
-                        out.append((*current, *held.row()))
-                    current, held = here, f
-                else:
-                    held = held.then(tokens, f)
-            yield record_batch(out, schema)
-            out = []
-        if current is not None:
-            yield record_batch([(*current, *held.row())], schema)
+        for done in _in_order(Tokens(a_json, b_model).spelling_only(), batches, FAN):
+            yield record_batch([(key, doc_id, at, *f.row()) for key, doc_id, at, f in done], schema)
 
-    block = [F.col("key"), F.floor(F.col("at") / fan)] if fan else [F.col("key")]
-    return fragments.repartition(*block).sortWithinPartitions("key", "at").mapInArrow(run, FRAGMENTS)
+    dealt = fragments.repartition("key", F.floor(F.col("at") / FAN))
+    return dealt.sortWithinPartitions("key", "at").mapInArrow(run, FRAGMENTS)
 
 
-def _finished(composed: DataFrame, a_json: str, b_model: bytes, keep: bool) -> DataFrame:
+def _finished(blocks: DataFrame, a_json: str, b_model: bytes, keep: bool) -> DataFrame:
+    """Whole documents from their blocks."""
     schema = _schema(ALIGNED)
 
     def run(batches):
-        tokens = Tokens(a_json, b_model)
-        for batch in slices(batches, "groups"):
+        tokens = Tokens(a_json, b_model).spelling_only()
+        for done in _in_order(tokens, batches, None):
             out, documents, pairs, times = [], [], [], []
-            for _, doc_id, _, *values in zip(*(c.to_pylist() for c in batch.columns)):
-                f = Fragment.read(*values)
+            for _, doc_id, _, f in done:
                 if not f.ok:
                     out.append(_nothing(doc_id))
                     continue
@@ -519,7 +530,7 @@ def _finished(composed: DataFrame, a_json: str, b_model: bytes, keep: bool) -> D
                 out += _slice_rows(documents, owners, np.concatenate(pairs), np.concatenate(times))
             yield record_batch(out, schema)
 
-    return composed.mapInArrow(run, ALIGNED)
+    return blocks.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, ALIGNED)
 
 
 def _weighed(aligned: DataFrame, values: DataFrame) -> DataFrame:
@@ -572,8 +583,8 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, keep_groups: bool = Fals
     # Written, since each long text gets a new key when it is cut.
     _cut_long(rows.filter(size >= stretch), stretch).write.parquet(f"{folder}/ranges")
     cut = spark.read.schema(RANGES).parquet(f"{folder}/ranges").repartition("key", "at")
-    blocks = _composed(_fragments(cut, a_json, b_model), a_json, b_model, FAN)
-    _finished(_composed(blocks, a_json, b_model, None), a_json, b_model, keep_groups).write.parquet(f"{folder}/long")
+    blocks = _composed(_fragments(cut, a_json, b_model), a_json, b_model)
+    _finished(blocks, a_json, b_model, keep_groups).write.parquet(f"{folder}/long")
     aligned = spark.read.schema(ALIGNED).parquet(f"{folder}/short", f"{folder}/long")
 
     listed = aligned.filter("found IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("found", "counts")).alias("at", "x"))
