@@ -16,6 +16,7 @@ lists, never the documents' pairs, and meet the documents of their slice in a so
 """
 
 import re
+from copy import copy
 from hashlib import sha256
 from itertools import chain
 from uuid import uuid4
@@ -41,7 +42,7 @@ WORD = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*(?:[^\S \n]\s*\Z)?|\s+")
 A_CUT = re.compile(r"(?<=\S)(?=\s)|(?<=[A-Za-z])(?=[.,;:!?])")
 B_CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: The word table is emptied when it holds more entries, or characters.
-TABLE_WORDS, TABLE_CHARS = 200_000, 8 << 20
+TABLE_WORDS, TABLE_CHARS = 300_000, 8 << 20
 #: Words added at once, and their characters encoded as one text.
 ADDED_WORDS, JOINED_CHARS = 30_000, 1 << 16
 _A = 1 << 20
@@ -75,12 +76,12 @@ def byte_letters() -> dict[str, int]:
 
 
 class Tokens:
-    """Both tokenizers, with the bytes of their ids."""
+    """The bytes of both tokenizers' ids, built once on the driver; tasks that encode open the tokenizers."""
 
     def __init__(self, a_json: str, b_model: bytes):
-        self.a = Tokenizer.from_str(a_json)
-        self.a.encode_special_tokens = True
-        self.b = sp = sentencepiece.SentencePieceProcessor(model_proto=b_model)
+        self.sources = a_json, b_model
+        self.open()
+        sp = self.b
         letters = byte_letters()
         spelled = self.a.get_vocab(with_added_tokens=True)
         self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in spelled.items()}
@@ -100,13 +101,24 @@ class Tokens:
         self.name_sizes = np.array([len(x) for x in names], np.int64)
         self.name_starts = np.cumsum(self.name_sizes) - self.name_sizes
 
-    def spelling_only(self) -> "Tokens":
-        """Without the tokenizers, which only encoding needs."""
-        self.a = self.b = None
+    def open(self) -> "Tokens":
+        a_json, b_model = self.sources
+        self.a = Tokenizer.from_str(a_json)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         return self
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("a", "b")}
+
+    def spelling_only(self) -> "Tokens":
+        """Without the tokenizers' files, which only encoding needs."""
+        other = copy(self)
+        other.sources = None
+        return other
+
     def encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_b(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts that start with a space, which the library adds itself, or a line feed."""
@@ -237,14 +249,22 @@ class Words:
     def joined(self, ids: np.ndarray) -> bytes:
         return b";".join([self.groups[i] for i in ids.tolist()])
 
-    def linked(self, owners: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(owner, pair, times): the pairs of words, each word once for each owner."""
+    def linked(self, owners: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct pairs, owner, place among them, times): the pairs of words, each word once for each owner."""
         both, times = np.unique(owners << 32 | ids, return_counts=True)
         owners, ids = both >> 32, both & 0xFFFFFFFF
-        n = self.length[ids]
+        # Pairs are sorted for the distinct words only.
+        words, which = np.unique(ids, return_inverse=True)
+        n = self.length[words]
         ends = np.cumsum(n)
-        at = np.repeat(self.start[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        return np.repeat(owners, n), self.pairs[at], np.repeat(times, n)
+        found, place = np.unique(self.pairs[_runs(self.start[words], n)], return_inverse=True)
+        return found, np.repeat(owners, n[which]), place[_runs((ends - n)[which], n[which])], np.repeat(times, n[which])
+
+
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -265,10 +285,9 @@ def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(times, first) if len(keys) else times
 
 
-def _slice_rows(documents: list[tuple], owners: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> list[tuple]:
+def _slice_rows(documents: list[tuple], found: np.ndarray, owners: np.ndarray, place: np.ndarray, times: np.ndarray) -> list[tuple]:
     """Rows of ``ALIGNED`` for (doc_id, n_a, n_b, n_groups, n_links, sha256, groups) and their pairs."""
-    found, place = np.unique(pairs, return_inverse=True)
-    keys, sums = _summed(owners * max(1, len(found)) + place.ravel(), times)
+    keys, sums = _summed(owners * max(1, len(found)) + place, times)
     owner, place = np.divmod(keys, max(1, len(found)))
     edges = np.searchsorted(owner, np.arange(len(documents) + 1))
     name = uuid4().int >> 65
@@ -286,11 +305,11 @@ def _nothing(doc_id) -> tuple:
     return (None, doc_id, 0, 0, 0, 0, "", b"", b"", b"", None, None)
 
 
-def _short(docs: DataFrame, a_json: str, b_model: bytes, keep: bool) -> DataFrame:
+def _short(docs: DataFrame, tokens: Tokens, keep: bool) -> DataFrame:
     schema = _schema(ALIGNED)
 
     def run(batches):
-        words = Words(Tokens(a_json, b_model))
+        words = Words(tokens.open())
         for batch in slices(batches, "text", SLICE_BYTES):
             ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
             out, documents, owned = [], [], []
@@ -453,19 +472,19 @@ def fragment(words: Words, window: str, a_from: int, a_to: int, b_from: int, b_t
     f = Fragment(ok_a and ok_b, a, b)
     found = words.of([window[low:high]])[0]
     f.ok = f.ok and bool(words.ok[found].all())
-    _, pairs, times = words.linked(np.zeros(len(found), np.int64), found)
+    pairs, _, place, times = words.linked(np.zeros(len(found), np.int64), found)
     sizes = (int(x[found].sum()) for x in (words.n_a, words.n_b, words.n_groups))
-    f.close(words.joined(found), *sizes, pairs, times)
+    f.close(words.joined(found), *sizes, pairs[place], times)
     (f.tail_a, ok_a), (f.tail_b, ok_b) = a_side(high, a_to), b_side(high, b_to)
     f.ok = f.ok and ok_a and ok_b
     return f
 
 
-def _fragments(cut: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
+def _fragments(cut: DataFrame, tokens: Tokens) -> DataFrame:
     schema = _schema(FRAGMENTS)
 
     def run(batches):
-        words = Words(Tokens(a_json, b_model))
+        words = Words(tokens.open())
         for batch in slices(batches, "window"):
             out = []
             for key, doc_id, at, *place in zip(*(c.to_pylist() for c in batch.columns)):
@@ -493,24 +512,23 @@ def _in_order(tokens: Tokens, batches, fan: int | None):
         yield [(*current, held)]
 
 
-def _composed(fragments: DataFrame, a_json: str, b_model: bytes) -> DataFrame:
+def _composed(fragments: DataFrame, tokens: Tokens) -> DataFrame:
     """Blocks of ``FAN`` fragments."""
     schema = _schema(FRAGMENTS)
 
     def run(batches):
-        for done in _in_order(Tokens(a_json, b_model).spelling_only(), batches, FAN):
+        for done in _in_order(tokens, batches, FAN):
             yield record_batch([(key, doc_id, at, *f.row()) for key, doc_id, at, f in done], schema)
 
     dealt = fragments.repartition("key", F.floor(F.col("at") / FAN))
     return dealt.sortWithinPartitions("key", "at").mapInArrow(run, FRAGMENTS)
 
 
-def _finished(blocks: DataFrame, a_json: str, b_model: bytes, keep: bool) -> DataFrame:
+def _finished(blocks: DataFrame, tokens: Tokens, keep: bool) -> DataFrame:
     """Whole documents from their blocks."""
     schema = _schema(ALIGNED)
 
     def run(batches):
-        tokens = Tokens(a_json, b_model).spelling_only()
         for done in _in_order(tokens, batches, None):
             out, documents, pairs, times = [], [], [], []
             for _, doc_id, _, f in done:
@@ -527,7 +545,8 @@ def _finished(blocks: DataFrame, a_json: str, b_model: bytes, keep: bool) -> Dat
                 times.append(counted)
             if documents:
                 owners = np.repeat(np.arange(len(documents)), [len(p) for p in pairs])
-                out += _slice_rows(documents, owners, np.concatenate(pairs), np.concatenate(times))
+                found, place = np.unique(np.concatenate(pairs), return_inverse=True)
+                out += _slice_rows(documents, found, owners, place, np.concatenate(times))
             yield record_batch(out, schema)
 
     return blocks.repartition("key").sortWithinPartitions("key", "at").mapInArrow(run, ALIGNED)
@@ -579,12 +598,14 @@ def align(docs: DataFrame, a_json: str, b_model: bytes, keep_groups: bool = Fals
     folder = shared_dir(spark, "alignment")
     rows = ids_and_texts(docs)
     size = F.coalesce(F.octet_length("text"), F.lit(0))
-    _short(rows.filter(size < stretch), a_json, b_model, keep_groups).write.parquet(f"{folder}/short")
+    tokens = Tokens(a_json, b_model)
+    spelling = tokens.spelling_only()
+    _short(rows.filter(size < stretch), tokens, keep_groups).write.parquet(f"{folder}/short")
     # Written, since each long text gets a new key when it is cut.
     _cut_long(rows.filter(size >= stretch), stretch).write.parquet(f"{folder}/ranges")
     cut = spark.read.schema(RANGES).parquet(f"{folder}/ranges").repartition("key", "at")
-    blocks = _composed(_fragments(cut, a_json, b_model), a_json, b_model)
-    _finished(blocks, a_json, b_model, keep_groups).write.parquet(f"{folder}/long")
+    blocks = _composed(_fragments(cut, tokens), spelling)
+    _finished(blocks, spelling, keep_groups).write.parquet(f"{folder}/long")
     aligned = spark.read.schema(ALIGNED).parquet(f"{folder}/short", f"{folder}/long")
 
     listed = aligned.filter("found IS NOT NULL").select("slice", F.posexplode(F.arrays_zip("found", "counts")).alias("at", "x"))
