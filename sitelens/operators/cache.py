@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import cache_key, is_cache_key
 from ..functions.values import format_bytes, from_micros, micros, own_key, seconds_interval
-from .admission import MAX_SESSION, replay
+from .chain import admit_one
 from .joins import join_unique
 from .running import latest_before
 
@@ -106,21 +106,21 @@ def lookup(requests: DataFrame, entries: DataFrame) -> DataFrame:
     return answered.unionByName(refused)
 
 
-def cache_replay(
-    requests: DataFrame, ttl_seconds: int = TTL_SECONDS, max_session: int = MAX_SESSION
-) -> DataFrame:
+def cache_replay(requests: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """Requests (id, cache_key, created_at) in time order: a hit while the last
     refresh of the key is valid, else a refresh.
 
-    A refresh is an admission with a limit of one per time to live.
+    A refresh is the only admission of its time to live (see ``chain``).  A request without
+    key or time cannot hit.
     """
     keyed = requests.select(
         F.col("cache_key").alias("key"), micros(F.col("created_at")).alias("at"), "id"
     )
-    decided = replay(keyed, 1, ttl_seconds * SECOND, max_session=max_session)
+    decided = admit_one(keyed, ttl_seconds * SECOND)
+    possible = F.col("key").isNotNull() & F.col("at").isNotNull()
     return decided.select(
         "id", F.col("key").alias("cache_key"), from_micros(F.col("at")).alias("created_at"),
-        (~F.col("admitted")).alias("hit"),
+        (possible & ~F.col("admitted")).alias("hit"),
     )
 
 
