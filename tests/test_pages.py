@@ -145,6 +145,13 @@ def test_jsonld(evaluate):
         '{"@type": 5}': [],
         '{"@type": "A"} trailing': [],
         '{"@type": "A",}': [],
+        '{"@type": "A"}, {"@type": "B"}': [],
+        '{"publisher": {"@type": "Z"}, "author": {"@type": "A"}}': ["Z", "A"],
+        '{"a": {"b": {"@type": "X"}}, "c": {"@type": "Y"}}': ["X", "Y"],
+        '{"text": "{\\"@type\\": \\"No\\"}", "@type": ["T", 1, {"@type": "U"}]}': ["T", "U"],
+        '{"@type": "A", "@type": "B"}': [],
+        ' [[{"@type": "A"}], null, 1, {"k": null, "@type": null}]': ["A"],
+        '{"@type": "{\\"@type\\": 1}"}': ['{"@type": 1}'],
         '"@type"': [],
         "": [],
         '{"a":' * 60 + '{"@type": "Deep"}' + "}" * 60: ["Deep"],
