@@ -182,22 +182,22 @@ def screen_urls(urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES) ->
     ``addresses`` (host, ip) stands for name resolution and is reduced to one row per
     host, with the set of its blocked addresses, before the join.
     """
-    per_host = (
-        addresses.select(F.lower("host").alias("host"), "ip")
-        .withColumn("bad", F.when(is_blocked(F.col("ip"), ranges), F.col("ip")))
-        .groupBy("host")
-        .agg(F.array_sort(F.collect_set("bad")).alias("bad"))
-        .withColumn("blocked", F.size("bad"))
+    # Tested once for each address, and its message written once for each host.
+    distinct = addresses.select(F.lower("host").alias("host"), "ip").distinct()
+    bad = distinct.withColumn("bad", F.when(is_blocked(F.col("ip"), ranges), F.col("ip")))
+    per_host = bad.groupBy("host").agg(F.array_sort(F.collect_list("bad")).alias("bad")).select(
+        "host",
+        F.size("bad").alias("blocked"),
+        F.transform(
+            "bad", lambda ip: F.concat(F.lit("Access to private IP address "), ip, F.lit(" is not allowed"))
+        ).alias("refused"),
     )
     split = urls.withColumn("_parts", url_parts(F.col("url")))
     checked = split.withColumn("_errors", errors_of_parts(F.col("url"), F.col("_parts")))
     accepted = F.when(F.size("_errors") == 0, F.col("_parts.host"))
     checked = checked.withColumn("host", own_key(accepted, *urls.columns)).drop("_parts")
     unresolved = F.array(F.lit("Could not resolve hostname to IP address"))
-    refused = F.transform(
-        "bad", lambda ip: F.concat(F.lit("Access to private IP address "), ip, F.lit(" is not allowed"))
-    )
-    network = F.when(F.col("blocked").isNull(), unresolved).otherwise(refused)
+    network = F.when(F.col("blocked").isNull(), unresolved).otherwise(F.col("refused"))
     return (
         join_unique(checked, per_host, "host", "left")
         .withColumn(

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import logs as L
+from ..operators import ranges as N
 from ..operators import requests as R
 from ..sources import crawl
 from ..functions.text import log_line
@@ -249,3 +250,53 @@ def history_topn(spark, sf):
 )
 def history_rollup(spark, sf):
     return L.history_rollup(S.history(spark, sf))
+
+
+# -- ranges that are a table --------------------------------------------------------
+
+# A range from every order line, 8 to 32 bits long; from every part one of IPv6.
+LINE_BITS = "(8 + 4 * (l_orderkey % 7))"
+LINE_NET = """concat(l_partkey % 200 + 1, '.', l_suppkey % 256, '.', l_orderkey % 256, '.', l_linenumber * 16)"""
+PART_BITS = "(32 + 8 * (p_partkey % 3))"
+LOOKED_UP = """CASE WHEN event_type = 'purchase' THEN concat('2001:db8:', {hex}, '::', user_id % 9 + 1)
+    ELSE concat(user_id % 240 + 1, '.', event_id % 256, '.', (user_id + event_id) % 256, '.', event_id % 128) END"""
+
+
+def range_table(spark, sf):
+    lines = S.select(S.table(spark, sf, "lineitem"), f"concat({LINE_NET}, '/', {LINE_BITS}) AS cidr")
+    v6 = f"concat('2001:db8:', lower(hex(p_partkey % 65536)), '::/', {PART_BITS}) AS cidr"
+    return lines.unionByName(S.select(S.table(spark, sf, "part"), v6))
+
+
+def looked_up(spark, sf):
+    ip = LOOKED_UP.format(hex="lower(hex(user_id % 65536))")
+    return S.select(S.events(spark, sf), f"event_id AS id, {ip} AS ip_address")
+
+
+V4_NUMBER = "({0} * 16777216 + {1} * 65536 + {2} * 256 + {3})"
+LINE_NUMBER = V4_NUMBER.format("(l_partkey % 200 + 1)", "(l_suppkey % 256)", "(l_orderkey % 256)", "(l_linenumber * 16)")
+EVENT_NUMBER = V4_NUMBER.format("(user_id % 240 + 1)", "(event_id % 256)", "((user_id + event_id) % 256)", "(event_id % 128)")
+RANGE_SQL = f"""WITH v4 AS (
+      SELECT {LINE_BITS} AS bits, {LINE_NUMBER} // (2 ** (32 - {LINE_BITS}))::BIGINT AS prefix,
+             min(concat({LINE_NET}, '/', {LINE_BITS})) AS range FROM lineitem GROUP BY 1, 2),
+    v6 AS (
+      SELECT {PART_BITS} AS bits, (p_partkey % 65536) // (2 ** (48 - {PART_BITS}))::BIGINT AS prefix,
+             min(concat('2001:db8:', printf('%x', p_partkey % 65536), '::/', {PART_BITS})) AS range FROM part GROUP BY 1, 2),
+    asked AS (
+      SELECT event_id AS id, event_type = 'purchase' AS six, {EVENT_NUMBER} AS number, user_id % 65536 AS part,
+             {LOOKED_UP.format(hex="printf('%x', user_id % 65536)")} AS ip_address FROM events),
+    held AS (
+      SELECT id, bits, range FROM asked JOIN v4 ON NOT six AND number // (2 ** (32 - bits))::BIGINT = prefix
+      UNION ALL SELECT id, bits, range FROM asked JOIN v6 ON six AND part // (2 ** (48 - bits))::BIGINT = prefix),
+    best AS (SELECT id, arg_max(range, bits) AS range FROM held GROUP BY id)"""
+
+
+@query("range_lookup", RANGE_SQL + " SELECT id, ip_address, range FROM asked LEFT JOIN best USING (id)")
+def range_lookup(spark, sf):
+    """The longest of many ranges that holds each address."""
+    return N.longest_ranges(looked_up(spark, sf), range_table(spark, sf))
+
+
+@query("whitelist_table", RANGE_SQL + " SELECT id, range IS NOT NULL AS whitelisted FROM asked LEFT JOIN best USING (id)")
+def whitelist_table(spark, sf):
+    return N.whitelisted(looked_up(spark, sf), range_table(spark, sf)).select("id", "whitelisted")
