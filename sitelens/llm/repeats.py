@@ -19,12 +19,13 @@ a 128-bit digest, first inside each batch, and are compared while streaming.
 """
 
 from hashlib import blake2b
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.shared import shared_dir
+from ..plans.shared import release, shared_dir
 from .common import NULL_ID, arrow_schema, known_id, record_batch, slices
 
 MIN_BYTES = 100
@@ -43,7 +44,7 @@ WINDOW, DONE = -1, -2
 #: A span in one number: start and length; longer ones are given in parts.
 SPANS = "id binary, span bigint"
 _LENGTH = 1 << 20
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, copies bigint"
 
 
 def _gram_hashes(data: np.ndarray, n: int) -> np.ndarray:
@@ -263,33 +264,61 @@ def _later_spans(contexts: DataFrame, min_bytes: int, gram: int) -> DataFrame:
     return _sorted(contexts, gram).mapInArrow(run, SPANS)
 
 
-def _grouped_contexts(docs: DataFrame, min_bytes: int, gram: int, max_bucket: int, every: bool = False) -> DataFrame:
-    spark = docs.sparkSession
-    found = _candidates(docs, min_bytes, gram)
-    path = f"{shared_dir(spark, 'repeats')}/anchors"
-    again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again.select("key", (F.col("n") > max_bucket).cast("bigint").alias("hot")).write.parquet(path)
-    # Read again: both sides of the join are shuffled as they are, and a hot anchor can be split.
-    anchors = spark.read.schema("key bigint, hot bigint").parquet(path)
-    places = found.join(anchors, "key").select("id", (2 * F.col("at") + F.col("hot")).alias("place"))
-    per_doc = places.groupBy("id").agg(F.collect_list("place").alias("found"))
-    return _contexts(docs.join(per_doc, "id"), min_bytes, gram, every)
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``id`` and ``data``; ``id`` is the number in eight bytes, in order, and
-    the digest of the text where several rows have the number or none."""
+class _Texts:
+    """Each different document once, with its cells' occurrences, in tables bucketed by ``id``.
+
+    Texts are shuffled once, when they are stored; what is found about them is brought to
+    them in buckets of its own.  After each written table Spark may drop the shuffles behind it.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.spark = docs.sparkSession
+        self.root = shared_dir(self.spark, "repeats")
+        self.parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = self.stored(_distinct_rows(docs, self.root), "texts")
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        table = f"repeats_{uuid4().hex}"
+        writer = df.repartition(self.parts, "id").write.bucketBy(self.parts, "id").sortBy("id")
+        writer.option("path", f"{self.root}/{name}").option("compression", "zstd").saveAsTable(table)
+        found = self.spark.table(table)
+        # The files stay, and the plan holds where they are.
+        self.spark.sql(f"DROP TABLE {table}")
+        release(self.spark)
+        return found
+
+    def contexts(self, min_bytes: int, gram: int, max_bucket: int, every: bool = False) -> DataFrame:
+        found = _candidates(self.table.select("id", "data"), min_bytes, gram)
+        path = f"{self.root}/anchors"
+        again = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        again.select("key", (F.col("n") > max_bucket).cast("bigint").alias("hot")).write.parquet(path)
+        release(self.spark)
+        # Read again: both sides of the join are shuffled as they are, and a hot anchor can be split.
+        anchors = self.spark.read.schema("key bigint, hot bigint").parquet(path)
+        places = found.join(anchors, "key").select("id", (2 * F.col("at") + F.col("hot")).alias("place"))
+        per_doc = self.stored(places.groupBy("id").agg(F.collect_list("place").alias("found")), "places")
+        return _contexts(self.table.select("id", "data").join(per_doc, "id"), min_bytes, gram, every)
+
+
+def _distinct_rows(docs: DataFrame, root: str) -> DataFrame:
+    """``doc_id``, ``id``, ``data`` and ``copies``; ``id`` is the number in eight bytes, in
+    order, and the digest of the text where several rows have the number or none.  Rows
+    that are equal in number and text are one, with the number of its copies."""
     spark = docs.sparkSession
     data = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), known_id().alias("number"), data.alias("data"))
-    path = f"{shared_dir(spark, 'repeats')}/numbers"
+    path = f"{root}/numbers"
     again = texts.groupBy("number").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     again.select("number", F.lit(True).alias("again")).write.parquet(path)
     # Read again: its size is known, so the texts are not shuffled for the few numbers it usually has.
     again = spark.read.schema("number bigint, again boolean").parquet(path)
     number = F.unhex(F.lpad(F.hex(F.col("number").bitwiseXOR(F.lit(NULL_ID))), 16, "0"))
     digest = F.when(F.col("again"), F.unhex(F.md5("data"))).otherwise(F.lit(b""))
-    return texts.join(again, "number", "left").select("doc_id", F.concat(number, digest).alias("id"), "data")
+    rows = texts.join(again, "number", "left").select("doc_id", F.concat(number, digest).alias("id"), "data", "again")
+    one = F.lit(1).cast("bigint").alias("copies")
+    alone = rows.filter("again IS NULL").select("doc_id", "id", "data", one)
+    some = rows.filter("again").groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("data").alias("data"), F.count(F.lit(1)).alias("copies"))
+    return alone.unionByName(some)
 
 
 def _number(row_id: str) -> Column:
@@ -339,7 +368,7 @@ def repeat_groups(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM,
     ``max_bucket`` occurrences as groups of ``min_bytes`` each.  Nulls, repeated rows
     and other columns are treated as by ``remove_repeats``.
     """
-    found = _grouped_contexts(_rows(docs), min_bytes, gram, max_bucket, every=True)
+    found = _Texts(docs).contexts(min_bytes, gram, max_bucket, every=True)
     # Occurrences meet the groups of their context again, so no group is held in one place.
     joined = found.join(_members(found, min_bytes, gram), ["shape", "ctx"])
     start = F.col("start") + F.greatest("shape", F.lit(0)) - F.col("before")
@@ -358,23 +387,24 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, gram: int = GRAM
     and text are one document; different texts of one id, or without an id, are
     documents of their own, in the order of their md5 digests.  Other columns are ignored.
     """
-    rows = _rows(docs)
-    later = _later_spans(_grouped_contexts(rows, min_bytes, gram, max_bucket), min_bytes, gram)
-    per_doc = later.groupBy("id").agg(F.collect_list("span").alias("spans"))
-    schema = arrow_schema(RESULT)
+    texts = _Texts(docs)
+    later = _later_spans(texts.contexts(min_bytes, gram, max_bucket), min_bytes, gram)
+    per_doc = texts.stored(later.groupBy("id").agg(F.collect_list("span").alias("spans")), "spans")
+    schema = arrow_schema(KEPT)
 
     def run(batches):
         for batch in slices(batches, "data"):
             out = []
-            columns = (batch.column(c).to_pylist() for c in ("doc_id", "data", "spans"))
-            for i, data, spans in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "data", "spans", "copies"))
+            for i, data, spans, copies in zip(*columns):
                 gone = _merged([(a, min(b, len(data))) for a, b in _unpacked(spans or []) if a < len(data)])
                 edges = [0] + [e for span in gone for e in span] + [len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                out.append((i, len(data), len(data) - len(kept), len(gone), kept))
+                out.append((i, len(data), len(data) - len(kept), len(gone), kept, copies))
             yield record_batch(out, schema)
 
-    return rows.join(per_doc, "id", "left").mapInArrow(run, RESULT)
+    kept = texts.table.join(per_doc, "id", "left").mapInArrow(run, KEPT)
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))).drop("copy", "copies")
 
 
 def digests(cleaned: DataFrame) -> DataFrame:
