@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import cache_key
 from ..operators import cache as C
+from ..streaming import keyed as K
 from ..streaming import streams as T
 from . import standin as S
 from .cache_queries import KEY, TTL
@@ -138,3 +139,54 @@ def stream_first_sightings(spark, sf):
     T.run_available(writer.outputMode("append"), f"{root}/checkpoint")
     done = spark.read.schema("cache_key STRING, created_at TIMESTAMP").parquet(f"{root}/out")
     return done.select("cache_key")
+
+
+# -- keyed state over several batches -----------------------------------------------
+
+FILES, LATE = 6, "1 hour"
+DECIDED = """ FROM fold JOIN events e ON e.event_id = fold.id
+    WHERE e.ts <= (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR"""
+
+
+def arriving(spark, sf, root, columns):
+    """The events as a stream of files in the order of arrival, up to 40 minutes late."""
+    events = S.events(spark, sf).withColumn(
+        "arrival", F.unix_seconds(F.col("ts").cast("timestamp")) + F.pmod(F.xxhash64("event_id"), F.lit(2_400))
+    )
+    first, last = events.agg(F.min("arrival"), F.max("arrival")).first()
+    span = max(1, -(-((last or 0) - (first or 0) + 1) // FILES))
+    for n in range(FILES):
+        mine = events.filter(F.floor((F.col("arrival") - (first or 0)) / span) == n)
+        mine.drop("arrival").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = T.read_stream(spark, f"{root}/in", events.drop("arrival").schema, files_per_batch=1)
+    return stream.selectExpr(*columns)
+
+
+def decided_in_batches(spark, root, stream, limit, seconds):
+    writer = K.admissions(stream, limit, seconds, LATE).writeStream.format("parquet").option("path", f"{root}/out")
+    T.run_available(writer.outputMode("append"), f"{root}/checkpoint")
+    return spark.read.schema(K.DECISIONS).parquet(f"{root}/out")
+
+
+@query(
+    "stream_admission_batches",
+    fold_sql("concat('', user_id)", LIMIT, WINDOW_US) + " SELECT fold.id, k AS ip_address, admitted" + DECIDED,
+)
+def stream_admission_batches(spark, sf):
+    """Admission by keyed state: six batches with late rows, decided up to the watermark."""
+    root = shared_dir(spark, "keyed-admissions")
+    stream = arriving(spark, sf, root, ["concat('', user_id) AS key", "ts AS created_at", "event_id AS id"])
+    decided = decided_in_batches(spark, root, stream, LIMIT, HOURS * 3_600)
+    return decided.select("id", F.col("key").alias("ip_address"), "admitted")
+
+
+@query(
+    "stream_first_sightings_batches",
+    fold_sql(KEY, 1, 21_600_000_000) + " SELECT fold.id, k AS cache_key" + DECIDED + " AND admitted",
+)
+def stream_first_sightings_batches(spark, sf):
+    """First sightings of a key in each time to live, with state that expires."""
+    root = shared_dir(spark, "keyed-sightings")
+    stream = arriving(spark, sf, root, [f"{KEY} AS key", "ts AS created_at", "event_id AS id"])
+    decided = decided_in_batches(spark, root, stream, 1, C.TTL_SECONDS)
+    return decided.filter("admitted").select("id", F.col("key").alias("cache_key"))
