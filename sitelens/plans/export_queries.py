@@ -101,63 +101,89 @@ def export_flat(spark, sf):
     )
 
 
+# Every row of the long export of a built page, in order (a record keeps three headings of a
+# level): section, property, value, notes.
+DIRECTORY = "concat('https://shop', p_partkey % 7, '.example.com')"
+LD_KNOWN = "p_partkey % 13 <> 0"
+LONG_ROWS = [
+    ("Metadata", "url", "url", ""),
+    ("Metadata", "final_url", "url", ""),
+    ("Metadata", "exported_at", f"'{EXPORTED_AT}'", ""),
+    ("Metadata", "http_status", "'200'", ""),
+    ("Metadata", "content_type", "'text/html'", ""),
+    ("Meta Tags", "title", "p_name || ' & more'", ""),
+    ("Meta Tags", "description", "CASE WHEN p_partkey % 2 = 1 THEN 'second > ' || p_brand ELSE p_name || ' ' || p_type END", ""),
+    ("Meta Tags", "keywords", "CASE WHEN p_partkey % 5 <> 0 THEN p_brand END", ""),
+    ("Meta Tags", "robots", "'noindex'", ""),
+    ("Meta Tags", "theme_color", "'light'", ""),
+    ("Meta Tags", "charset", "'utf-8'", ""),
+    ("Open Graph", "og:title", "p_name || ' <b>'", ""),
+    ("Open Graph", "og:type", "'product'", ""),
+    ("Open Graph", "og:image", f"{DIRECTORY} || '/img/' || p_partkey || '.png'", ""),
+    ("Open Graph", "og:locale", "p_brand", ""),
+    ("Twitter Card", "twitter:card", "'summary'", ""),
+    ("Twitter Card", "twitter:image", f"{DIRECTORY} || '/parts/pic-' || p_partkey || '.jpg'", ""),
+    ("Headings", "H1", "p_name", "Position: 1"),
+    *[("Headings", "H2", f"CASE WHEN p_size % 5 >= {i} THEN 'Part {i} ' || p_type END", f"Position: {i + 1}") for i in range(3)],
+    ("Headings", "H3", "p_brand", "Position: 1"),
+    ("Schema.org", "Type", f"CASE WHEN {LD_KNOWN} THEN p_type ELSE 'Product' END", "Index: 1"),
+    ("Schema.org", "Type", f"CASE WHEN {LD_KNOWN} THEN 'Brand' ELSE 'Thing' END", "Index: 2"),
+    *[("Schema.org", "Type", f"CASE WHEN {LD_KNOWN} THEN '{t}' END", f"Index: {i}") for i, t in ((3, "Thing"), (4, "Offer"), (5, "Product"))],
+    ("Hreflang", "en", f"{DIRECTORY} || '/en/' || p_partkey", ""),
+    ("Hreflang", "de", f"{DIRECTORY} || '/parts/de/' || p_partkey", ""),
+    ("Additional", "Canonical URL", "CASE WHEN p_partkey % 11 <> 0 THEN url END", ""),
+    ("Additional", "Favicon URL", f"{DIRECTORY} || CASE WHEN p_partkey % 3 = 0 THEN '/icon-' || p_partkey % 10 || '.ico' ELSE '/favicon.ico' END", ""),
+    ("Additional", "Word Count", "(9 + p_size % 5)::VARCHAR", ""),
+]
+LONG_LIST = ", ".join(f"{{'s': '{s}', 'p': '{p}', 'v': {v}, 'n': '{n}'}}" for s, p, v, n in LONG_ROWS)
+
+
 @query(
     "export_long",
-    f"""SELECT p_partkey AS page_id, s AS section, p AS property, v AS value, n AS notes FROM {HTML},
-    LATERAL (SELECT unnest([
-      {{'s': 'Metadata', 'p': 'url', 'v': url, 'n': ''}},
-      {{'s': 'Metadata', 'p': 'http_status', 'v': '200', 'n': ''}},
-      {{'s': 'Meta Tags', 'p': 'title', 'v': p_name || ' & more', 'n': ''}},
-      {{'s': 'Meta Tags', 'p': 'robots', 'v': 'noindex', 'n': ''}},
-      {{'s': 'Meta Tags', 'p': 'theme_color', 'v': 'light', 'n': ''}},
-      {{'s': 'Meta Tags', 'p': 'charset', 'v': 'utf-8', 'n': ''}},
-      {{'s': 'Open Graph', 'p': 'og:title', 'v': p_name || ' <b>', 'n': ''}},
-      {{'s': 'Open Graph', 'p': 'og:type', 'v': 'product', 'n': ''}},
-      {{'s': 'Open Graph', 'p': 'og:locale', 'v': p_brand, 'n': ''}},
-      {{'s': 'Twitter Card', 'p': 'twitter:card', 'v': 'summary', 'n': ''}},
-      {{'s': 'Headings', 'p': 'H1', 'v': p_name, 'n': 'Position: 1'}},
-      {{'s': 'Headings', 'p': 'H2', 'v': 'Part 0 ' || p_type, 'n': 'Position: 1'}},
-      {{'s': 'Headings', 'p': 'H2', 'v': CASE WHEN p_size % 5 >= 1 THEN 'Part 1 ' || p_type END, 'n': 'Position: 2'}},
-      {{'s': 'Headings', 'p': 'H2', 'v': CASE WHEN p_size % 5 >= 2 THEN 'Part 2 ' || p_type END, 'n': 'Position: 3'}},
-      {{'s': 'Headings', 'p': 'H3', 'v': p_brand, 'n': 'Position: 1'}},
-      {{'s': 'Schema.org', 'p': 'Type', 'v': CASE WHEN p_partkey % 13 <> 0 THEN p_type ELSE 'Product' END, 'n': 'Index: 1'}},
-      {{'s': 'Schema.org', 'p': 'Type', 'v': CASE WHEN p_partkey % 13 <> 0 THEN 'Brand' ELSE 'Thing' END, 'n': 'Index: 2'}},
-      {{'s': 'Schema.org', 'p': 'Type', 'v': CASE WHEN p_partkey % 13 <> 0 THEN 'Thing' END, 'n': 'Index: 3'}},
-      {{'s': 'Schema.org', 'p': 'Type', 'v': CASE WHEN p_partkey % 13 <> 0 THEN 'Offer' END, 'n': 'Index: 4'}},
-      {{'s': 'Schema.org', 'p': 'Type', 'v': CASE WHEN p_partkey % 13 <> 0 THEN 'Product' END, 'n': 'Index: 5'}},
-      {{'s': 'Additional', 'p': 'Canonical URL', 'v': CASE WHEN p_partkey % 11 <> 0 THEN url END, 'n': ''}}
-    ], recursive := true)) AS u(s, p, v, n) WHERE v IS NOT NULL""",
+    f"""WITH l AS (SELECT page_id, list_filter([{LONG_LIST}], lambda x: x.v IS NOT NULL) AS r FROM {HTML})
+    SELECT page_id, i AS position, r[i].s AS section, r[i].p AS property, r[i].v AS value, r[i].n AS notes
+    FROM (SELECT page_id, r, unnest(range(1, len(r) + 1)) AS i FROM l)""",
 )
 def export_long(spark, sf):
     rows = E.long_rows(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata()))
-    checked = (
-        F.col("section").isin("Headings", "Schema.org")
-        | F.col("property").isin(
-            "http_status", "title", "robots", "theme_color", "charset", "og:title", "og:type",
-            "og:locale", "twitter:card", "Canonical URL",
-        )
-        | ((F.col("section") == "Metadata") & (F.col("property") == "url"))
-    )
-    return rows.filter(checked).drop("position")
+    return rows.withColumn("position", F.col("position").cast("long"))
+
+
+LONG_SQL = "CASE WHEN length({0}) <= {1} THEN {0} ELSE {0}[1:{1}] || '...' END"
 
 
 @query(
     "analysis_history",
-    f"""WITH {CLEAN} SELECT page_id, url, CASE WHEN length(t) <= 500 THEN t ELSE t[1:500] || '...' END AS title,
-       CAST(NULL AS VARCHAR) AS meta_description, CAST(page_id % 2 AS BIGINT) AS cache_hit
+    f"""WITH {CLEAN} SELECT page_id, url, {LONG_SQL.format("t", 500)} AS title,
+       CAST(NULL AS VARCHAR) AS meta_description, CAST(NULL AS VARCHAR) AS og_title, CAST(NULL AS VARCHAR) AS og_description,
+       '10.0.0.' || page_id % 256 AS ip_address, url || '#f' AS final_url, 200 + page_id % 5 AS http_status,
+       page_id % 2 AS cache_hit, page_id % 1000 AS analysis_time_ms,
+       strftime(TIMESTAMP '2024-01-31' + to_seconds(page_id), '%Y-%m-%d %H:%M:%S') AS created_at
     FROM (SELECT page_id, url, {TITLE} AS t FROM cleaned)
     UNION ALL SELECT -p_partkey - 1, {S.PART_URL}, p_name || ' & more',
       CASE WHEN p_partkey % 2 = 1 THEN 'second > ' || p_brand ELSE p_name || ' ' || p_type END,
-      CAST((p_partkey + 1) % 2 AS BIGINT) FROM part""",
+      p_name || ' <b>', NULL, '10.0.0.' || (p_partkey + 1) % 256, {S.PART_URL} || '#f', 200 + (p_partkey + 1) % 5,
+      (p_partkey + 1) % 2, (p_partkey + 1) % 1000,
+      strftime(TIMESTAMP '2024-01-31' + to_seconds(p_partkey + 1), '%Y-%m-%d %H:%M:%S') FROM part""",
 )
 def analysis_history(spark, sf):
+    """All twelve columns of a history row."""
     parts = S.part_pages(spark, sf).withColumn("page_id", -F.col("page_id") - 1)
     analyses = P.analyze(S.pages(spark, sf).unionByName(parts))
-    hit = F.abs(F.col("page_id")) % 2 == 1
-    rows = L.history_records(analyses, {"cache_hit": hit})
-    return rows.select(
-        "page_id", "url", "title", "meta_description", F.col("cache_hit").cast("long").alias("cache_hit")
+    n = F.abs(F.col("page_id"))
+    at = F.lit("2024-01-31").cast("timestamp_ntz") + F.make_dt_interval(secs=n)
+    rows = L.history_records(
+        analyses,
+        {
+            "ip_address": F.concat(F.lit("10.0.0."), n % 256),
+            "final_url": F.concat("url", F.lit("#f")),
+            "http_status": 200 + n % 5,
+            "cache_hit": n % 2 == 1,
+            "analysis_time_ms": n % 1_000,
+            "created_at": F.date_format(at, "yyyy-MM-dd HH:mm:ss"),
+        },
     )
+    return rows.withColumn("cache_hit", F.col("cache_hit").cast("long"))
 
 
 # Each event asks for the page of its number, round and round the page table.
