@@ -190,3 +190,22 @@ def stream_first_sightings_batches(spark, sf):
     stream = arriving(spark, sf, root, [f"{KEY} AS key", "ts AS created_at", "event_id AS id"])
     decided = decided_in_batches(spark, root, stream, 1, C.TTL_SECONDS)
     return decided.filter("admitted").select("id", F.col("key").alias("cache_key"))
+
+
+@query(
+    "stream_cache_merge",
+    f"""SELECT {KEY} AS cache_key, arg_max(event_id, (ts, event_id)) AS id,
+       strftime(max(ts) + {TTL}, '%Y-%m-%d %H:%M:%S.%f') AS expires_at FROM events GROUP BY 1""",
+)
+def stream_cache_merge(spark, sf):
+    """Upserts in six batches, merged where they touch, and read back."""
+    root = shared_dir(spark, "merges")
+    columns = ["event_id AS id", f"{S.ENTRY_URL} AS url", "ts AS created_at", "21600 AS ttl_seconds"]
+    rows = arriving(spark, sf, root, columns).withColumn("cache_key", cache_key(F.col("url")))
+    entries = C.with_expiry(rows)
+    T.run_available(T.write_merged(entries, f"{root}/out"), f"{root}/checkpoint")
+    merged = T.read_merged(spark, f"{root}/out", entries.schema)
+    return merged.select(
+        "cache_key", "id",
+        F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expires_at"),
+    )

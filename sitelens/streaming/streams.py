@@ -116,6 +116,57 @@ def compact_cache(spark: SparkSession, out: str, target: str) -> None:
     read_cache(spark, out).write.parquet(target)
 
 
+#: Key-hash partitions of a merged cache.
+PARTS = 32
+
+
+def _versions(spark: SparkSession, out: str, before: int | None = None) -> dict[int, int]:
+    """The version each partition is at, in the newest commit (before a batch): at most one a partition."""
+    commits = spark.read.schema("part int, version bigint, batch bigint").parquet(f"{out}/versions")
+    if before is not None:
+        commits = commits.filter(F.col("batch") < before)
+    newest = commits.agg(F.max("batch").alias("batch"))
+    return {r.part: r.version for r in commits.join(newest, "batch").collect()}
+
+
+def _version_paths(out: str, versions: dict[int, int]) -> list[str]:
+    return [f"{out}/data/version={v}/part={p}" for p, v in sorted(versions.items())]
+
+
+def write_merged(entries: DataFrame, out: str, parts: int = PARTS) -> DataStreamWriter:
+    """Upsert sink that merges when it writes.
+
+    Entries are partitioned by a hash of their key.  A batch rewrites only the
+    partitions it touches, as a version of its own, and then commits which version each
+    partition is at.  Readers see the last commit; a batch that is repeated starts from the
+    commit before it and writes the same again.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        current = _versions(spark, out, batch_id) if batch_id else {}
+        part = F.pmod(F.xxhash64("cache_key"), F.lit(parts)).cast("int")
+        rows = latest_entries(batch)
+        touched = [r.part for r in rows.select(part.alias("part")).distinct().collect()]
+        older = _version_paths(out, {p: current[p] for p in touched if p in current})
+        if older:
+            rows = latest_entries(rows.unionByName(spark.read.schema(rows.schema).parquet(*older)))
+        rows = rows.withColumn("part", part)
+        # One task, hence one file, for each partition.
+        rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{out}/data/version={batch_id}")
+        commit = list((current | {p: batch_id for p in touched}).items())
+        table = spark.createDataFrame(commit, "part int, version bigint").coalesce(1)
+        table.write.mode("overwrite").parquet(f"{out}/versions/batch={batch_id}")
+
+    return entries.writeStream.foreachBatch(save)
+
+
+def read_merged(spark: SparkSession, out: str, schema) -> DataFrame:
+    """The entries as of the last commit, one row for each key; nothing is merged here."""
+    paths = _version_paths(out, _versions(spark, out))
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
     """Process what has arrived, then stop."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
