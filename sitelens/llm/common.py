@@ -4,6 +4,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..plans.shared import shared_dir
+
 #: Stands for a null id inside joins and orders; it comes before every other id.
 NULL_ID = -(2**63)
 #: ASCII white space, as the regular expression class [\x20\x09-\x0D].
@@ -26,6 +28,11 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def quoted(column: str) -> Column:
+    """A column of any name, also one with dots or backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def known_id(column: str = "doc_id") -> Column:
     return F.coalesce(F.col(column).cast("bigint"), F.lit(NULL_ID))
 
@@ -59,6 +66,19 @@ def sampled_labels(labels: DataFrame, per_label: int) -> dict[int, int]:
     return {r["doc_id"]: r["label"] for part in chosen for r in part.collect()}
 
 
+def one_text_each(docs: DataFrame, ids: list[int]) -> DataFrame:
+    """(doc_id, text) of the given ids, a row each, kept as a table in the shared folder.
+
+    Of different texts under one id the one with the smallest hash stays, ties by text, so an id that
+    fills the table gives one row, reduced before the shuffle.
+    """
+    rows = ids_and_texts(docs).filter(F.col("doc_id").isin(ids))
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))
+    path = shared_dir(docs.sparkSession, "sample")
+    rows.groupBy("doc_id").agg(first.alias("first")).select("doc_id", "first.text").write.parquet(path)
+    return docs.sparkSession.read.schema("doc_id bigint, text string").parquet(path)
+
+
 def slices(batches, column: str = "text", limit: int = BATCH_BYTES):
     """Row batches again, cut so that each holds about ``limit`` bytes of ``column`` or one row."""
     for batch in batches:
@@ -80,12 +100,17 @@ def filter_texts(docs: DataFrame, make_keep) -> DataFrame:
     (null: empty) to a list of booleans.
     """
 
+    # Columns go through Python by position, since their names may hold dots.
+    names = docs.columns
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    text = f"c{names.index('text')}"
+
     def run(batches):
         keep = make_keep()
-        for batch in slices(batches):
-            yield batch.filter(pa.array(keep([t or "" for t in batch.column("text").to_pylist()]), pa.bool_()))
+        for batch in slices(batches, text):
+            yield batch.filter(pa.array(keep([t or "" for t in batch.column(text).to_pylist()]), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return inner.mapInArrow(run, inner.schema).toDF(*names)
 
 
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

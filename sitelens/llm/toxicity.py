@@ -14,9 +14,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import UPPER, arrow_schema, filter_texts, ids_and_texts, record_batch, sampled_labels, slices
+from .common import UPPER, arrow_schema, filter_texts, ids_and_texts, one_text_each, record_batch, sampled_labels, slices
 
 #: Labelled texts used for learning, for each label.
 SAMPLE_PER_LABEL = 4000
@@ -30,6 +30,7 @@ STEMS = range(3, 8)
 NEAR = 3
 TREES, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 MIN_LEAF, MIN_GAIN = 8, 1.0
+#: Words a reader remembers; longer ones than ``MEMO_CHARS`` are read afresh each time.
 MEMO_WORDS = 1 << 19
 MEMO_CHARS = 64
 SCHEMA = "doc_id bigint, score double"
@@ -116,20 +117,6 @@ class Reader:
         ]
 
 
-def pick_lexicon(terms: list[str], toxic: np.ndarray, clean: np.ndarray, totals: tuple[int, int]) -> frozenset[str]:
-    """Terms far more frequent, by documents, among toxic texts, and too often so for chance."""
-    n_toxic, n_clean = totals
-    share = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
-    odds = ((toxic + 0.1) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
-    # Chernoff bound on the chance of so many toxic documents among those with the term.
-    n = np.maximum(toxic + clean, 1)
-    rate = np.clip(toxic / n, 1e-9, 1 - 1e-9)
-    evidence = n * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / max(1 - share, 1e-9)))
-    kept = np.flatnonzero((toxic >= MIN_SUPPORT) & (odds >= MIN_ODDS) & (rate > share) & (evidence >= MIN_EVIDENCE))
-    ranked = sorted(kept.tolist(), key=lambda i: (-evidence[i], terms[i]))
-    return frozenset(terms[i] for i in ranked[:LEXICON])
-
-
 @dataclass
 class Trees:
     """Boosted trees of fixed depth: at each level of a tree, one feature and threshold for each node."""
@@ -226,8 +213,6 @@ class Model:
         return np.clip(self.calibrated(self.trees.raw(x)), 0, 1)
 
 
-#: Stands for every document in the counts; no word holds a space.
-ALL = "every document"
 COUNT_SCHEMA = "term string, fold int, toxic bigint, clean bigint"
 ROW_SCHEMA = "doc_id bigint, label int, fold int, x binary"
 
@@ -236,63 +221,82 @@ def _fold_of(doc_id: int) -> int:
     return zlib.crc32(b"fold %d" % doc_id) % FOLDS
 
 
-class TermCounts:
-    """Documents of each fold and label that hold a term."""
-
-    def __init__(self, sample: DataFrame, label: dict[int, int]):
-        schema = arrow_schema(COUNT_SCHEMA)
-
-        def run(batches):
-            for batch in slices(batches):
-                counts: dict[tuple[str, int], list[int]] = {}
-                for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    words = {plain(w) for w in set((text or "").split()) if len(w) <= MEMO_CHARS}
-                    fold = _fold_of(i)
-                    for term in {t for w in words if len(w) > 2 for t in terms(w)} | {ALL}:
-                        counts.setdefault((term, fold), [0, 0])[label[i]] += 1
-                rows = [(term, fold, n[1], n[0]) for (term, fold), n in counts.items()]
-                yield record_batch(rows, schema)
-
-        def of(fold: int, column: str):
-            return F.sum(F.when(F.col("fold") == fold, F.col(column)).otherwise(0)).alias(f"{column}{fold}")
-
-        counted = (
-            sample.mapInArrow(run, COUNT_SCHEMA)
-            .groupBy("term")
-            .agg(*(of(k, c) for c in ("toxic", "clean") for k in range(FOLDS)))
-            .withColumn("toxic", sum((F.col(f"toxic{k}") for k in range(FOLDS)), F.lit(0)))
-            .withColumn("clean", sum((F.col(f"clean{k}") for k in range(FOLDS)), F.lit(0)))
-            .filter(((F.col("toxic") >= MIN_SUPPORT) & (F.col("toxic") > F.col("clean"))) | (F.col("term") == ALL))
-            # The lexicon is a top-k list; more candidates than it can hold are enough.
-            .orderBy(F.col("term") != ALL, F.desc(F.col("toxic") ** 2 / (F.col("clean") + 1)), "term")
-            .limit(20 * LEXICON)
-            .drop("toxic", "clean")
-        )
-        rows = counted.collect()
-        self.terms = [r[0] for r in rows if r[0] != ALL]
-        n = np.array([r[1:] for r in rows if r[0] != ALL], dtype=float).reshape(-1, 2, FOLDS)
-        self.toxic, self.clean = n[:, 0], n[:, 1]
-        self.totals = np.array([r[1:] for r in rows if r[0] == ALL] or [[0] * 2 * FOLDS]).reshape(2, FOLDS)
-
-    def lexicon(self, without: int | None = None) -> frozenset[str]:
-        """The lexicon of all folds but one."""
+def term_counts(sample: DataFrame, label: dict[int, int]) -> DataFrame:
+    """(term, toxic, clean): documents of the sample that hold a term, as arrays with one number for each fold."""
+    schema = arrow_schema(COUNT_SCHEMA)
+
+    def run(batches):
+        for batch in slices(batches):
+            counts: dict[tuple[str, int], list[int]] = {}
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                words = {plain(w) for w in set((text or "").split())}
+                fold = _fold_of(i)
+                for term in {t for w in words if len(w) > 2 for t in terms(w)}:
+                    counts.setdefault((term, fold), [0, 0])[label[i]] += 1
+            yield record_batch([(term, fold, n[1], n[0]) for (term, fold), n in counts.items()], schema)
+
+    def by_fold(column: str) -> Column:
+        folds = (F.sum(F.when(F.col("fold") == k, F.col(column)).otherwise(0)) for k in range(FOLDS))
+        return F.array(*folds).alias(column)
+
+    return sample.mapInArrow(run, COUNT_SCHEMA).groupBy("term").agg(by_fold("toxic"), by_fold("clean"))
+
+
+def evidence(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """How surely a term held by so many toxic and clean documents marks toxic ones; null if it does not.
+
+    It has to be far more frequent, by documents, among toxic texts.  The evidence is the
+    Chernoff bound on the chance of so many toxic documents among those with the term.
+    """
+    share = max(n_toxic, 1) / max(n_toxic + n_clean, 1)
+    odds = ((toxic + 0.1) / (n_toxic + 1)) / ((clean + 0.5) / (n_clean + 1))
+    n = F.greatest(toxic + clean, F.lit(1))
+    rate = F.least(F.greatest(toxic / n, F.lit(1e-9)), F.lit(1 - 1e-9))
+    bound = n * (rate * F.log(rate / share) + (1 - rate) * F.log((1 - rate) / max(1 - share, 1e-9)))
+    return F.when((toxic >= MIN_SUPPORT) & (odds >= MIN_ODDS) & (rate > share) & (bound >= MIN_EVIDENCE), bound)
+
+
+def pick_lexicons(sample: DataFrame, label: dict[int, int]) -> list[frozenset[str]]:
+    """A lexicon without each fold, then that of all folds: the ``LEXICON`` terms of most evidence, ties by term.
+
+    Every term of the sample is judged; at most ``LEXICON`` rows for each lexicon reach the driver.
+    """
+    totals = np.zeros((2, FOLDS), dtype=int)
+    for row in sample.select("doc_id").collect():
+        totals[label[row["doc_id"]], _fold_of(row["doc_id"])] += 1
+
+    def judged(without: int) -> Column:
         used = [k for k in range(FOLDS) if k != without]
-        totals = tuple(self.totals[:, used].sum(axis=1).tolist())
-        return pick_lexicon(self.terms, self.toxic[:, used].sum(axis=1), self.clean[:, used].sum(axis=1), totals)
+        toxic, clean = (sum((F.col(c)[k] for k in used), F.lit(0)) for c in ("toxic", "clean"))
+        found = evidence(toxic, clean, int(totals[1, used].sum()), int(totals[0, used].sum()))
+        return F.struct(F.lit(without).alias("lexicon"), found.alias("evidence"))
+
+    candidates = (
+        term_counts(sample, label)
+        .select("term", F.explode(F.array(*(judged(k) for k in range(FOLDS + 1)))).alias("j"))
+        .select("term", "j.*")
+        .filter("evidence IS NOT NULL")
+    )
+    # Spark keeps the first rows of each lexicon in every task before the few that are left meet.
+    best = Window.partitionBy("lexicon").orderBy(F.desc("evidence"), "term")
+    out: list[set[str]] = [set() for _ in range(FOLDS + 1)]
+    for row in candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEXICON).collect():
+        out[row["lexicon"]].add(row["term"])
+    return [frozenset(x) for x in out]
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model | None:
     """A model from ``docs`` and ``labels`` (doc_id, label), at most ``per_label`` whole texts of each label.
 
-    ``sampled_labels`` says which rows teach; a hash of the id puts each in a fold.
+    ``sampled_labels`` says which rows teach; a hash of the id puts each in a fold.  Of rows
+    that share an id one text teaches (``one_text_each``).
     With fewer than ``MIN_LEAF`` rows of either label there is no model.
     """
     wanted = sampled_labels(labels, per_label)
     if not wanted:
         return None
-    sample = ids_and_texts(docs).filter(F.col("doc_id").isin(sorted(wanted)))
-    counts = TermCounts(sample, wanted)
-    lexicons = [counts.lexicon(without=k) for k in range(FOLDS)]
+    sample = one_text_each(docs, sorted(wanted))
+    *lexicons, lexicon = pick_lexicons(sample, wanted)
     schema = arrow_schema(ROW_SCHEMA)
 
     def run(batches):
@@ -314,14 +318,14 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
         mine = fold == k
         if mine.any():
             raw[mine] = boost(x[~mine], y[~mine]).raw(x[mine])
-    return Model(counts.lexicon(), boost(x, y), isotonic(raw, y))
+    return Model(lexicon, boost(x, y), isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id`` and ``score`` (0 to 1, higher for toxic) of every row of ``docs``.
 
     A null or empty text has features of zero and gets the score of those; without a
-    model every score is 0.  Null ids and repeated rows give a result each; only the
+    model every score is 0.  Texts are read whole, and words of any length count.  Null ids and repeated rows give a result each; only the
     text is looked at.
     """
     schema = arrow_schema(SCHEMA)

@@ -170,6 +170,40 @@ def test_toxicity(spark, docs_of, prose):
     assert toxicity.score(docs_of([]), model).collect() == []
 
 
+def test_long_words_and_repeated_ids_teach(spark, docs_of, prose):
+    """A word of any length can be in the lexicon, and an id on many rows teaches once."""
+    long_word = "krak" * 25
+    given = [(i, prose(i, 40) + (f" {long_word}" if i % 4 == 0 else "")) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in given], "doc_id bigint, label int")
+    model = toxicity.learn(docs_of(given), labels)
+    assert long_word in model.lexicon
+    again = toxicity.learn(docs_of(given + [given[5]] * 300 + [given[8]] * 300), labels)
+    assert again.lexicon == model.lexicon and (again.trees.values == model.trees.values).all()
+
+
+def test_lexicons_equal_a_plain_ranking(spark, docs_of, prose, monkeypatch):
+    """Every term is judged, for each fold left out, and the terms of most evidence are taken."""
+    monkeypatch.setattr(toxicity, "LEXICON", 7)
+    given, marks = marked(prose, 300)
+    label = dict(marks)
+    sample = docs_of(given).select("doc_id", "text")
+    for without, found in enumerate(toxicity.pick_lexicons(sample, label)):
+        used = [(i, t) for i, t in given if toxicity._fold_of(i) != without]
+        n = [sum(label[i] == y for i, _ in used) for y in (0, 1)]
+        held = {}
+        for i, text in used:
+            for term in {t for w in map(toxicity.plain, text.split()) if len(w) > 2 for t in toxicity.terms(w)}:
+                held.setdefault(term, [0, 0])[label[i]] += 1
+        share, ranked = n[1] / sum(n), []
+        for term, (clean, toxic) in held.items():
+            odds = ((toxic + 0.1) / (n[1] + 1)) / ((clean + 0.5) / (n[0] + 1))
+            rate = min(max(toxic / (toxic + clean), 1e-9), 1 - 1e-9)
+            bound = (toxic + clean) * (rate * np.log(rate / share) + (1 - rate) * np.log((1 - rate) / (1 - share)))
+            if toxic >= toxicity.MIN_SUPPORT and odds >= toxicity.MIN_ODDS and rate > share and bound >= toxicity.MIN_EVIDENCE:
+                ranked.append((-round(bound, 9), term))
+        assert len(ranked) > 7 and found == {term for _, term in sorted(ranked)[:7]}
+
+
 def test_features():
     reader = toxicity.Reader(frozenset(["snarl", "zork*"]))
     names = dict(zip(toxicity.FEATURES, reader.features("You snarl! ZORKIG sn4rl s-n-a-r-l plaaain")))
