@@ -31,17 +31,17 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
-def best_match(pattern: str, text: str) -> tuple[int, int]:
-    """Least edit distance of ``pattern`` to a stretch of ``text``, and where that ends."""
+def distances(pattern: str, text: str, start: int = 0, stop: int | None = None):
+    """(end, distance) for each end from ``start`` on: the least edit distance of ``pattern`` to a
+    stretch of ``text`` that begins at ``start`` or later and ends there."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
-        eq = masks.get(c, 0)
+    for j in range(start, len(text) if stop is None else min(stop, len(text))):
+        eq = masks.get(text[j], 0)
         xv = eq | down
         xh = (((eq & up) + up) ^ up) | eq
         plus = down | ~(xh | up) & full
@@ -53,11 +53,46 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
         # A match may begin anywhere, so nothing is carried into the lowest bit.
         plus, minus = plus << 1 & full, minus << 1 & full
         up, down = minus | ~(xv | plus) & full, plus & xv
+        yield j + 1, score
+
+
+def best_match(pattern: str, text: str) -> tuple[int, int]:
+    """Least edit distance of ``pattern`` to a stretch of ``text``, and where that first ends."""
+    best, end = len(pattern), 0
+    for j, score in distances(pattern, text):
         if score < best:
             best, end = score, j
     return best, end
 
 
+def spans(pattern: str, budget: int, text: str, start: int, stop: int) -> list[tuple[int, int, int]]:
+    """(distance, start, end) of copies of ``pattern`` in ``text[start:stop]`` that do not overlap, from the left.
+
+    The first end within the budget and the 2 x ``budget`` ends after it belong to one copy; it
+    ends at the least distance among them, the first of ties.  The next copy is looked for from
+    there, so no text left between copies, or after them, holds another.
+    """
+    out = []
+    while start < stop:
+        best = None
+        for end, distance in distances(pattern, text, start, stop):
+            if best is None and distance <= budget:
+                best, last = (distance, end), end + 2 * budget
+            elif best is not None:
+                best = min(best, (distance, end)) if end <= last else best
+            if best is not None and end >= last:
+                break
+        if best is None:
+            break
+        distance, end = best
+        # Where it begins: the same search from the end backwards.
+        stretch = text[max(start, end - len(pattern) - budget) : end]
+        _, back = best_match(pattern[::-1], stretch[::-1])
+        out.append((distance, end - back, end))
+        start = end
+    return out
+
+
 def _windows(hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping (start, end) merged."""
     merged: list[list[int]] = []
@@ -86,7 +121,7 @@ def build(items: list[tuple[int, str]], error_rate: float):
 
 
 def matches(text: str, automaton, known) -> list[tuple[int, int, int, int]]:
-    """(item_id, distance, start, end) in the normalised text, the best of each window."""
+    """(item_id, distance, start, end) in the normalised text: every copy that does not overlap an earlier one."""
     text = normalised(text)
     around: dict[int, set[tuple[int, int]]] = {}
     for last, (length, places) in automaton.iter(text):
@@ -99,12 +134,7 @@ def matches(text: str, automaton, known) -> list[tuple[int, int, int, int]]:
     for item, hits in around.items():
         item_id, pattern, budget = known[item]
         for start, end in _windows(list(hits)):
-            stretch = text[start:end]
-            distance, stop = best_match(pattern, stretch)
-            if distance <= budget:
-                # Where it begins: the same search from the end backwards.
-                _, back = best_match(pattern[::-1], stretch[:stop][::-1])
-                out.append((item_id, distance, start + stop - back, start + stop))
+            out.extend((item_id, *span) for span in spans(pattern, budget, text, start, min(end, len(text))))
     return out
 
 
@@ -126,8 +156,8 @@ def find_items(
     """(doc_id, item_id, distance, start, end): items found in documents within their budget.
 
     A copy of an item of n characters may have ``int(n * error_rate)`` edits; positions
-    count characters of the normalised document, and the best match of each stretch
-    of overlapping candidates is given.  Items that are null or blank match nothing,
+    count characters of the normalised document, and each copy of an item that does not
+    overlap an earlier one of the same item is a row (``spans``).  Texts are read whole.  Items that are null or blank match nothing,
     and null texts hold nothing.  Items with equal text and repeated rows give a row
     each.  Other columns are ignored.  The benchmark is read in blocks of about
     ``block_chars`` characters, each of which is sent to all tasks, with a pass over ``docs`` for each.

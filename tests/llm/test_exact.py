@@ -453,6 +453,57 @@ def test_benchmark_items(spark, docs_of, prose):
     assert decontaminate.find_items(docs_of([]), benchmark).collect() == []
 
 
+def test_every_copy_of_an_item_is_found(spark, docs_of, prose):
+    """Copies right after each other are rows of their own, and what is left holds none."""
+    item = decontaminate.normalised(prose(700, 14))
+    benchmark = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    found = decontaminate.find_items(docs_of([(1, f"{item} {item} {item}"), (2, item * 2)]), benchmark).collect()
+    size = len(item)
+    assert sorted((r.doc_id, r.distance, r.start, r.end) for r in found) == [
+        *((1, 0, k * (size + 1), k * (size + 1) + size) for k in range(3)), (2, 0, 0, size), (2, 0, size, 2 * size)
+    ]
+
+    rng = random.Random(8)
+    for _ in range(60):
+        pattern = "".join(rng.choice("abc ") for _ in range(rng.randint(20, 70)))
+        budget, text = len(pattern) // 20, ""
+        for _ in range(rng.randint(0, 8)):
+            copy = list(pattern)
+            for at in rng.sample(range(len(copy)), rng.randint(0, budget + 1)):
+                copy[at] = rng.choice(["", "x", copy[at] + "y"])
+            text += "".join(copy) + "".join(rng.choice("abc ") for _ in range(rng.choice([0, 0, 1, 30])))
+        automaton, known = decontaminate.build([(7, pattern)], 0.05)
+        text = decontaminate.normalised(text)
+        at, copies = 0, sorted(decontaminate.matches(text, automaton, known), key=lambda m: m[2])
+        for _, d, start, end in copies:
+            assert at <= start and edits(pattern, text[start:end]) == d <= budget
+            assert distance(pattern, text[at:start]) > budget
+            at = end
+        assert distance(pattern, text[at:]) > budget
+
+
+def edits(a, b):
+    """Edit distance of two whole texts, by the plain table."""
+    row = list(range(len(a) + 1))
+    for i, c in enumerate(b, 1):
+        new = [i]
+        for j, p in enumerate(a, 1):
+            new.append(min(row[j - 1] + (p != c), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_many_copies_take_linear_time():
+    pattern = "".join(random.Random(3).choice("abcdefgh ") for _ in range(60)).strip()
+    automaton, known = decontaminate.build([(7, pattern)], 0.05)
+    took = []
+    for n in (500, 2000):
+        started = time.perf_counter()
+        assert len(decontaminate.matches(" ".join([pattern] * n), automaton, known)) == n
+        took.append(time.perf_counter() - started)
+    assert took[1] < 10 * took[0]
+
+
 def test_equal_rows_of_one_document_cost_no_more_than_others(docs_of, prose):
     """Repeated rows are one document, so their number does not multiply their cells."""
     text, took = prose(77, 700), []
