@@ -17,8 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
+from ..operators.joins import join_unique
 from ..plans.shared import shared_dir
-from .common import SPACE, UPPER, ids_and_texts, known_id, slices
+from .common import SPACE, UPPER, ids_and_texts, known_id, quoted, slices
 
 BATCHES = 4
 FANOUT = 2
@@ -146,7 +147,7 @@ def _cleaned(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
     gone = dropped_hashes(docs, batches, min_chars)
     others = [c for c in docs.columns if c != "text"]
     rows = docs.select(
-        known_id().alias("id"), F.struct(*(docs[c] for c in others)).alias("row"), F.col("text").cast("string").alias("text")
+        known_id().alias("id"), F.struct(*(quoted(c) for c in others)).alias("row"), F.col("text").cast("string").alias("text")
     )
 
     def run(batches):
@@ -163,7 +164,8 @@ def _cleaned(docs: DataFrame, batches: int, min_chars: int) -> DataFrame:
     out = StructType([rows.schema["row"]])
     for name, kind in (("n_lines", LongType()), ("n_dropped", LongType()), ("text", StringType())):
         out.add(name, kind)
-    return rows.join(gone, "id", "left").mapInArrow(run, out)
+    # An id may be on many rows, as the null id is.
+    return join_unique(rows, gone, "id", "left").select("row", "text", "hashes").mapInArrow(run, out)
 
 
 def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -174,6 +176,7 @@ def dedup_lines(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN_CH
     with the smallest id, with all their lines there.  A null or empty text is one
     empty line, and a null stays null.  A null id is one document that comes before
     all others; rows that share an id are one document, and each gives a result.
+    Very long texts are cut whole; a task holds one of them at a time.
     Other columns are ignored.
     """
     return _cleaned(ids_and_texts(docs), batches, min_chars).select("row.doc_id", "n_lines", "n_dropped", "text")

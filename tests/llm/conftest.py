@@ -17,7 +17,7 @@ ODD = [
     (905, "x" * 300_000),
 ]
 #: Names that operators use inside.
-CLASHING = "key string, id int, h string, fp string, found string, hashes string, row string, at string, n int, part string, _kept int"
+CLASHING = "key string, id int, h string, fp string, found string, hashes string, row string, at string, n int, part string, _kept int, `a.b` string"
 
 
 @pytest.fixture(scope="session")
