@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import cache as C
+from ..sources import tables
 from . import standin as S
 from .request_queries import fold_sql
+from .shared import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -195,3 +197,42 @@ def retention(spark, sf):
     counts = C.retention_counts({"cache": entries, "requests": S.requests(spark, sf)}, now)
     later = now + F.expr(LATER)
     return counts.unionByName(C.retention_counts({"logs": S.logs(spark, sf)}, later))
+
+
+RESET = "10.2."
+
+
+@query(
+    "stored_clean_up",
+    f"""SELECT 'requests' AS table_name, event_id AS id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS created_at
+    FROM (SELECT {S.REQUESTS}, event_id, ts FROM events)
+    WHERE ts >= {NOW} - INTERVAL 24 HOUR AND NOT starts_with(ip_address, '{RESET}')
+    UNION ALL SELECT 'cache', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') FROM events
+    WHERE ts + {TTL} >= {NOW} AND event_type <> 'error'
+    UNION ALL SELECT 'logs', event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') FROM events
+    WHERE ts >= {NOW} + {LATER} - INTERVAL 30 DAY""",
+)
+def stored_clean_up(spark, sf):
+    """Stored tables, appended in two parts, after expiry, the reset of addresses and the
+    invalidation of pages have changed them."""
+    entries, now = with_now(spark, sf)
+    ends = {"requests": now, "cache": now, "logs": now + F.expr(LATER)}
+    rows = {"requests": S.requests(spark, sf), "cache": entries, "logs": S.logs(spark, sf)}
+    more = {
+        "requests": F.col("ip_address").startswith(RESET),
+        "cache": F.col("url").contains("/error/"),
+    }
+    out = None
+    for kind, table in rows.items():
+        path = shared_dir(spark, f"stored-{kind}")
+        for half in (0, 1):
+            tables.append(table.filter(F.col("id") % 2 == half), path)
+        tables.delete(spark, path, kind, C.expired(kind, ends[kind]))
+        if kind in more:
+            tables.delete(spark, path, kind, more[kind])
+        left = tables.read(spark, path, kind).select(
+            F.lit(kind).alias("table_name"), "id",
+            F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("created_at"),
+        )
+        out = left if out is None else out.unionByName(left)
+    return out

@@ -1,4 +1,5 @@
 from datetime import date
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -169,3 +170,41 @@ def test_tables_by_day(spark, tmp_path):
     day = tables.read(spark, path, "requests", date(2024, 1, 2), date(2024, 1, 2))
     assert sorted(r.id for r in day.collect()) == list(range(24, 48))
     assert "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deletion_changes_only_the_days_concerned(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    rows = spark.range(96).selectExpr(
+        "id", "concat('10.0.0.', id % 3) AS ip_address",
+        "CASE WHEN id < 90 THEN timestamp '2024-01-01 00:00:00' + make_dt_interval(0, id) END AS created_at",
+    )
+    tables.append(rows, path)
+
+    def files():
+        return {d.name: sorted(f.name for f in d.glob("*.parquet")) for d in Path(path).glob("day=*")}
+
+    def left():
+        return sorted(r.id for r in tables.read(spark, path, "requests").collect())
+
+    before = files()
+    assert len(before) == 5
+    # Days one and two end before the cut; a row without a time does not expire.
+    cut = F.expr("created_at < timestamp '2024-01-02 06:00:00'")
+    tables.delete(spark, path, "requests", cut)
+    assert left() == list(range(30, 96))
+    after = files()
+    assert "day=2024-01-01" not in after and after["day=2024-01-02"] != before["day=2024-01-02"]
+    same = [d for d in before if d > "day=2024-01-02"]
+    assert len(same) == 3 and all(after[d] == before[d] for d in same)
+    tables.delete(spark, path, "requests", cut)
+    assert files() == after
+    # Only days up to a date, then all of them, those without a time included.
+    tables.delete(spark, path, "requests", F.col("ip_address") == "10.0.0.1", until=date(2024, 1, 2))
+    assert left() == [i for i in range(30, 96) if i >= 48 or i % 3 != 1]
+    assert files()["day=2024-01-03"] == after["day=2024-01-03"]
+    tables.delete(spark, path, "requests", F.col("ip_address") == "10.0.0.1")
+    assert left() == [i for i in range(30, 96) if i % 3 != 1]
+    tables.delete(spark, path, "requests", F.col("created_at").isNull())
+    assert left() == [i for i in range(30, 90) if i % 3 != 1]
+    tables.delete(spark, path, "requests", F.lit(None).cast("boolean"))
+    assert len(left()) == 40
