@@ -72,35 +72,6 @@ def export_json(spark, sf):
     return E.to_json_text(E.envelope(P.analyze(S.pages(spark, sf)), metadata()))
 
 
-@query(
-    "export_flat",
-    f"""SELECT p_partkey AS page_id, url AS metadata_url, 200::BIGINT AS metadata_http_status,
-       p_name || ' & more' AS analysis_meta_title, p_name || ' <b>' AS analysis_open_graph_title,
-       p_name AS analysis_headings_h1, p_brand AS analysis_headings_h3,
-       'en=https://shop' || (p_partkey % 7) || '.example.com/en/' || p_partkey || '; de=https://shop'
-         || (p_partkey % 7) || '.example.com/parts/de/' || p_partkey AS analysis_hreflang,
-       CASE WHEN p_partkey % 13 <> 0 THEN p_type || '; Brand; Thing; Offer; Product'
-            ELSE 'Product; Thing' END AS analysis_schema_org,
-       CASE WHEN p_partkey % 11 <> 0 THEN url END AS analysis_canonical
-    FROM {HTML}""",
-)
-def export_flat(spark, sf):
-    flat = E.flatten(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata()))
-    wanted = [
-        "page_id", "metadata.url", "metadata.http_status", "analysis.meta.title",
-        "analysis.open_graph.title", "analysis.headings.h1", "analysis.headings.h3",
-        "analysis.hreflang", "analysis.schema_org", "analysis.canonical",
-    ]
-    return flat.select(
-        *[
-            F.col(f"`{c}`").cast("long" if c.endswith("status") else flat.schema[c].dataType).alias(
-                c.replace(".", "_")
-            )
-            for c in wanted
-        ]
-    )
-
-
 # Every row of the long export of a built page, in order (a record keeps three headings of a
 # level): section, property, value, notes.
 DIRECTORY = "concat('https://shop', p_partkey % 7, '.example.com')"
@@ -149,6 +120,50 @@ def export_long(spark, sf):
     return rows.withColumn("position", F.col("position").cast("long"))
 
 
+def _value(section, name):
+    """SQL of a single value of the long export; a field without one is null."""
+    return next((v for s, p, v, _ in LONG_ROWS if (s, p) == (section, name)), "CAST(NULL AS VARCHAR)")
+
+
+def _joined(section):
+    """SQL of all values of a section in one text, in order."""
+    return "concat_ws('; ', " + ", ".join(v for s, _, v, _ in LONG_ROWS if s == section) + ")"
+
+
+FLAT_COLUMNS = {
+    **{f"metadata.{f}": _value("Metadata", f) for f in ("url", "final_url", "exported_at", "content_type")},
+    "metadata.http_status": "200::BIGINT",
+    **{f"analysis.meta.{f}": _value("Meta Tags", f) for f in ["title", *NULLS["meta"], "charset"]},
+    # Built pages have an author tag without content.
+    "analysis.meta.author": "''",
+    **{f"analysis.open_graph.{f}": _value("Open Graph", f"og:{f}") for f in NULLS["open_graph"]},
+    **{f"analysis.twitter_card.{f}": _value("Twitter Card", f"twitter:{f}") for f in NULLS["twitter_card"]},
+    "analysis.headings.h1": "p_name",
+    "analysis.headings.h2": "concat_ws('; ', " + ", ".join(v for _, p, v, _ in LONG_ROWS if p == "H2") + ")",
+    "analysis.headings.h3": "p_brand",
+    "analysis.hreflang": f"'en=' || {_value('Hreflang', 'en')} || '; de=' || {_value('Hreflang', 'de')}",
+    "analysis.schema_org": _joined("Schema.org"),
+    "analysis.canonical": _value("Additional", "Canonical URL"),
+    "analysis.favicon": _value("Additional", "Favicon URL"),
+    "analysis.word_count": "CAST(9 + p_size % 5 AS BIGINT)",
+}
+
+
+@query(
+    "export_flat",
+    "SELECT p_partkey AS page_id, "
+    + ", ".join(f"{v} AS {c.replace('.', '_')}" for c, v in FLAT_COLUMNS.items())
+    + f" FROM {HTML}",
+)
+def export_flat(spark, sf):
+    """Every column but the two of ``analysis_meta``, compared on other pages by ``performance_insights``."""
+    flat = E.flatten(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata()))
+    kinds = {"metadata.http_status": "long", "analysis.word_count": "long"}
+    return flat.select(
+        "page_id", *(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c.replace(".", "_")) for c in FLAT_COLUMNS)
+    )
+
+
 LONG_SQL = "CASE WHEN length({0}) <= {1} THEN {0} ELSE {0}[1:{1}] || '...' END"
 
 
