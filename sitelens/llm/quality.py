@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from .common import arrow_schema, ids_and_texts, record_batch, sampled_labels, slices
+from .common import arrow_schema, ids_and_texts, one_text_each, record_batch, sampled_labels, slices
 
 BUCKETS = 1 << 15
 DIM = 8
-#: Bytes of the character n-grams; a space marks both ends of a word.
+#: Lengths of the n-grams in characters (code points); a space marks both ends of a word.
 NGRAMS = (2, 3, 4)
 #: Labelled texts used for learning, for each label.
 SAMPLE_PER_LABEL = 1500
@@ -26,6 +26,8 @@ EPOCHS = 12
 RATE = 0.5
 SEED = 11
 SAME = 0
+#: Chains the parts of a pair or n-gram.
+PRIME = np.uint64(0x100000001B3)
 #: Words hashed at once.
 STRETCH = 1 << 16
 SCHEMA = "doc_id bigint, score double"
@@ -42,11 +44,11 @@ def _word_counts(words: list[bytes], following: list[bytes]) -> np.ndarray:
     ids = [_buckets(hashes[: len(words)], 1)]
     if len(hashes) > 1:
         a, b = hashes[:-1], hashes[1:]
-        ids.append(np.where(a == b, SAME, _buckets(a * np.uint64(0x100000001B3) ^ b, 2)))
-    text = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
-    inner, grams = text != 32, text.astype(np.uint64)
+        ids.append(np.where(a == b, SAME, _buckets(a * PRIME ^ b, 2)))
+    text = np.frombuffer((b" " + b" ".join(words) + b" ").decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    inner, grams = text != 32, text
     for n in range(2, max(NGRAMS) + 1):
-        grams = (grams[:-1] << np.uint64(8)) | text[n - 1 :]
+        grams = grams[:-1] * PRIME + text[n - 1 :]
         if n in NGRAMS:
             # No space but at the ends: an n-gram does not reach into the next word.
             whole = np.ones(len(grams), dtype=bool)
@@ -115,7 +117,8 @@ BAGS_SCHEMA = "doc_id bigint, label int, buckets binary, counts binary"
 def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model | None:
     """A model from ``docs`` and ``labels`` (doc_id, label), at most ``per_label`` whole texts of each label.
 
-    ``sampled_labels`` says which rows teach; without rows of both labels there is no model.
+    ``sampled_labels`` says which ids teach, each with one text, however often it is repeated;
+    without rows of both labels there is no model.
     """
     wanted = sampled_labels(labels, per_label)
     if not wanted:
@@ -132,7 +135,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL)
             if out:
                 yield record_batch(out, schema)
 
-    sample = ids_and_texts(docs).filter(F.col("doc_id").isin(sorted(wanted))).mapInArrow(run, BAGS_SCHEMA)
+    sample = one_text_each(docs, sorted(wanted)).mapInArrow(run, BAGS_SCHEMA)
     found = sorted((r[0], r[1], bytes(r[2]), bytes(r[3])) for r in sample.collect())
     y = np.array([r[1] for r in found])
     if len(set(y.tolist())) < 2:

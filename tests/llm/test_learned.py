@@ -77,6 +77,25 @@ def test_language(spark, docs_of):
     assert language.identify(docs_of([]), model).collect() == []
 
 
+def test_language_sample_is_bounded(spark, docs_of, monkeypatch):
+    """An id teaches once however often it is repeated; many languages share the sample; the rarest go."""
+    given = [(i, in_language(n, i, 40), n) for k, n in enumerate(SYLLABLES) for i in range(100 * k, 100 * k + 40 - k)]
+    hot = [(-7, in_language("aa", 1, 30) + f" x{i}", "aa") for i in range(3000)]
+    docs = spark.createDataFrame(given + hot, "doc_id bigint, text string, lang string")
+    taught = []
+    monkeypatch.setattr(language, "fit", lambda x, names: taught.extend(names))
+    language.learn(docs)
+    assert {n: taught.count(n) for n in SYLLABLES} == {"aa": 41, "bb": 39, "cc": 38, "dd": 37}
+    taught.clear()
+    monkeypatch.setattr(language, "SAMPLE_TEXTS", 20)
+    language.learn(docs)
+    assert {n: taught.count(n) for n in SYLLABLES} == dict.fromkeys(SYLLABLES, 5)
+    taught.clear()
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    language.learn(docs)
+    assert sorted(set(taught)) == ["aa", "bb"] and len(taught) == 20
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 9, 40])
 def test_codewords(n):
     codes = language.codewords(n)
@@ -124,6 +143,49 @@ def test_quality(spark, docs_of, prose):
     assert quality.score(docs_of([]), model).collect() == []
 
 
+def plain_bag(text):
+    """Buckets of a text by loops over words, pairs and characters."""
+
+    def bucket(number, kind):
+        mixed = (number + (kind << 48)) * 0x9E3779B97F4A7C15 % 2**64
+        return 1 + (mixed >> 32) % (quality.BUCKETS - 1)
+
+    counts = np.zeros(quality.BUCKETS)
+    words = text.split(" ")
+    hashes = [zlib.crc32(w.encode()) for w in words]
+    for h in hashes:
+        counts[bucket(h, 1)] += 1
+    for a, b in zip(hashes, hashes[1:]):
+        counts[quality.SAME if a == b else bucket(a * int(quality.PRIME) % 2**64 ^ b, 2)] += 1
+    for word in words:
+        marked = f" {word} "
+        for n in quality.NGRAMS:
+            for i in range(len(marked) - n + 1):
+                gram = 0
+                for c in marked[i : i + n]:
+                    gram = (gram * int(quality.PRIME) + ord(c)) % 2**64
+                counts[bucket(gram, n + 1)] += 1
+    return counts
+
+
+def test_ngrams_are_of_characters():
+    for text in ("naïve Straße", "日本語 の テキスト の の", "a", "🙂🙂 x 🙂🙂 🙂🙂"):
+        found, want = quality.bag(text), plain_bag(text)
+        assert found.sum() == want.sum() and (found == want).all()
+    assert quality.bag("é").sum() == quality.bag("e").sum()
+
+
+def test_quality_score_is_the_softmax_of_the_average():
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(size=(quality.BUCKETS, quality.DIM)), rng.normal(size=(quality.DIM, 2)), rng.normal(size=2))
+    for text in ["one two two", "é ü", ""]:
+        bag = quality.bag(text)
+        vectors = [model.table[i] for i in np.flatnonzero(bag) for _ in range(int(bag[i]))]
+        hidden = np.mean(vectors, axis=0) if vectors else np.zeros(quality.DIM)
+        z = np.exp(hidden @ model.layer + model.bias)
+        assert abs(model.scorer()(bag) - z[1] / z.sum()) < 1e-9
+
+
 def test_bag_is_the_same_in_stretches(monkeypatch, prose):
     text = prose(3, 500) + " same same same"
     whole = quality.bag(text)
