@@ -17,6 +17,9 @@ from .common import arrow_schema, ids_and_texts, record_batch, slices
 FEATURES = 1 << 13
 #: Texts used for learning, for each language.
 SAMPLE_PER_LANGUAGE = 600
+#: Bounds of what reaches the driver: languages that are learned, and texts of all together.
+MAX_LANGUAGES = 512
+SAMPLE_TEXTS = 6000
 MAX_BITS = 15
 STEPS = 150
 AMBIGUOUS = 0.2
@@ -139,18 +142,24 @@ def _smallest_hashes(rows: DataFrame, n: int) -> DataFrame:
 def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | None:
     """A model from rows (doc_id, text, lang), at most ``per_language`` whole texts of each language.
 
-    Rows with a null language or id, or without a letter, teach nothing; without any
-    row there is no model.  The sample is the same in every run: it is chosen by a hash of the id.
+    Of more than ``MAX_LANGUAGES`` languages the most frequent are learned (ties: by name), and
+    ``SAMPLE_TEXTS`` bounds the texts of all together.  Rows with a null language or id, or
+    without a letter, teach nothing; without any row there is no model.  The sample is the same
+    in every run: it is chosen by a hash of the id.  An id teaches once, whatever rows it has:
+    in the first of its languages by name, and with the text of that language that has the smallest hash.
     """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    # Chosen by id first: texts are not shuffled.
-    chosen = _smallest_hashes(rows.select("doc_id", "lang"), per_language)
-    wanted = [(r[0], r[1]) for r in chosen.collect()]
-    if not wanted:
+    often = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    names = [r["lang"] for r in often.collect()]
+    if not names:
         return None
-    ids = sorted({i for i, _ in wanted})
+    rows = rows.filter(F.col("lang").isin(names))
+    # Chosen by id first: only texts of the sample are shuffled.
+    own = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    chosen = _smallest_hashes(own, max(1, min(per_language, SAMPLE_TEXTS // len(names))))
+    ids = sorted(r["doc_id"] for r in chosen.select("doc_id").collect())
     schema = arrow_schema(FEATURES_SCHEMA)
 
     def run(batches):
@@ -163,7 +172,9 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model | N
             if out:
                 yield record_batch(out, schema)
 
-    sample = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").mapInArrow(run, FEATURES_SCHEMA)
+    first = F.min(F.struct("lang", F.xxhash64("text").alias("hash"), "text")).alias("first")
+    texts = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(first)
+    sample = texts.select("doc_id", "first.lang", "first.text").mapInArrow(run, FEATURES_SCHEMA)
     found = sorted((tuple(r) for r in sample.collect()), key=lambda r: (r[0], r[1], bytes(r[2])))
     if not found:
         return None
