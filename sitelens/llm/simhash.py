@@ -141,8 +141,13 @@ def _grouped(docs: DataFrame, bits: int) -> DataFrame:
         .select("fp", F.coalesce("component", "grp").alias("class"))
         .join(distinct, "fp")
     )
-    smallest = named.groupBy("class").agg(F.min("rep").alias("component"))
-    classes = named.select("fp", "class").join(smallest, "class").select("fp", "class", "component")
+    named.write.parquet(f"{root}/named")
+    named = spark.read.schema("fp bigint, class bigint, rep bigint").parquet(f"{root}/named")
+    # Tables of their own: the joins shuffle both sides, so that a large class can be split.
+    named.groupBy("class").agg(F.min("rep").alias("component")).write.parquet(f"{root}/smallest")
+    smallest = spark.read.schema("class bigint, component bigint").parquet(f"{root}/smallest")
+    named.select("fp", "class").join(smallest, "class").select("fp", "class", "component").write.parquet(f"{root}/classes")
+    classes = spark.read.schema("fp bigint, class bigint, component bigint").parquet(f"{root}/classes")
     return rows.join(classes, "fp")
 
 
