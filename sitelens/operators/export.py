@@ -1,6 +1,6 @@
 """Exports of the analysis record: nested JSON, flat columns, long rows."""
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.values import is_blank, own_key
 from .joins import join_unique
@@ -50,16 +50,29 @@ def flatten(exports: DataFrame) -> DataFrame:
 
 
 def write_csv(flat: DataFrame, path: str) -> None:
-    """CSV with a header; every part file starts with a byte order mark."""
+    """CSV with a header; every part file starts with a byte order mark.  White space at the
+    ends of values is kept."""
     first, *rest = flat.columns
     renamed = flat.withColumnRenamed(first, BOM + first) if not first.startswith(BOM) else flat
-    renamed.write.csv(path, header=True, quote='"', escape='"')
+    renamed.write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What ``write_csv`` wrote, by position.  Values may hold line feeds, so a file is one split."""
+    # Nothing between two commas is a null, quotes with nothing in them are an empty text.
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue="\0")
 
 
 def write_json(exports: DataFrame, path: str) -> None:
     exports.write.option("ignoreNullFields", "false").json(path)
 
 
+def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
 TITLE_BYTES = 60
 DESCRIPTION_BYTES = 160
 

@@ -12,6 +12,7 @@ from ..functions.urls import cache_key, normalize_url
 from . import standin as S
 from .page_queries import CLEAN, H1, HTML, N_TAGS, ORIGIN, TEXT, TITLE, WORDS
 from .request_queries import HOURS, LIMIT, TRAILING
+from .shared import shared_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -157,13 +158,32 @@ FLAT_COLUMNS = {
 )
 def export_flat(spark, sf):
     """Every column but the two of ``analysis_meta``, compared on other pages by ``performance_insights``."""
-    flat = E.flatten(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata()))
+    return compared(E.flatten(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata())))
+
+
+def compared(flat):
     kinds = {"metadata.http_status": "long", "analysis.word_count": "long"}
     return flat.select(
         "page_id", *(F.col(f"`{c}`").cast(kinds.get(c, "string")).alias(c.replace(".", "_")) for c in FLAT_COLUMNS)
     )
 
 
+@query("export_csv_file", ORACLES["export_flat"])
+def export_csv_file(spark, sf):
+    """The flat export after it was written as CSV files and read again."""
+    flat, path = E.flatten(E.envelope(P.analyze(S.part_pages(spark, sf)), metadata())), shared_dir(spark, "csv")
+    E.write_csv(flat, path)
+    return compared(E.read_csv(spark, path, flat.schema))
+
+
+@query("export_json_file", ORACLES["export_json"])
+def export_json_file(spark, sf):
+    """The nested export after it was written as JSON files and read again."""
+    exports, path = E.envelope(P.analyze(S.pages(spark, sf)), metadata()), shared_dir(spark, "json")
+    E.write_json(exports, path)
+    return E.to_json_text(E.read_json(spark, path, exports.schema))
+
+
 LONG_SQL = "CASE WHEN length({0}) <= {1} THEN {0} ELSE {0}[1:{1}] || '...' END"
 
 

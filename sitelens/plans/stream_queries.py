@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import cache_key
 from ..operators import cache as C
+from ..sources import crawl
 from ..streaming import keyed as K
 from ..streaming import streams as T
 from . import standin as S
@@ -209,3 +210,38 @@ def stream_cache_merge(spark, sf):
         "cache_key", "id",
         F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("expires_at"),
     )
+
+
+# Every page as a file in one of three charsets; each hundredth is too large.
+SINGLE_BYTE = "CASE WHEN page_id % 3 = 0 THEN html ELSE regexp_replace(html, {other}, '?'{g}) END"
+CHARSET = "CASE page_id % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'iso-8859-1' ELSE 'windows-1252' END"
+FILE_TEXT = f"""concat('<meta charset=', {CHARSET}, '>', {SINGLE_BYTE},
+    CASE WHEN page_id % 100 = 50 THEN repeat('x', 2000000) ELSE '' END)"""
+SQL_TEXT = FILE_TEXT.format(other="'[^\\x00-\\x7f\\x{a0}-\\x{ff}]'", g=", 'g'")
+
+
+@query(
+    "stream_page_files",
+    f"""WITH t AS (SELECT page_id, {SQL_TEXT} || chr(10) AS text FROM pages),
+    sized AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN strlen(text) ELSE length(text) END AS size FROM t)
+    SELECT page_id, CASE WHEN size > 2000000 THEN 'Content too large (' || size
+             || ' bytes). Maximum allowed: 2000000 bytes' END AS reason,
+           CASE WHEN size <= 2000000 THEN upper({CHARSET}) END AS charset,
+           CASE WHEN size <= 2000000 THEN md5(text) END AS html_md5 FROM sized""",
+)
+def stream_page_files(spark, sf):
+    """Page files that arrive in a folder, gated and decoded in one pass; kept and refused rows."""
+    root = shared_dir(spark, "landing")
+    text = F.expr(FILE_TEXT.format(other="r'[^\\x00-\\x7f\\xa0-\\xff]'", g=""))
+    # The bytes of a charset as they are: the text sink does not convert.
+    data = F.when(F.col("page_id") % 3 == 0, text.cast("binary")).otherwise(F.encode(text, "ISO-8859-1"))
+    files = S.pages(spark, sf).select(data.cast("string").alias("value"), F.col("page_id").alias("page"))
+    files.write.partitionBy("page").text(f"{root}/files")
+    rows = crawl.landed(crawl.stream_page_files(spark, f"{root}/files"))
+    writer = rows.writeStream.format("parquet").partitionBy("refused").option("path", f"{root}/out")
+    T.run_available(writer.outputMode("append"), f"{root}/checkpoint")
+    done = spark.read.schema(crawl.LANDED_SCHEMA).parquet(f"{root}/out")
+    number = F.regexp_extract("url", r"page=(\d+)", 1).cast("bigint")
+    kept = done.filter("NOT refused").select(number.alias("page_id"), "reason", "charset", F.md5("html").alias("html_md5"))
+    refused = done.filter("refused").select(number.alias("page_id"), "reason", "charset", F.lit(None).cast("string").alias("html_md5"))
+    return kept.unionByName(refused)

@@ -19,6 +19,8 @@ FETCH_SCHEMA = T.StructType(
         T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
     ]
 )
+FILE_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+LANDED_SCHEMA = "page_id BIGINT, url STRING, reason STRING, charset STRING, html STRING, refused BOOLEAN"
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 
 # What can be analysed.
@@ -46,13 +48,34 @@ def spread(rows: DataFrame) -> DataFrame:
 
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """Stored page files, one page per file; the path stands for the URL."""
-    files = spark.read.format("binaryFile").load(path)
+    return _fetched(spark.read.format("binaryFile").load(path))
+
+
+def _fetched(files: DataFrame) -> DataFrame:
     return files.select(
         F.xxhash64("path").alias("page_id"), F.col("path").alias("url"), "content",
         F.lit(200).alias("http_code"), F.lit(None).cast("string").alias("content_type"),
     )
 
 
+def stream_page_files(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
+    """Page files as they arrive below a folder."""
+    files = (
+        spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+        .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
+    )
+    return _fetched(files.load(path))
+
+
+def landed(fetched: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Fetched rows, gated and decoded in one pass: ``refused`` with its ``reason`` and without a
+    text, or ``html`` with its ``charset``.  Written by ``refused``, they are two tables."""
+    gated = gate(fetched, max_bytes=max_bytes).withColumn("refused", F.col("reason").isNotNull())
+    kept = gated.withColumn("content", F.when(~F.col("refused"), F.col("content")))
+    charset = F.when(~F.col("refused"), F.col("charset")).alias("charset")
+    return decode_pages(kept).select("page_id", "url", "reason", charset, "html", "refused")
+
+
 def response_headers(lines: Column) -> Column:
     """Header lines as a map: names lower-cased, the last value of a name wins."""
     pairs = F.transform(

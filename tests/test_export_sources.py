@@ -7,6 +7,7 @@ from sitelens.functions import encoding, text
 from sitelens.operators import export as E
 from sitelens.operators import pages as P
 from sitelens.sources import crawl, tables
+from sitelens.streaming import streams
 
 X = F.col("x")
 HTML = (
@@ -208,3 +209,43 @@ def test_deletion_changes_only_the_days_concerned(spark, tmp_path):
     assert left() == [i for i in range(30, 90) if i % 3 != 1]
     tables.delete(spark, path, "requests", F.lit(None).cast("boolean"))
     assert len(left()) == 40
+
+
+def test_csv_files_keep_every_value(spark, tmp_path):
+    values = ["plain", "", None, " ends ", 'a "quoted", part', "two\nlines", "\ttab", "back\\slash", "é日本", "'", "\\\"", "a\r\nb"]
+    flat = spark.createDataFrame([(i, v, i) for i, v in enumerate(values)], "page_id long, `a.b` string, n int")
+    path = str(tmp_path / "flat")
+    E.write_csv(flat.repartition(3), path)
+    for part in (tmp_path / "flat").glob("part-*"):
+        assert part.read_bytes().startswith(b"\xef\xbb\xbfpage_id,a.b,n")
+    found = {r[0]: r[1] for r in E.read_csv(spark, path, flat.schema).collect()}
+    assert found == dict(enumerate(values))
+
+
+def test_json_files_keep_every_value(spark, tmp_path):
+    rows = spark.sql("SELECT 1L AS page_id, struct('a' AS u, CAST(NULL AS STRING) AS v) AS metadata, struct(array('x\\ny', '/') AS l) AS analysis")
+    E.write_json(rows, str(tmp_path / "nested"))
+    assert E.read_json(spark, str(tmp_path / "nested"), rows.schema).collect() == rows.collect()
+
+
+def test_landing_pages(spark, tmp_path):
+    folder = tmp_path / "files" / "deep"
+    folder.mkdir(parents=True)
+    out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    (folder / "a.html").write_bytes("<meta charset=shift_jis>日本".encode("shift_jis"))
+    (folder / "b.html").write_bytes(b"x" * 101)
+    for i in range(2):
+        rows = crawl.landed(crawl.stream_page_files(spark, str(tmp_path / "files"), 1), max_bytes=100)
+        writer = rows.writeStream.format("parquet").partitionBy("refused").option("path", out)
+        streams.run_available(writer, checkpoint)
+        if not i:
+            (folder / "c.html").write_bytes("é".encode("latin1"))
+    done = spark.read.schema(crawl.LANDED_SCHEMA).parquet(out)
+    found = sorted((r.url[-6:], r.refused, r.charset, r.html, r.reason) for r in done.collect())
+    assert found == [
+        ("a.html", False, "SHIFT_JIS", "<meta charset=shift_jis>日本", None),
+        ("b.html", True, None, None, "Content too large (101 bytes). Maximum allowed: 100 bytes"),
+        ("c.html", False, "ISO-8859-1", "é", None),
+    ]
+    plan = done.filter("refused")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(refused" in plan
