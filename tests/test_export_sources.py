@@ -249,3 +249,19 @@ def test_landing_pages(spark, tmp_path):
     ]
     plan = done.filter("refused")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(refused" in plan
+
+
+def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
+    """A task reads whole row groups, so a file cut into many splits still is the work of one."""
+    spark.range(20_000).repartition(1).write.parquet(str(tmp_path / "rows"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    for k in before:
+        spark.conf.set(k, "1000")
+    try:
+        rows = spark.read.parquet(str(tmp_path / "rows"))
+        assert rows.rdd.getNumPartitions() > 8
+        sizes = crawl.spread(rows).rdd.glom().map(len).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20_000 and max(sizes) < 5_000

@@ -1,3 +1,4 @@
+import random
 import time
 
 from pyspark.sql import functions as F
@@ -162,3 +163,29 @@ def test_attribute_lookup(evaluate):
     assert [(t.name, t.content) for t in got] == [
         ("a", "x"), ("c", "name=b"), ("", "z"), (None, None), ("one", None), ("y", "x"), ("q", None),
     ]
+
+
+def test_cuts_and_tags_as_before(spark):
+    """Texts for which patterns without a choice at their start must give what those with one gave."""
+    def old_drop(x, tag):
+        return M._replace(x, rf"(?is)<{tag}\b.*?</{tag}>|(<{tag}\b.*+)", "$1")
+
+    old_any = r"""(?:[^>"']++|"[^"]*(?:"|\z)|'[^']*(?:'|\z))*+(?:>|\z)"""
+    quoted = M._QUOTED
+    old_tag = rf"""<[a-zA-Z](?:[^>=]++|=\s*+(?:{quoted}|(?!["'])[^\s>]*+))*+>"""
+    rng = random.Random(5)
+    parts = ["<nav>", "</nav>", "<NAV a='1'>", "</Nav>", "<navy>", "<a href=", '"x>"', "'y", '"', ">", "=", " ", "<b/>", "<!--", "-->", "t", "<p c==d>", "<na", "v", "\n", "  ", "\f"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(2_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    rows = df.selectExpr(
+        "x", f"{M._drop_blocks('x', ('nav',), comments=True)} AS cut",
+        M._replace(old_drop("x", "nav"), r"(?s)<!--.*?-->|(<!--.*+)", "$1") + " AS old_cut",
+        f"{M.start_tags('x')} AS tags",
+        f"filter({M._extract_all('x', rf'(?is)({old_tag})|<[a-zA-Z].*+', 1)}, m -> m <> '') AS old_tags",
+        f"{M.strip_tags('x')} AS plain",
+        f"{M._one_space('x')} AS spaced",
+        M.trim(M._replace("x", r"\s(?:\s++|(?<! ))", " ")) + " AS old_spaced",
+        M._replace("x", M.STRIPPED.replace(M._ANY_TAG, old_any)) + " AS old_plain",
+    ).collect()
+    for r in rows:
+        assert (r.cut, r.tags, r.plain, r.spaced) == (r.old_cut, r.old_tags, r.old_plain, r.old_spaced), r.x
