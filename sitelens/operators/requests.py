@@ -175,34 +175,41 @@ def blocked_addresses(addresses: DataFrame, ranges=BLOCKED_RANGES) -> DataFrame:
     return hits.select(F.lower("host").alias("host"), "ip").distinct()
 
 
-def screen_urls(urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES) -> DataFrame:
+def screen_urls(
+    urls: DataFrame, addresses: DataFrame, ranges=BLOCKED_RANGES, separator: str | None = None
+) -> DataFrame:
     """``urls`` with ``errors`` and ``blocked``: the URL's own errors, else that its
     host does not resolve, else every blocked address, sorted, and how many there are.
 
     ``addresses`` (host, ip) stands for name resolution and is reduced to one row per
-    host, with the set of its blocked addresses, before the join.
+    host, with the set of its blocked addresses, before the join.  With a ``separator``,
+    ``errors`` is one text, made once for each host and not for each URL.
     """
+
+    def listed(errors):
+        return errors if separator is None else F.array_join(errors, separator)
+
     # Tested once for each address, and its message written once for each host.
     distinct = addresses.select(F.lower("host").alias("host"), "ip").distinct()
     bad = distinct.withColumn("bad", F.when(is_blocked(F.col("ip"), ranges), F.col("ip")))
     per_host = bad.groupBy("host").agg(F.array_sort(F.collect_list("bad")).alias("bad")).select(
         "host",
         F.size("bad").alias("blocked"),
-        F.transform(
+        listed(F.transform(
             "bad", lambda ip: F.concat(F.lit("Access to private IP address "), ip, F.lit(" is not allowed"))
-        ).alias("refused"),
+        )).alias("refused"),
     )
     split = urls.withColumn("_parts", url_parts(F.col("url")))
     checked = split.withColumn("_errors", errors_of_parts(F.col("url"), F.col("_parts")))
     accepted = F.when(F.size("_errors") == 0, F.col("_parts.host"))
     checked = checked.withColumn("host", own_key(accepted, *urls.columns)).drop("_parts")
-    unresolved = F.array(F.lit("Could not resolve hostname to IP address"))
+    unresolved = listed(F.array(F.lit("Could not resolve hostname to IP address")))
     network = F.when(F.col("blocked").isNull(), unresolved).otherwise(F.col("refused"))
     return (
         join_unique(checked, per_host, "host", "left")
         .withColumn(
             "errors",
-            F.when(F.size("_errors") > 0, F.col("_errors")).otherwise(network),
+            F.when(F.size("_errors") > 0, listed(F.col("_errors"))).otherwise(network),
         )
         .withColumn("blocked", F.coalesce("blocked", F.lit(0)).cast("bigint"))
         .select(*urls.columns, "errors", "blocked")

@@ -213,8 +213,8 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
 def ssrf_screen(spark, sf):
     events = S.spread(S.events(spark, sf))
     urls = S.select(events, f"event_id AS id, {SCREENED_URL} AS url")
-    screened = R.screen_urls(urls, S.select(events, ADDRESSES))
-    return screened.select("id", F.array_join("errors", "; ").alias("errors"), "blocked")
+    screened = R.screen_urls(urls, S.select(events, ADDRESSES), separator="; ")
+    return screened.select("id", "errors", "blocked")
 
 
 @query(

@@ -119,3 +119,14 @@ def test_screening(spark):
     assert got[5][0] == ["Invalid URL format: Port 81 is not allowed"]
     assert got[6][0] == ["URL is required"]
     assert R.blocked_addresses(addresses).count() == 2
+
+
+def test_screened_messages_are_joined_once_for_a_host(spark):
+    """With a separator the text is made before the join: rows carry no list of messages."""
+    urls = spark.createDataFrame([(1, "http://a.example/"), (2, "http://b.example/"), (3, "http://127.0.0.1/"), (4, "http://c.example/")], "id long, url string")
+    addresses = spark.createDataFrame([("a.example", f"10.0.0.{i}") for i in range(3)] + [("b.example", "8.8.8.8")], "host string, ip string")
+    lists = {r.id: ("; ".join(r.errors), r.blocked) for r in R.screen_urls(urls, addresses).collect()}
+    joined = R.screen_urls(urls, addresses, separator="; ")
+    assert {r.id: (r.errors, r.blocked) for r in joined.collect()} == lists and lists[1][1] == 3
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Access to private" not in plan[: plan.index("Join LeftOuter")]
