@@ -94,6 +94,18 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark, prose, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_streams_hold_the_articles_too(spark):
+    """What an unmarked page repeats of another page's article is found by the suffix array."""
+    found = boilerplate.blocks(MARKED)
+    assert len(boilerplate.stream(found)) == len(found)
+    same = "<p>This offer is valid for all of our customers until the end of the year</p>"
+    own = "<p>" + " ".join(f"word{i}" for i in range(60)) + "</p>"
+    pages = [(1, "http://h.example/1", f"<article>{same}<p>more of it</p></article>"), (2, "http://h.example/2", same + own)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in boilerplate.extract(df).collect()}
+    assert got == {1: "This offer is valid for all of our customers until the end of the year\nmore of it", 2: own[3:-4]}
+
+
 def test_given_pages_give_their_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = {r.page_id: (r.text, r.n_chars) for r in boilerplate.extract(pages).collect()}
