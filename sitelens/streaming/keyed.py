@@ -1,13 +1,15 @@
 """Admission as keyed state: decisions in event time over any number of batches.
 
-A request waits in the state of its key until the watermark has passed it, so rows may
+Keys are dealt into hash buckets, and a bucket has one state.  A request waits there until the watermark has passed it, so rows may
 come late by the delay of the watermark and are still taken in the order of their time.  Then it is
 decided as the batch operator decides, and only the admissions that still count stay,
-at most ``limit`` for each key.  A timer wakes a key when its next request is due, and once
+at most ``limit`` for each key.  A timer wakes a bucket when its next request is due, and once
 more when its last admission no longer counts; then its state is gone.
 """
 
+from collections import deque
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -16,6 +18,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.values import micros
 
 DECISIONS = "key string, at bigint, id bigint, admitted boolean"
+#: Hash buckets of keys, each with one state.
+BUCKETS = 256
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,74 +28,86 @@ def _due(at: int) -> int:
     return -(-at // 1_000)
 
 
-def _decisions(key: str, rows: list[tuple[int, int]], admitted: list[bool]) -> pd.DataFrame:
+def _decisions(rows: list[tuple[str, int, int]], admitted: list[bool]) -> pd.DataFrame:
     # Plain strings: pandas' own string type is not taken by Spark's serializer.
     return pd.DataFrame(
         {
-            "key": pd.Series([key] * len(rows), dtype=object),
-            "at": pd.Series([r[0] for r in rows], dtype="int64"),
-            "id": pd.Series([r[1] for r in rows], dtype="int64"),
+            "key": pd.Series([r[0] for r in rows], dtype=object),
+            "at": pd.Series([r[1] for r in rows], dtype="int64"),
+            "id": pd.Series([r[2] for r in rows], dtype="int64"),
             "admitted": pd.Series(admitted, dtype=bool),
         }
     )
 
 
 class Admission(StatefulProcessor):
+    """State of the keys of one bucket: a call to the state costs far more than a row in it."""
+
     def __init__(self, limit: int, window: int):
         self.limit, self.window = limit, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at bigint, id bigint")
-        self.taken = handle.getListState("taken", "at bigint")
+        self.waiting = handle.getListState("waiting", "key string, at bigint, id bigint")
+        self.taken = handle.getListState("taken", "key string, at bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived = [r for pdf in rows for r in zip(pdf["at"].tolist(), pdf["id"].tolist())]
+        arrived = [r for pdf in rows for r in zip(pdf["key"].tolist(), pdf["at"].tolist(), pdf["id"].tolist())]
         self.waiting.appendList(arrived)
-        self.handle.registerTimer(_due(min(arrived)[0]))
-        yield _decisions(key[0], [], [])
+        self.handle.registerTimer(_due(min(r[1] for r in arrived)))
+        yield _decisions([], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1_000
-        waiting = sorted((r[0], r[1]) for r in self.waiting.get())
-        taken = sorted(r[0] for r in self.taken.get())
-        ready = [r for r in waiting if r[0] <= passed]
+        taken = {}
+        for k, at in sorted((r[0], r[1]) for r in self.taken.get()):
+            taken.setdefault(k, deque()).append(at)
+        ready, rest = [], []
+        for r in self.waiting.get():
+            (ready if r[1] <= passed else rest).append((r[0], r[1], r[2]))
+        ready.sort(key=itemgetter(1, 2))
         decided = []
-        for at, _ in ready:
-            taken = [t for t in taken if t > at - self.window]
-            decided.append(len(taken) < self.limit)
+        for k, at, _ in ready:
+            mine = taken.setdefault(k, deque())
+            while mine and mine[0] <= at - self.window:
+                mine.popleft()
+            decided.append(len(mine) < self.limit)
             if decided[-1]:
-                taken.append(at)
-        rest = waiting[len(ready) :]
-        taken = [t for t in taken if t > passed - self.window]
+                mine.append(at)
+        live = [(k, at) for k, mine in taken.items() for at in mine if at > passed - self.window]
         if rest:
             self.waiting.put(rest)
-            self.handle.registerTimer(_due(rest[0][0]))
+            self.handle.registerTimer(_due(min(r[1] for r in rest)))
         else:
             self.waiting.clear()
-        if taken:
-            self.taken.put([(t,) for t in taken])
-            self.handle.registerTimer(_due(taken[-1] + self.window))
+        if live:
+            self.taken.put(live)
+            self.handle.registerTimer(_due(max(at for _, at in live) + self.window))
         else:
             self.taken.clear()
-        yield _decisions(key[0], ready, decided)
+        yield _decisions(ready, decided)
 
     def close(self) -> None:
         pass
 
 
-def admissions(requests: DataFrame, limit: int, window_seconds: int, late: str = "1 hour") -> DataFrame:
+def admissions(
+    requests: DataFrame, limit: int, window_seconds: int, late: str = "1 hour", buckets: int = BUCKETS
+) -> DataFrame:
     """``DECISIONS`` for a stream of requests (key, created_at, id), each once the watermark
     (the newest time less ``late``) has passed it.
 
     Rows that come later than that are dropped by the watermark; rows without key or time are
-    not decided.  A limit of one gives the first sighting of a key in each window.
+    not decided.  A limit of one gives the first sighting of a key in each window.  The waiting
+    rows of a bucket of keys are in memory at once: more ``buckets`` for larger streams, and
+    the same number for as long as a checkpoint is used.
     """
     requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     timed = requests.withColumn("created_at", F.col("created_at").cast("timestamp"))
     timed = timed.filter("key IS NOT NULL AND created_at IS NOT NULL").withWatermark("created_at", late)
-    keyed = timed.select("key", "created_at", micros(F.col("created_at")).alias("at"), F.col("id").cast("bigint").alias("id"))
-    return keyed.groupBy("key").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    keyed = timed.select(bucket, F.col("key").cast("string").alias("key"), "created_at", micros(F.col("created_at")).alias("at"), F.col("id").cast("bigint").alias("id"))
+    return keyed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=Admission(limit, window_seconds * 1_000_000),
         outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime",
     )

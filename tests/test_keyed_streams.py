@@ -45,3 +45,20 @@ def test_batches_with_late_rows(spark, tmp_path, limit, window):
     assert len(sizes) >= 6 and len(got) == 900
     # All but the last request is decided and has expired.
     assert sizes[-1] < max(sizes) / 4
+
+
+def test_state_is_called_for_buckets_not_for_keys(spark, tmp_path):
+    """Thousands of keys share few states; the decisions are those of a plain loop."""
+    rng = random.Random(3)
+    rows = [(f"k{rng.randrange(3_000)}", START + timedelta(seconds=rng.randrange(20_000), microseconds=i), i) for i in range(9_000)]
+    rows.append(("end", START + timedelta(days=2), 9_999))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), SCHEMA)
+    writer = K.admissions(stream, 1, 1_800, buckets=16).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.id: r.admitted for r in spark.read.schema(K.DECISIONS).parquet(str(tmp_path / "out")).collect()}
+    want = loop(rows, 1, 1_800)
+    assert got == {i: ok for i, ok in want.items() if i != 9_999}
+    # Two lists and their timers for each bucket.
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 16 * 8
