@@ -7,6 +7,7 @@ at most ``limit`` for each key.  A timer wakes a bucket when its next request is
 more when its last admission no longer counts; then its state is gone.
 """
 
+import pickle
 from collections import deque
 from collections.abc import Iterator
 from operator import itemgetter
@@ -40,6 +41,15 @@ def _decisions(rows: list[tuple[str, int, int]], admitted: list[bool]) -> pd.Dat
     )
 
 
+def _packed(rows: list[tuple]) -> tuple[bytes]:
+    """Rows as one value of a list state, which is far slower row by row."""
+    return (pickle.dumps(rows),)
+
+
+def _rows(state) -> list[tuple]:
+    return [row for value in state.get() for row in pickle.loads(value[0])]
+
+
 class Admission(StatefulProcessor):
     """State of the keys of one bucket: a call to the state costs far more than a row in it."""
 
@@ -48,23 +58,23 @@ class Admission(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "key string, at bigint, id bigint")
-        self.taken = handle.getListState("taken", "key string, at bigint")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.taken = handle.getListState("taken", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = [r for pdf in rows for r in zip(pdf["key"].tolist(), pdf["at"].tolist(), pdf["id"].tolist())]
-        self.waiting.appendList(arrived)
+        self.waiting.appendValue(_packed(arrived))
         self.handle.registerTimer(_due(min(r[1] for r in arrived)))
         yield _decisions([], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1_000
         taken = {}
-        for k, at in sorted((r[0], r[1]) for r in self.taken.get()):
+        for k, at in sorted(_rows(self.taken)):
             taken.setdefault(k, deque()).append(at)
         ready, rest = [], []
-        for r in self.waiting.get():
-            (ready if r[1] <= passed else rest).append((r[0], r[1], r[2]))
+        for r in _rows(self.waiting):
+            (ready if r[1] <= passed else rest).append(r)
         ready.sort(key=itemgetter(1, 2))
         decided = []
         for k, at, _ in ready:
@@ -76,12 +86,12 @@ class Admission(StatefulProcessor):
                 mine.append(at)
         live = [(k, at) for k, mine in taken.items() for at in mine if at > passed - self.window]
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put([_packed(rest)])
             self.handle.registerTimer(_due(min(r[1] for r in rest)))
         else:
             self.waiting.clear()
         if live:
-            self.taken.put(live)
+            self.taken.put([_packed(live)])
             self.handle.registerTimer(_due(max(at for _, at in live) + self.window))
         else:
             self.taken.clear()
