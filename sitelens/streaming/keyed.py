@@ -1,17 +1,22 @@
-"""Admission as keyed state: decisions in event time over any number of batches.
+"""Admission and window counts as keyed state: event time over any number of batches.
 
 Keys are dealt into hash buckets, and a bucket has one state.  A request waits there until the watermark has passed it, so rows may
 come late by the delay of the watermark and are still taken in the order of their time.  Then it is
 decided as the batch operator decides, and only the admissions that still count stay,
 at most ``limit`` for each key.  A timer wakes a bucket when its next request is due, and once
 more when its last admission no longer counts; then its state is gone.
+
+Sliding windows are counted from slices that no window cuts: a row is one row of state, not one
+for each of its windows, and the windows of a slice are made when they are final.
 """
 
+import math
 import pickle
 from collections import deque
 from collections.abc import Iterator
 from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.values import micros
 
 DECISIONS = "key string, at bigint, id bigint, admitted boolean"
+COUNTS = "start bigint, end bigint, key string, n bigint"
 #: Hash buckets of keys, each with one state.
 BUCKETS = 256
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -121,3 +127,114 @@ def admissions(
         statefulProcessor=Admission(limit, window_seconds * 1_000_000),
         outputStructType=DECISIONS, outputMode="Append", timeMode="EventTime",
     )
+
+
+def _summed(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    return frame.groupby(by, dropna=False, sort=False, as_index=False)["n"].sum()
+
+
+class WindowCounts(StatefulProcessor):
+    """Rows per key and window, for the keys of one bucket.
+
+    ``window`` and ``slide`` are microseconds.  The state holds the rows per key and slice while a
+    window of the slice is not final, and up to which end windows are written.  A timer wakes the
+    bucket whenever the watermark has moved.
+    """
+
+    #: Rows of one frame that is given to Spark.
+    FRAME = 100_000
+
+    def __init__(self, window: int, slide: int):
+        self.window, self.slide, self.slice = window, slide, math.gcd(window, slide)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "rows binary")
+        self.written = handle.getValueState("written", "until bigint")
+
+    def _until(self) -> int:
+        return self.written.get()[0] if self.written.exists() else 0
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        parts = [pd.DataFrame({"key": pdf["key"].astype(object), "at": pdf["at"] // self.slice * self.slice, "n": 1}) for pdf in rows]
+        arrived = _summed(pd.concat(parts), ["key", "at"])
+        # Rows that are too late for all of their windows.
+        arrived = arrived[arrived["at"] // self.slide * self.slide + self.window > self._until()]
+        if len(arrived):
+            self.open.appendValue((pickle.dumps([arrived[c].to_numpy() for c in ("key", "at", "n")]),))
+        # The watermark of this batch may have passed some of their windows already.
+        self.handle.registerTimer(max(1, timerValues.getCurrentWatermarkInMs() - 1))
+        yield self._frame(arrived[:0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        until, now = self._until(), passed * 1_000
+        # Once more when the watermark has moved.
+        self.handle.registerTimer(passed + 1)
+        if now <= until:
+            yield self._frame(pd.DataFrame({"key": [], "start": [], "n": []}))
+            return
+        self.written.update((now,))
+        parts = [pd.DataFrame(dict(zip(("key", "at", "n"), pickle.loads(value[0])))) for value in self.open.get()]
+        if not parts:
+            yield self._frame(pd.DataFrame({"key": [], "start": [], "n": []}))
+            return
+        slices = pd.concat(parts)
+        if len(parts) > 1:
+            slices = _summed(slices, ["key", "at"])
+        at, n = slices["at"].to_numpy(), slices["n"].to_numpy()
+        code, names = pd.factorize(slices["key"], use_na_sentinel=False)
+        names = np.array([k if isinstance(k, str) else None for k in names], dtype=object)
+        last = at // self.slide * self.slide
+        final = []
+        for back in range(-(-self.window // self.slide)):
+            start = last - back * self.slide
+            end = start + self.window
+            due = (end > at) & (end > until) & (end <= now)
+            final.append(pd.DataFrame({"code": code[due], "start": start[due], "n": n[due]}))
+        counts = _summed(pd.concat(final), ["code", "start"])
+        rest = last + self.window > now
+        if rest.any():
+            self.open.put([(pickle.dumps([names[code[rest]], at[rest], n[rest]]),)])
+        else:
+            self.open.clear()
+        for i in range(0, max(1, len(counts)), self.FRAME):
+            some = counts[i : i + self.FRAME]
+            yield self._frame(some.assign(key=names[some["code"].to_numpy()]))
+
+    def _frame(self, counts: pd.DataFrame) -> pd.DataFrame:
+        start = counts["start"].to_numpy("int64") if "start" in counts else np.zeros(0, "int64")
+        return pd.DataFrame(
+            {
+                "start": start,
+                "end": start + self.window,
+                "key": pd.Series(list(counts["key"]), dtype=object),
+                "n": counts["n"].to_numpy("int64"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def window_counts(
+    rows: DataFrame, window: str, slide: str, late: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """``COUNTS`` for a stream of rows (key, created_at): rows per key in sliding windows, each
+    written once, when the watermark (the newest time less ``late``) has passed its end.
+
+    A row that comes later than ``late`` counts in those of its windows that are not written yet for
+    its bucket.  Rows without a time are not counted, rows without a key are counted
+    as one key.  The open slices of a bucket of keys are in memory at once, and so are the windows made
+    of them: more ``buckets`` for larger streams, and the same number for as long as a checkpoint is used.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    timed = rows.filter("created_at IS NOT NULL").withWatermark("created_at", late)
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")
+    # Without the column of the watermark: Spark would drop a late row whole, with the windows that are open.
+    keyed = timed.select(bucket, F.col("key").cast("string").alias("key"), micros(F.col("created_at")).alias("at"))
+    size, step = (pd.Timedelta(text) // pd.Timedelta("1us") for text in (window, slide))
+    return keyed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=WindowCounts(size, step),
+        outputStructType=COUNTS, outputMode="Append", timeMode="EventTime",
+    )

@@ -16,6 +16,7 @@ from ..functions.values import from_micros, micros
 from ..operators.admission import MAX_SESSION, replay
 from ..operators.cache import TTL_SECONDS, latest_entries
 from ..operators.pages import analyze
+from .keyed import window_counts
 
 SECOND = 1_000_000
 
@@ -33,13 +34,13 @@ def read_stream(
 def request_counts(
     requests: DataFrame, window: str = "1 hour", slide: str = "5 minutes", late: str = "1 hour"
 ) -> DataFrame:
-    """Requests per address in sliding windows; a window is final ``late`` after its end."""
-    timed = requests.withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return (
-        timed.withWatermark("created_at", late)
-        .groupBy(F.window("created_at", window, slide).alias("w"), "ip_address")
-        .agg(F.count(F.lit(1)).alias("request_count"))
-        .select("w.start", "w.end", "ip_address", "request_count")
+    """Requests per address in sliding windows; a window is final ``late`` after its end.
+
+    The state has a row for each address and slide, not for each window (``keyed.window_counts``)."""
+    timed = requests.select(F.col("ip_address").alias("key"), F.col("created_at").cast("timestamp"))
+    return window_counts(timed, window, slide, late).select(
+        F.timestamp_micros("start").alias("start"), F.timestamp_micros("end").alias("end"),
+        F.col("key").alias("ip_address"), F.col("n").alias("request_count"),
     )
 
 

@@ -1,7 +1,7 @@
 """Keyed state over several batches with late rows gives what the batch operator gives."""
 
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -62,3 +62,53 @@ def test_state_is_called_for_buckets_not_for_keys(spark, tmp_path):
     assert got == {i: ok for i, ok in want.items() if i != 9_999}
     # Two lists and their timers for each bucket.
     assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 16 * 8
+
+
+def windows_of(rows, window=3_600, slide=300):
+    counts = {}
+    for ip, at in rows:
+        for start in range(at // slide * slide, at - window, -slide):
+            counts[ip, start] = counts.get((ip, start), 0) + 1
+    return counts
+
+
+def test_window_counts_keep_slices_not_windows(spark, tmp_path):
+    """Batches with rows that come late, without a time and without a key; the state has no row for each window."""
+    rng, base = random.Random(3), int(datetime(2024, 1, 1, tzinfo=timezone.utc).timestamp())
+    sent = []
+    for n in range(4):
+        # Up to 50 minutes behind the newest time of the batches before.
+        rows = [(rng.choice([None, "", *map(str, range(300))]), base + n * 6_000 + rng.randrange(-3_000, 6_000)) for _ in range(500)]
+        sent += rows
+        rows = [(ip, datetime.fromtimestamp(at, timezone.utc)) for ip, at in rows] + [("no time", None)]
+        frame = spark.createDataFrame(rows, "ip_address string, created_at timestamp").coalesce(1)
+        frame.write.mode("append").parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), frame.schema, files_per_batch=1)
+    counts = T.request_counts(stream)
+    writer = counts.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = spark.read.schema(counts.schema).parquet(str(tmp_path / "out"))
+    got = [((r.ip_address, r.s), r.request_count) for r in done.selectExpr("*", "unix_seconds(start) AS s").collect()]
+    final = max(at for _, at in sent) - 3_600
+    expected = {k: n for k, n in windows_of(sent).items() if k[1] + 3_600 <= final}
+    assert len(got) == len(dict(got)) and dict(got) == expected
+    assert done.filter("end != start + INTERVAL 1 HOUR").isEmpty()
+    kept = max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+    assert 0 < kept < len(sent)
+
+
+@pytest.mark.parametrize("window, slide", [("10 minutes", "10 minutes"), ("10 minutes", "4 minutes"), ("2 minutes", "5 minutes")])
+def test_window_counts_of_any_length(spark, tmp_path, window, slide):
+    rng, base = random.Random(5), 1_700_000_000
+    sent = [(rng.choice("abc"), base + rng.randrange(4_000)) for _ in range(200)]
+    rows = [(k, datetime.fromtimestamp(at, timezone.utc)) for k, at in sent]
+    spark.createDataFrame(rows, "key string, created_at timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), "key string, created_at timestamp")
+    writer = K.window_counts(stream, window, slide, "1 minute", buckets=2).writeStream.format("parquet")
+    T.run_available(writer.option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
+    got = {(r.key, r.start // 10**6): r.n for r in spark.read.schema(K.COUNTS).parquet(str(tmp_path / "out")).collect()}
+    length, step = int(window.split()[0]) * 60, int(slide.split()[0]) * 60
+    final = max(at for _, at in sent) - 60
+    assert got == {k: n for k, n in windows_of(sent, length, step).items() if k[1] + length <= final}
+    assert got
