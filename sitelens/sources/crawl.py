@@ -26,6 +26,9 @@ PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 # What can be analysed.
 CONTENT_TYPES = ("text/html", "application/xhtml+xml", "text/plain")
 MAX_BYTES = 2_000_000
+#: Bytes of a row group of page packs.
+PACK_GROUP = 16_000_000
+
 
 def read_crawl(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FETCH_SCHEMA).parquet(path)
@@ -61,7 +64,8 @@ def _fetched(files: DataFrame) -> DataFrame:
 
 
 def stream_page_files(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
-    """Page files as they arrive below a folder."""
+    """Page files as they arrive below a folder, one page per file.  The driver lists and remembers
+    every file: for millions of pages use packs."""
     files = (
         spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true")
@@ -69,6 +73,23 @@ def stream_page_files(spark: SparkSession, path: str, files_per_batch: int = 1_0
     return _fetched(files.load(path))
 
 
+def write_page_packs(files: DataFrame, path: str) -> None:
+    """Many page files (``FILE_SCHEMA``) in each file below a folder, in small row groups, since
+    the pages of a row group are read together."""
+    names = [name.split()[0] for name in FILE_SCHEMA.split(", ")]
+    files.select(*names).write.mode("append").option("parquet.block.size", PACK_GROUP).parquet(path)
+
+
+def stream_page_packs(spark: SparkSession, path: str, packs_per_batch: int = 1_000) -> DataFrame:
+    """Page files as they arrive in packs.
+
+    The driver lists files and keeps those it has seen: with packs that is one entry for
+    thousands of pages, with ``stream_page_files`` one for every page.
+    """
+    packs = spark.readStream.schema(FILE_SCHEMA).option("maxFilesPerTrigger", packs_per_batch)
+    return _fetched(packs.parquet(path))
+
+
 def landed(fetched: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Fetched rows, gated and decoded in one pass: ``refused`` with its ``reason`` and without a
     text, or ``html`` with its ``charset``.  Written by ``refused``, they are two tables."""

@@ -1,3 +1,4 @@
+import hashlib
 from datetime import date
 from pathlib import Path
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from sitelens.functions import encoding, text
 from sitelens.operators import export as E
 from sitelens.operators import pages as P
+from sitelens.plans import stream_queries
 from sitelens.sources import crawl, tables
 from sitelens.streaming import streams
 
@@ -265,3 +267,43 @@ def test_one_row_group_in_many_splits_is_spread(spark, tmp_path):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert sum(sizes) == 20_000 and max(sizes) < 5_000
+
+
+def test_landing_page_packs(spark, tmp_path):
+    """Pages in packs land like page files on their own, also those that arrive later."""
+    folder, out, checkpoint = (str(tmp_path / n) for n in ("files", "out", "checkpoint"))
+    pages = {
+        "a.html": "<meta charset=shift_jis>日本".encode("shift_jis"), "b.html": b"x" * 101, "c.html": "é".encode("latin1"),
+        "d.html": b"", "e.html": None,
+    }
+    for some in (["a.html", "b.html"], ["c.html", "d.html", "e.html"]):
+        rows = [(name, None, len(pages[name] or b""), pages[name]) for name in some]
+        crawl.write_page_packs(spark.createDataFrame(rows, crawl.FILE_SCHEMA).coalesce(1), folder)
+        landed = crawl.landed(crawl.stream_page_packs(spark, folder, 1), max_bytes=100)
+        streams.run_available(landed.writeStream.format("parquet").partitionBy("refused").option("path", out), checkpoint)
+    found = {r.url: (r.refused, r.charset, r.html, r.reason) for r in spark.read.schema(crawl.LANDED_SCHEMA).parquet(out).collect()}
+    assert found["a.html"] == (False, "SHIFT_JIS", "<meta charset=shift_jis>日本", None)
+    assert found["b.html"] == (True, None, None, "Content too large (101 bytes). Maximum allowed: 100 bytes")
+    assert found["c.html"] == (False, "ISO-8859-1", "é", None)
+    assert found["d.html"] == (True, None, None, "Failed to retrieve content from the URL.")
+    assert len(found) == 5 and found["e.html"][2] is None
+
+
+def test_landing_lists_packs_not_pages(spark, tmp_path, monkeypatch):
+    """The files the driver lists do not grow with the pages, and pages of one id stay apart."""
+    rows = [(i % 395, f"http://x.example/{i}", f"<p>é€ {i}</p>\n") for i in range(400)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "t" / "pages.parquet"))
+    monkeypatch.setattr(stream_queries, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    got = stream_queries.QUERIES["stream_page_files"](spark, str(tmp_path / "t")).collect()
+    names = ["utf-8", "iso-8859-1", "windows-1252"]
+    expected = []
+    for page, _, html in rows:
+        if page % 100 == 50:
+            size = len(f"<meta charset={names[page % 3]}>") + len(html.encode() if page % 3 == 0 else html) + 2_000_001
+            expected.append((page, f"Content too large ({size} bytes). Maximum allowed: 2000000 bytes", None, None))
+        else:
+            text = f"<meta charset={names[page % 3]}>" + (html if page % 3 == 0 else html.replace("€", "?")) + "\n"
+            expected.append((page, None, names[page % 3].upper(), hashlib.md5(text.encode()).hexdigest()))
+    assert sorted(map(tuple, got), key=repr) == sorted(expected, key=repr)
+    listed = [p for p in (tmp_path / "landing" / "files").glob("**/*") if not p.name.startswith((".", "_"))]
+    assert 0 < len(listed) <= 2 * spark.sparkContext.defaultParallelism
