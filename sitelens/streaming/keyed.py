@@ -141,11 +141,12 @@ class WindowCounts(StatefulProcessor):
     bucket whenever the watermark has moved.
     """
 
-    #: Rows of one frame that is given to Spark.
+    #: Rows of one frame that is given to Spark, and of frames that are added up.
     FRAME = 100_000
 
     def __init__(self, window: int, slide: int):
         self.window, self.slide, self.slice = window, slide, math.gcd(window, slide)
+        self.frame = self.FRAME
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -156,7 +157,15 @@ class WindowCounts(StatefulProcessor):
         return self.written.get()[0] if self.written.exists() else 0
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = [pd.DataFrame({"key": pdf["key"].astype(object), "at": pdf["at"] // self.slice * self.slice, "n": 1}) for pdf in rows]
+        parts, size, most = [], 0, self.frame
+        for pdf in rows:
+            slices = pd.DataFrame({"key": pdf["key"].astype(object), "at": pdf["at"] // self.slice * self.slice, "n": 1})
+            parts.append(_summed(slices, ["key", "at"]))
+            size += len(parts[-1])
+            if size > most:
+                # Many rows of a key in a slice are never held at once.
+                parts = [_summed(pd.concat(parts), ["key", "at"])]
+                size, most = len(parts[0]), self.frame + 2 * len(parts[0])
         arrived = _summed(pd.concat(parts), ["key", "at"])
         # Rows that are too late for all of their windows.
         arrived = arrived[arrived["at"] // self.slide * self.slide + self.window > self._until()]
@@ -198,8 +207,8 @@ class WindowCounts(StatefulProcessor):
             self.open.put([(pickle.dumps([names[code[rest]], at[rest], n[rest]]),)])
         else:
             self.open.clear()
-        for i in range(0, max(1, len(counts)), self.FRAME):
-            some = counts[i : i + self.FRAME]
+        for i in range(0, max(1, len(counts)), self.frame):
+            some = counts[i : i + self.frame]
             yield self._frame(some.assign(key=names[some["code"].to_numpy()]))
 
     def _frame(self, counts: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +234,7 @@ def window_counts(
 
     A row that comes later than ``late`` counts in those of its windows that are not written yet for
     its bucket.  Rows without a time are not counted, rows without a key are counted
-    as one key.  The open slices of a bucket of keys are in memory at once, and so are the windows made
+    as one key.  The rows of a key go to one task.  The open slices of a bucket of keys are in memory at once, and so are the windows made
     of them: more ``buckets`` for larger streams, and the same number for as long as a checkpoint is used.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)

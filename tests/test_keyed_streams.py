@@ -112,3 +112,17 @@ def test_window_counts_of_any_length(spark, tmp_path, window, slide):
     final = max(at for _, at in sent) - 60
     assert got == {k: n for k, n in windows_of(sent, length, step).items() if k[1] + length <= final}
     assert got
+
+
+def test_window_ends_exactly_at_the_watermark(spark, tmp_path, monkeypatch):
+    """The watermark moves by a millisecond, onto the end of a window; frames are added up on the way."""
+    monkeypatch.setattr(K.WindowCounts, "FRAME", 3)
+    first = [START + timedelta(hours=11, minutes=m) for m in range(60)] * 3 + [START + timedelta(hours=13, milliseconds=-1)]
+    for times in (first, [START + timedelta(hours=13)]):
+        rows = [("a", t) for t in times]
+        spark.createDataFrame(rows, "key string, created_at timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = T.read_stream(spark, str(tmp_path / "in"), "key string, created_at timestamp", files_per_batch=1)
+    writer = K.window_counts(stream, "1 hour", "1 hour", "1 hour", buckets=1).writeStream.format("parquet")
+    T.run_available(writer.option("path", str(tmp_path / "out")), str(tmp_path / "cp"))
+    got = spark.read.schema(K.COUNTS).parquet(str(tmp_path / "out")).collect()
+    assert [(r.key, r.n) for r in got] == [("a", 180)]
