@@ -7,32 +7,36 @@ in practice.  Each round is written to the shared folder, which cuts the lineage
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_ROUNDS = 100
-
+from ..operators.joins import join_unique
 
-def _stored(least: DataFrame, path: str) -> DataFrame:
-    """Written and read again: a join with it shuffles both sides, so a hot node can be split."""
-    least.write.parquet(path)
-    return least.sparkSession.read.schema("u bigint, m bigint").parquet(path)
+MAX_ROUNDS = 100
 
 
-def _star(edges: DataFrame, large: bool, folder: str) -> DataFrame:
+def _star(edges: DataFrame, large: bool) -> DataFrame:
     """(a, b) with a < b, after one star operation on ``edges``."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    # Only towards smaller neighbours: u is the larger end.
+    both = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
+    if large:
+        both = both.unionByName(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # A hot node is split.
+    joined = join_unique(both, least, "u")
     if large:
-        both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        least = _stored(least, f"{folder}-least")
-        moved = both.join(least, "u").filter(F.col("v") > F.col("u")).select("m", "v")
+        moved = joined.filter(F.col("v") > F.col("u")).select("m", "v")
     else:
-        # Only towards smaller neighbours: u is the larger end.
-        down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        least = _stored(least, f"{folder}-least")
-        moved = down.join(least, "u").select("m", "v").unionByName(least.select("m", F.col("u").alias("v")))
+        ends = F.array("v", "u")
+        moved = joined.select("m", F.explode(ends).alias("v"))
     return moved.filter("m != v").select(F.least("m", "v").alias("a"), F.greatest("m", "v").alias("b")).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every larger end has one smaller neighbour, which has none: the edges are stars."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(0).alias("larger"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("node"), F.lit(1).alias("larger")))
+    found = ends.groupBy("node").agg(F.min("larger").alias("least"), F.sum("larger").alias("n"))
+    return found.filter("n > 1 OR (least = 0 AND n > 0)").isEmpty()
+
+
 def components(links: DataFrame, folder: str) -> DataFrame:
     """(node, component) of every node of ``links`` (a, b: bigint); the smallest node names it.
 
@@ -45,21 +49,13 @@ def components(links: DataFrame, folder: str) -> DataFrame:
     edges.write.parquet(f"{folder}/0")
     edges = spark.read.schema(schema).parquet(f"{folder}/0")
 
-    def state(e: DataFrame):
-        return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    before = state(edges)
     for i in range(1, MAX_ROUNDS):
-        if not before[0]:
+        if _settled(edges):
             break
         for large in (True, False):
             path = f"{folder}/{i}-{'large' if large else 'small'}"
-            _star(edges, large, path).write.parquet(path)
+            _star(edges, large).write.parquet(path)
             edges = spark.read.schema(schema).parquet(path)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
     else:
         raise RuntimeError("components did not settle")
     stars = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -101,7 +101,8 @@ def _links(fps: DataFrame, segments, bits: int) -> DataFrame:
     left = _stored(fps, segments).withColumnsRenamed({"fp": "a", "grp": "grp_a"})
     right = _ball(fps, segments).withColumnsRenamed({"fp": "b", "grp": "grp_b"})
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    return left.join(right, ["seg", "key"]).filter((F.col("grp_a") != F.col("grp_b")) & near)
+    # Spark sizes an exploded table as what it was made of, and would broadcast some 35 rows a fingerprint.
+    return left.hint("merge").join(right, ["seg", "key"]).filter((F.col("grp_a") != F.col("grp_b")) & near)
 
 
 def _bit_apart(fps: DataFrame) -> DataFrame:

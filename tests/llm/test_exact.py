@@ -382,6 +382,14 @@ def test_search_finds_every_pair_of_random_fingerprints(spark):
     assert found == want
 
 
+def test_search_does_not_broadcast_what_it_explodes(spark, tmp_path):
+    """A small file of fingerprints is sized as small after an explode too; the driver must not hold the ball."""
+    spark.range(1000).selectExpr("id AS fp", "id AS grp").write.parquet(str(tmp_path / "fps"))
+    fps = spark.read.schema("fp bigint, grp bigint").parquet(str(tmp_path / "fps"))
+    plan = simhash._links(fps, simhash.SEGMENTS, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components(spark, tmp_path):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(-40, 40), rng.randint(-40, 40)) for _ in range(45)]
