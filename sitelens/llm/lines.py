@@ -67,7 +67,8 @@ class LineRuns:
         """Add a batch of (id, h); the name of the run that holds what was new."""
         fresh = hashes.groupBy("h").agg(F.min("id").alias("owner"))
         for name in (name for level in self.levels for name in level):
-            fresh = fresh.join(self.spark.table(name).select("h"), "h", "left_anti")
+            # Merged whatever its size: a run's file is a fraction of what the driver would hold to broadcast it.
+            fresh = fresh.join(self.spark.table(name).select("h").hint("merge"), "h", "left_anti")
         name = self._write(fresh)
         self.levels[0].append(name)
         return name
@@ -116,7 +117,7 @@ def dropped_hashes(docs: DataFrame, batches: int = BATCHES, min_chars: int = MIN
         # Read as plain files: both sides are shuffled, and a hot hash can be split.
         own = spark.read.schema("h binary, owner bigint").parquet(runs.path(names[-1]))
         kept = (F.col("owner") == F.col("id")) & F.col("owner").isNotNull()
-        parts.append(mine.join(own, "h", "left").filter(~F.coalesce(kept, F.lit(False))).select("id", "h"))
+        parts.append(mine.join(own.hint("merge"), "h", "left").filter(~F.coalesce(kept, F.lit(False))).select("id", "h"))
         if i < len(cuts):
             runs.compact()
     runs.close(names)

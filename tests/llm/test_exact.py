@@ -114,6 +114,17 @@ def test_runs_are_levelled_and_disjoint(spark, docs_of, prose, tmp_path):
     runs.close([name for level in runs.levels for name in level])
 
 
+def test_runs_are_merged_not_broadcast(spark, docs_of, prose, monkeypatch):
+    """The driver holds none of the index, whatever the size of a run's file."""
+    plans, write = [], lines.LineRuns._write
+    text_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lines.LineRuns, "_write", lambda runs, rows: plans.append(text_of(rows)) or write(runs, rows))
+    gone = lines.dropped_hashes(docs_of([(i, prose(i % 7, 60)) for i in range(40)]))
+    plans.append(text_of(gone))
+    assert len(plans) > 4 and any("LeftAnti" in p for p in plans) and "LeftOuter" in plans[-1]
+    assert not any("Broadcast" in p for p in plans)
+
+
 # -- 3 -----------------------------------------------------------------------------
 
 
