@@ -192,6 +192,15 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
     ELSE concat('site', user_id % 25, '.example.com/x') END"""
 
 
+#: The text of a host, up to 1 MB, is on each of its rows.  With room for the texts of all hosts, a
+#: Parquet file holds each of them once; with the usual 1 MB a writer buffers pages of 100 whole rows.
+ONCE_A_FILE = {
+    "parquet.dictionary.page.size": str(32 << 20),
+    "parquet.page.size.row.check.min": "1",
+    "parquet.block.size.row.check.min": "1",
+}
+
+
 @query(
     "ssrf_screen",
     f"""WITH a AS (SELECT DISTINCT {ADDRESSES} FROM events),
@@ -211,6 +220,8 @@ SCREENED_URL = """CASE event_type WHEN 'error' THEN concat('http://127.0.0.', us
     FROM e LEFT JOIN h USING (host)""",
 )
 def ssrf_screen(spark, sf):
+    for key, value in ONCE_A_FILE.items():
+        spark.conf.set(key, value)
     events = S.spread(S.events(spark, sf))
     urls = S.select(events, f"event_id AS id, {SCREENED_URL} AS url")
     screened = R.screen_urls(urls, S.select(events, ADDRESSES), separator="; ")

@@ -1,12 +1,14 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sitelens.operators import requests as R
 from sitelens.operators.admission import replay
 from sitelens.operators.running import latest_before, running_sum
+from sitelens.plans import url_queries
 
 START = datetime(2024, 1, 1)
 
@@ -130,3 +132,17 @@ def test_screened_messages_are_joined_once_for_a_host(spark):
     assert {r.id: (r.errors, r.blocked) for r in joined.collect()} == lists and lists[1][1] == 3
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "Access to private" not in plan[: plan.index("Join LeftOuter")]
+
+
+def test_screened_texts_are_written_once_a_file(spark, tmp_path):
+    """Two hosts with 16,384 blocked addresses each: a file holds their texts once, not on every row."""
+    rows = spark.range(0, 3840).selectExpr("id AS user_id").filter("user_id % 3 = 2 AND user_id % 20 < 2")
+    rows = rows.crossJoin(spark.range(256).withColumnRenamed("id", "event_id")).withColumn("event_type", F.lit("error"))
+    views = spark.range(40).selectExpr("id % 2 AS user_id", "id + 1000 AS event_id", "'view' AS event_type")
+    rows.unionByName(views).write.parquet(str(tmp_path / "events.parquet"))
+    url_queries.ssrf_screen(spark, str(tmp_path)).coalesce(1).write.parquet(str(tmp_path / "out"))
+    files = [pq.ParquetFile(f) for f in (tmp_path / "out").glob("*.parquet")]
+    columns = [f.metadata.row_group(i).column(1) for f in files for i in range(f.metadata.num_row_groups)]
+    texts = [t for f in files for t in f.read(["errors"])["errors"].to_pylist() if t and t.startswith("Access")]
+    assert len(texts) == 40 and len(set(texts)) == 2 and min(len(t) for t in texts) > 800_000
+    assert sum(c.total_uncompressed_size for c in columns) < 3_000_000
